@@ -1,16 +1,18 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from mnemospark.llm import decontamination, licenses, mixing, quality_rules, substrings
+from mnemospark.llm import decontamination, licenses, mixing, near_dedup, quality_rules, substrings
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_decontaminate": decontamination.op3_decontaminate,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLES = {
+    "op6_near_dedup": near_dedup.SQL,
     "op9_substring_dedup": substrings.SQL,
     "op3_decontaminate": decontamination.SQL,
     "op4_quality_rules": quality_rules.SQL,
