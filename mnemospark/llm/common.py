@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.shipping import ship
+
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -143,6 +145,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
 
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
+    ship(df.sparkSession)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,13 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import WordHash, map_rows, mixed, shingle_hashes, signed, stored, table, words_of
+from mnemospark.shipping import ship
 
 THRESHOLD = 20
 SHINGLE = 8
 #: Different contexts that one automaton takes.
 MOST_CONTEXTS = 1_000
 #: Bytes of a per-document table that may be broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _INVERSE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
@@ -342,6 +343,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     packed = docs.select(
         F.col("doc_id"), F.struct(*[F.col(c) for c in names if c != "doc_id"], F.lit(0).alias("_none")).alias("_row"), "text"
     )
+    ship(spark)
     cut = F.pandas_udf(_cut_series, "string")
     spanned = with_spans(packed)
     left = spanned.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
