@@ -96,7 +96,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash, remembering recent words within a fixed bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -137,6 +137,18 @@ def signed(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- Arrow mapping
 
 
+#: Rows that Spark hands to a Python worker at once: texts of a few MB.
+BATCH_ROWS = 1_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What Arrow stages need: this package on the executors, and small batches."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with dictionaries of columns: fn takes an iterator of
     {column: list} batches and yields {column: list or array} batches."""
@@ -145,7 +157,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
 
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from mnemospark.llm.common import table
-from mnemospark.shipping import ship
+from mnemospark.llm.common import prepare, table
 
 WINDOW = 10
 #: Words of documents that one FM-index covers (a longer document is one shard).
@@ -308,7 +307,7 @@ def _search(df: DataFrame, broadcast, text: str, cut: bool) -> DataFrame:
         if held:
             yield from finish(held, phrases)
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -35,8 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import WordHash, map_rows, mixed, shingle_hashes, signed, stored, table, words_of
-from mnemospark.shipping import ship
+from mnemospark.llm.common import WordHash, map_rows, mixed, prepare, shingle_hashes, signed, stored, table, words_of
 
 THRESHOLD = 20
 SHINGLE = 8
@@ -343,7 +342,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     packed = docs.select(
         F.col("doc_id"), F.struct(*[F.col(c) for c in names if c != "doc_id"], F.lit(0).alias("_none")).alias("_row"), "text"
     )
-    ship(spark)
+    prepare(spark)
     cut = F.pandas_udf(_cut_series, "string")
     spanned = with_spans(packed)
     left = spanned.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
