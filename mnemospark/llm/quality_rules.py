@@ -131,8 +131,13 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def filter_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents the rules keep, with their own columns only."""
-    return quality_rules(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))).where("kept").select("_row.*")
+    """Pipeline stage: the documents the rules keep, with their own columns only.
+
+    The verdict passes through a one-row generator: a filter on the bare column
+    would be pushed below the projections, copying every measure into itself.
+    """
+    judged = quality_rules(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text")))
+    return judged.select("_row", F.explode_outer(F.array("kept")).alias("kept")).where("kept").select("_row.*")
 
 
 #: DuckDB: the same counts and the same table of thresholds.

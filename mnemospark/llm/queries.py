@@ -3,6 +3,7 @@
 from mnemospark.llm import (
     brown_lm,
     decontamination,
+    html_extraction,
     language_id,
     licenses,
     mixing,
@@ -14,6 +15,7 @@ from mnemospark.llm import (
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_html_extraction": html_extraction.op2_html_extraction,
     "op3_decontaminate": decontamination.op3_decontaminate,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_language_id": language_id.op5_language_id,
