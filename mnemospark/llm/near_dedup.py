@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import WordHash, lower_words, map_rows, mixed, shingle_hashes, signed, stored, table
+from mnemospark.llm.common import WORD, WordHash, lower_words, map_rows, mixed, shingle_hashes, signed, stored, table
 
 SHINGLE = 5
 #: A pair of sets of similarity 0.75 shares no band with a chance of 5e-6.
@@ -40,12 +40,17 @@ SIMILARITY = (75, 100)
 MARGIN = 0.25
 #: Candidate ids that may be broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Rounds in which members outside their bucket's main component meet more of its hubs.
+MOST_TURNS = 6
 _BLOCK = 1 << 16
 
+#: Where members of a bucket meet all others, sketches of more samples screen more closely.
+FINE_SAMPLES, FINE_BITS, FINE_MARGIN = 1024, 4096, 0.08
+
 _RNG = np.random.default_rng(20240607)
-_XOR = _RNG.integers(0, 1 << 63, SAMPLES, np.int64).view(np.uint64)
-_MUL = _RNG.integers(0, 1 << 63, SAMPLES, np.int64).view(np.uint64) | np.uint64(1)
-_SALT = mixed(np.arange(1, SAMPLES + 1).astype(np.uint64))
+_XOR = _RNG.integers(0, 1 << 63, FINE_SAMPLES, np.int64).view(np.uint64)
+_MUL = _RNG.integers(0, 1 << 63, FINE_SAMPLES, np.int64).view(np.uint64) | np.uint64(1)
+_SALT = mixed(np.arange(1, FINE_SAMPLES + 1).astype(np.uint64))
 
 
 def shingles(words: list[bytes], hashes: WordHash, k: int = SHINGLE) -> np.ndarray:
@@ -58,19 +63,19 @@ def shingles(words: list[bytes], hashes: WordHash, k: int = SHINGLE) -> np.ndarr
     return shingle_hashes(codes, k)
 
 
-def minhashes(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def minhashes(grams: np.ndarray, starts: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """Samples of several non-empty sets laid end to end: one row a set."""
-    out = np.empty((len(starts), SAMPLES), np.uint64)
-    for i in range(SAMPLES):
+    out = np.empty((len(starts), samples), np.uint64)
+    for i in range(samples):
         out[:, i] = np.minimum.reduceat((grams ^ _XOR[i]) * _MUL[i], starts)
     return out
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the samples, as SKETCH_BITS / 64 words a row."""
-    bit = (mixed(samples ^ _SALT) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    row = np.arange(len(samples))[:, None] * SKETCH_BITS
-    parity = np.bincount((row + bit).ravel(), minlength=len(samples) * SKETCH_BITS) & 1
+def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parity bitmaps of the samples, as bits / 64 words a row."""
+    bit = (mixed(samples ^ _SALT[: samples.shape[1]]) % np.uint64(bits)).astype(np.int64)
+    row = np.arange(len(samples))[:, None] * bits
+    parity = np.bincount((row + bit).ravel(), minlength=len(samples) * bits) & 1
     return np.packbits(parity.astype(np.uint8).reshape(len(samples), -1), axis=1).view(np.uint64)
 
 
@@ -81,15 +86,15 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return acc
 
 
-def estimate(differing: np.ndarray) -> np.ndarray:
+def estimate(differing: np.ndarray, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> np.ndarray:
     """Similarity from the population count of two sketches' XOR."""
-    share = np.clip(1 - 2 * np.asarray(differing) / SKETCH_BITS, 1e-9, 1)
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(share)
+    share = np.clip(1 - 2 * np.asarray(differing) / bits, 1e-9, 1)
+    return 1 + bits / (4 * samples) * np.log(share)
 
 
-def _most_differing() -> int:
-    counts = np.arange(SKETCH_BITS // 2)
-    return int(counts[estimate(counts) >= SIMILARITY[0] / SIMILARITY[1] - MARGIN].max())
+def _most_differing(samples: int = SAMPLES, bits: int = SKETCH_BITS, margin: float = MARGIN) -> int:
+    counts = np.arange(bits // 2)
+    return int(counts[estimate(counts, samples, bits) >= SIMILARITY[0] / SIMILARITY[1] - margin].max())
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -142,6 +147,19 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
     return map_rows(docs, run, "id long, set array<long>")
 
 
+def _fine_sketches(docs: DataFrame, text: str) -> DataFrame:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        hashes = WordHash()
+        for b in batches:
+            for s in range(0, len(b["doc_id"]), 64):
+                part = [np.unique(shingles(lower_words(t), hashes)) for t in b[text][s : s + 64]]
+                starts = np.r_[0, np.cumsum([len(x) for x in part])[:-1]].astype(np.int64)
+                samples = minhashes(np.concatenate(part), starts, FINE_SAMPLES)
+                yield {"id": b["doc_id"][s : s + 64], "fine": list(signed(odd_sketches(samples, FINE_BITS)))}
+
+    return map_rows(docs, run, "id long, fine array<long>")
+
+
 # ---------------------------------------------------------------- pairs
 
 
@@ -154,12 +172,22 @@ def _near(a: str, b: str) -> Column:
     return (base * small >= top * large) & (differing <= _most_differing())
 
 
+def _finely_near(a: str, b: str) -> Column:
+    bits = F.zip_with(f"{a}.fine", f"{b}.fine", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda t, x: t + x) <= _most_differing(FINE_SAMPLES, FINE_BITS, FINE_MARGIN)
+
+
+def _chosen(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """The documents of the (distinct) ids."""
+    ids = stored(ids, "candidates")
+    small = ids.count() <= BROADCAST_IDS
+    return docs.where(F.col(text).rlike(WORD)).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("doc_id", text)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity; compared inside the JVM."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    small = ids.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    sets = stored(_sets(chosen.select("doc_id", text), text), "sets")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = stored(_sets(_chosen(docs, ids, text), text), "sets")
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     top, base = SIMILARITY
@@ -174,6 +202,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _screened(stars: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of (id, hub) rows that the sketches don't rule out."""
+    pairs = stars.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    return stored(
+        pairs.join(sketches.withColumnRenamed("id", "a").alias("x"), "a")
+        .join(sketches.withColumnRenamed("id", "b").alias("y"), "b")
+        .where(_near("x", "y"))
+        .select("a", "b"),
+        "pairs",
+    )
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -231,50 +271,70 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     keyed = classes.select("id", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(keyed.join(crowded, "key"), "members")
-    score = members.groupBy("id").agg(F.sum("size").alias("score"))
-    ranked = members.join(score, "id")
-    hubs = ranked.groupBy("key").agg(F.min("id").alias("h1"), F.max_by("id", F.struct("score", -F.col("id"))).alias("h2"))
-    stars = members.join(hubs, "key").select("id", F.explode(F.array("h1", "h2")).alias("hub")).where("id <> hub")
-    pairs = stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    n_members = members.count()
     sketches = classes.select("id", "n", "sketch")
-    screened = stored(
-        pairs.join(sketches.withColumnRenamed("id", "a").alias("x"), "a")
-        .join(sketches.withColumnRenamed("id", "b").alias("y"), "b")
-        .where(_near("x", "y"))
-        .select("a", "b"),
-        "pairs",
-    )
-    edges = _confirmed(screened, docs, text).unionByName(same)
-    first = stored(components(edges), "components")
 
-    # buckets that still hold several components: those outside the main one meet the rest
-    placed = members.join(first, F.col("id") == F.col("node"), "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
-    )
-    main = (
-        placed.groupBy("key", "component")
-        .agg(F.count("*").alias("c"))
+    # every member meets two hubs of its bucket: the least id, and the one that shares most buckets
+    score = members.groupBy("id").agg(F.sum("size").alias("score"))
+    hubs = (
+        members.join(score, "id")
         .groupBy("key")
-        .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"))
-        .where("parts > 1")
-    )
-    open_members = stored(
-        placed.join(main, "key").join(sketches, "id").select("key", "id", "component", "main", "n", "sketch"), "open"
+        .agg(F.min("id").alias("h1"), F.max_by("id", F.struct("score", -F.col("id"))).alias("h2"))
     )
-    x, y = open_members.where("component <> main").alias("x"), open_members.alias("y")
-    met = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-        & _near("x", "y"),
-    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    left = stored(met.distinct().join(screened, ["a", "b"], "left_anti"), "pairs")
-    labels = first
-    if not left.isEmpty():
-        more = _confirmed(left, docs, text)
-        tree = first.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        labels = stored(components(tree.unionByName(more)), "components")
+    stars = members.join(hubs, "key").select("id", F.explode(F.array("h1", "h2")).alias("hub"))
+    links = _confirmed(_screened(stars, sketches), docs, text).unionByName(same)
+    labels = stored(components(links), "components")
+
+    # in buckets that still hold several components, members outside the main one meet other hubs of
+    # the main one, drawn anew each round; once few enough are left, they meet all the others
+    linking = True
+    for turn in range(MOST_TURNS + 1):
+        placed = members.join(labels, F.col("id") == F.col("node"), "left").select(
+            "key", "id", F.coalesce("component", "id").alias("component")
+        )
+        parts = placed.groupBy("key", "component").agg(
+            F.count("*").alias("c"), F.min_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("hub")
+        )
+        main = (
+            parts.groupBy("key")
+            .agg(
+                F.max_by(F.struct("component", "hub"), F.struct("c", "component")).alias("main"),
+                F.sum("c").alias("size"),
+                F.max("c").alias("largest"),
+                F.count("*").alias("parts"),
+            )
+            .where("parts > 1")
+        )
+        main = stored(main.select("key", "main.component", "main.hub", "size", (F.col("size") - F.col("largest")).alias("out")), "main")
+        left = main.agg(F.sum(F.col("out") * F.col("size"))).first()[0] or 0
+        if not left:
+            break
+        m = main.withColumnRenamed("component", "main")
+        open_members = placed.join(m, "key")
+        exhaust = left <= n_members or not linking or turn == MOST_TURNS
+        if not exhaust:
+            pairs = _screened(open_members.where("component <> main").select("id", "hub"), sketches)
+        else:
+            fine = _fine_sketches(_chosen(docs, open_members.select(F.col("id").alias("doc_id")).distinct(), text), text)
+            fine = stored(fine, "fine").dropDuplicates(["id"])
+            known = open_members.join(sketches, "id").join(fine, "id")
+            known = stored(known.select("key", "id", "component", "main", "n", "sketch", "fine"), "open")
+            x, y = known.where("component <> main").alias("x"), known.alias("y")
+            met = x.join(
+                y,
+                (F.col("x.key") == F.col("y.key"))
+                & (F.col("x.component") != F.col("y.component"))
+                & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+                & _near("x", "y")
+                & _finely_near("x", "y"),
+            ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+            pairs = stored(met.distinct(), "pairs")
+        tree = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        links = stored(_confirmed(pairs, docs, text), "links")
+        linking = links.count() * 20 >= pairs.count()
+        labels = stored(components(tree.unionByName(links)), "components")
+        if exhaust:
+            break
     out = sigs.join(labels, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
