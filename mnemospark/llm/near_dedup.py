@@ -317,8 +317,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         else:
             fine = _fine_sketches(_chosen(docs, open_members.select(F.col("id").alias("doc_id")).distinct(), text), text)
             fine = stored(fine, "fine").dropDuplicates(["id"])
-            known = open_members.join(sketches, "id").join(fine, "id")
-            known = stored(known.select("key", "id", "component", "main", "n", "sketch", "fine"), "open")
+            known = open_members.join(classes.select("id", "n", "sketch", "bands"), "id").join(fine, "id")
+            known = stored(known.select("key", "id", "component", "main", "n", "sketch", "bands", "fine"), "open")
             x, y = known.where("component <> main").alias("x"), known.alias("y")
             met = x.join(
                 y,
@@ -326,6 +326,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
                 & (F.col("x.component") != F.col("y.component"))
                 & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
                 & _near("x", "y")
+                & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key"))  # their first bucket
                 & _finely_near("x", "y"),
             ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
             pairs = stored(met.distinct(), "pairs")
