@@ -7,9 +7,6 @@ texts into words inside executor tasks.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.shipping import ship
+from mnemospark.storage import stored as stored
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -33,53 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- shared storage
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own
-    (under the system's temporary folder) where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        known = spark.sparkContext.getCheckpointDir()
-        where = known or f"file://{tempfile.mkdtemp(prefix='mnemospark-')}"
-        if not known:
-            spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def release() -> None:
-    """Delete the intermediate tables that this process has written."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone; its folder then stays
-            return
-
-
-atexit.register(release)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: this cuts the
-    lineage, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mnemospark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    _written.append((spark, path.rpartition("/")[0]))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # ---------------------------------------------------------------- words and hashes
 
 
