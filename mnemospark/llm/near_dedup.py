@@ -193,8 +193,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     top, base = SIMILARITY
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(b, "b")
-        .join(a, "a")
+        pairs.join(b.hint("merge"), "b")
+        .join(a.hint("merge"), "a")
         .withColumn("both", both)
         .where(base * F.col("both") >= top * (F.size("sa") + F.size("sb") - F.col("both")))
         .select("a", "b")
@@ -206,8 +206,8 @@ def _screened(stars: DataFrame, sketches: DataFrame) -> DataFrame:
     """Different pairs (a, b) of (id, hub) rows that the sketches don't rule out."""
     pairs = stars.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     return stored(
-        pairs.join(sketches.withColumnRenamed("id", "a").alias("x"), "a")
-        .join(sketches.withColumnRenamed("id", "b").alias("y"), "b")
+        pairs.join(sketches.withColumnRenamed("id", "a").alias("x").hint("merge"), "a")
+        .join(sketches.withColumnRenamed("id", "b").alias("y").hint("merge"), "b")
         .where(_near("x", "y"))
         .select("a", "b"),
         "pairs",
@@ -265,23 +265,23 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         "classes",
     )
     # rows of one doc_id with other texts, and copies, are tied to their class directly
-    same = linked.join(classes.select("d1", "d2", "id"), ["d1", "d2"]).where("doc_id <> id")
+    same = linked.join(classes.select("d1", "d2", "id").hint("merge"), ["d1", "d2"]).where("doc_id <> id")
     same = same.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
 
     keyed = classes.select("id", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(keyed.join(crowded, "key"), "members")
+    members = stored(keyed.join(crowded.hint("merge"), "key"), "members")
     n_members = members.count()
     sketches = classes.select("id", "n", "sketch")
 
     # every member meets two hubs of its bucket: the least id, and the one that shares most buckets
     score = members.groupBy("id").agg(F.sum("size").alias("score"))
     hubs = (
-        members.join(score, "id")
+        members.join(score.hint("merge"), "id")
         .groupBy("key")
         .agg(F.min("id").alias("h1"), F.max_by("id", F.struct("score", -F.col("id"))).alias("h2"))
     )
-    stars = members.join(hubs, "key").select("id", F.explode(F.array("h1", "h2")).alias("hub"))
+    stars = members.join(hubs.hint("merge"), "key").select("id", F.explode(F.array("h1", "h2")).alias("hub"))
     links = _confirmed(_screened(stars, sketches), docs, text).unionByName(same)
     labels = stored(components(links), "components")
 
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     # the main one, drawn anew each round; once few enough are left, they meet all the others
     linking = True
     for turn in range(MOST_TURNS + 1):
-        placed = members.join(labels, F.col("id") == F.col("node"), "left").select(
+        placed = members.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").select(
             "key", "id", F.coalesce("component", "id").alias("component")
         )
         parts = placed.groupBy("key", "component").agg(
@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         labels = stored(components(tree.unionByName(links)), "components")
         if exhaust:
             break
-    out = sigs.join(labels, F.col("doc_id") == F.col("node"), "left")
+    out = sigs.join(labels.hint("merge"), F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
         "doc_id",

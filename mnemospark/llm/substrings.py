@@ -41,8 +41,6 @@ THRESHOLD = 20
 SHINGLE = 8
 #: Different contexts that one automaton takes.
 MOST_CONTEXTS = 1_000
-#: Bytes of a per-document table that may be broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _INVERSE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
@@ -189,10 +187,8 @@ def _anchor_rows(docs: DataFrame, least: int, text: str) -> DataFrame:
 
 
 def _per_document(rows: DataFrame, value, name: str) -> DataFrame:
-    """One list a document, stored; hinted for broadcast if its bytes are few."""
-    lists = stored(rows.groupBy("doc_id").agg(F.collect_list(value).alias(name)), name)
-    sizes = lists.agg(F.count("*"), F.sum(F.size(name))).first()
-    return F.broadcast(lists) if sizes[0] * 64 + (sizes[1] or 0) * 24 <= BROADCAST_BYTES else lists
+    """One list a document, to be merged with the documents: the same plan at every size."""
+    return stored(rows.groupBy("doc_id").agg(F.collect_list(value).alias(name)), name).hint("merge")
 
 
 def duplicate_spans(docs: DataFrame, least: int = THRESHOLD, text: str = "text") -> DataFrame:
@@ -203,7 +199,7 @@ def duplicate_spans(docs: DataFrame, least: int = THRESHOLD, text: str = "text")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text)
     rows = _anchor_rows(docs, least, text)
     often = _anchor_rows(docs, least, text).groupBy("anchor").count().where("count > 1").select("anchor")
-    seen = stored(rows.join(often, "anchor", "left_semi"), "anchors")
+    seen = stored(rows.join(often.hint("merge"), "anchor", "left_semi"), "anchors")
     firsts = stored(
         seen.groupBy("anchor", "ctx", "n").agg(F.min(F.struct("doc_id", "lo")).alias("first")), "contexts"
     )
