@@ -195,9 +195,10 @@ class ClassModel:
 def train(training: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
     counts = stored(word_counts(training, text), "counts")
     n_tokens, n_types = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    top = counts.orderBy(F.desc("c"), "word").limit(max(FREQUENT, ITEM_WORDS + 1)).collect()
     frequent = [(bytes(r[0]), r[1]) for r in top]
     named = [w for w, _ in frequent if w != END][:ITEM_WORDS]
+    frequent = frequent[:FREQUENT]
     tail = counts.where(~F.col("word").isin([F.lit(w) for w in (*named, END)]) if named else F.col("word") != F.lit(END))
     ending = F.expr(f"substring(word, greatest(length(word) - {ENDING - 1}, 1), {ENDING})")
     ends = tail.groupBy(ending.alias("e")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(ITEM_ENDINGS).collect()
