@@ -137,7 +137,7 @@ def test_ingest_is_incremental_and_resolves_calls(spark, tmp_path):
     engine = MemoryEngine(spark, f"file://{tmp_path}/store", now=NOW)
     assert engine.ingest(str(root))["files"] >= 4
     calls = {(r.src.rpartition(":")[2], r.name, r.confidence) for r in engine.table("calls").collect()}
-    assert ("Payment.retry", "helper", "import") in calls and ("local", "retry", "type") in calls
+    assert ("Payment.retry", "helper", "unique") in calls and ("local", "retry", "type") in calls
     assert {r.name for r in engine.table("symbol").collect()} >= {"Payment", "retry", "local", "helper"}
     before = engine.version
     assert engine.ingest(str(root))["files"] == 0 and engine.version == before
