@@ -64,7 +64,7 @@ _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -82,6 +82,12 @@ class Block:
         self.path, self.content, self.text = path, content, text
 
 
+def _names_no_text(token: str) -> bool:
+    """Whether a class or id says so: ``site-menu`` and ``menuTop`` do, ``with-sidebar`` doesn't."""
+    parts = [x.lower() for x in _NAME.findall(token)]
+    return bool(parts) and parts[0] not in ("with", "has", "no", "without", "is") and (parts[0] in NAMES or parts[-1] in NAMES)
+
+
 def _declared(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
     """(the element's part of a path, whether its markup says that it is no text)."""
     label, dropped = tag, tag in DROPPED or tag == "header" and not in_article
@@ -95,8 +101,8 @@ def _declared(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
             else:
                 if key == "class" and value:
                     label = f"{tag}.{value.split()[0]}" if value.split() else tag
-                dropped = dropped or any(x.lower() in NAMES for x in _NAME.findall(value))
-    return label, dropped and tag not in ("html", "body")
+                dropped = dropped or any(map(_names_no_text, value.split()))
+    return label, dropped and tag not in ("html", "body", "article", "main") or tag == "article" and dropped and in_article
 
 
 def blocks_of(html: str | None, styles: Counter | None = None) -> list[Block]:

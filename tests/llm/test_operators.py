@@ -129,6 +129,8 @@ PAGES = [
     ("<div class='cookie-notice'>We use</div><main><p>Text<br>here</p><section id='comments'>bad</section></main>", "Text here"),
     ("<p>a<script>if (a<b) '</p>'</script> b<style>p{}</style></p><form>f</form><aside>x</aside>", "a b"),
     ("<p>un <!-- hidden --> closed", "un closed"),
+    ("<div class='wrap with-sidebar'><div class='siteMenu'>m</div><p data-class='menu'>kept</p><p hidden>no</p></div>", "kept"),
+    ("<article class='social'><p>x</p><article class='comment'>no</article></article>", "x"),
     ("1 < 2 & 3", "1 < 2 & 3"),
     ("", ""),
     (None, ""),
