@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from mnemospark.llm.common import held_out, map_rows, stored, table
 
 TOXIC_DOCS, CLEAN_DOCS = 4_000, 8_000
-POSITIVES, NEGATIVES, LANDMARKS = 1_000, 4_000, 128
+POSITIVES, NEGATIVES, LANDMARKS = 1_000, 4_000, 384
 #: Evidence, as -log of a chance, from which a unit stands for toxic sentences.
 SURPRISE = 25.0
 #: Rounds of refitting with the clean units of the largest margins, and how many join each time.
-HARD_ROUNDS, HARD = 2, 1_000
+HARD_ROUNDS, HARD = 3, 1_500
 DECAY, SPAN = 0.6, 6
 CUT = 0.3
 #: Longer units are scored in overlapping pieces, so no character is left out.
@@ -148,7 +148,7 @@ class Kernel:
         return out
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> np.ndarray:
+def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3e-4, rounds: int = 25) -> np.ndarray:
     """Linear SVM with squared hinge loss by Newton steps; the last coefficient is the bias."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
@@ -226,11 +226,16 @@ def margins(texts: list[str | None], scorer: Scorer) -> np.ndarray:
 
 
 class ToxicityModel:
-    def __init__(self, svm: UnitSvm, logistic: np.ndarray):
-        self.svm, self.logistic = svm, logistic
+    """The SVM, the logistic weights of a text's margins, and the bar: a largest
+    margin that next to no clean document reaches speaks for itself."""
+
+    def __init__(self, svm: UnitSvm, logistic: np.ndarray, bar: float):
+        self.svm, self.logistic, self.bar = svm, logistic, bar
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.c_[features, np.ones(len(features))] @ self.logistic, -30, 30)))
+        together = np.c_[features, np.ones(len(features))] @ self.logistic
+        alone = 10 * (features[:, 0] - self.bar) - 1.3
+        return 1 / (1 + np.exp(-np.clip(np.maximum(together, alone), -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -318,7 +323,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel
     rows = map_rows(sample.select(text, "toxic"), feature_rows, "toxic int, x array<double>").collect()
     x, y = np.array([r[1] for r in rows]), np.array([r[0] for r in rows], float)
     order = np.lexsort((*x.T, y))
-    return ToxicityModel(svm, _logistic(x[order], y[order]))
+    bar = max(0.3, float(np.quantile(x[y == 0, 0], 0.999)))
+    return ToxicityModel(svm, _logistic(x[order], y[order]), bar)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
