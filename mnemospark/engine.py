@@ -303,15 +303,17 @@ class MemoryEngine:
             "call_id", F.col("symbol_id").alias("src"), F.col("path").alias("file_path"), "name", "receiver", "receiver_type", "construction", "line"
         )
         modules = relations.where("kind = 'import'").select(F.col("path").alias("from_path"), F.col("name").alias("module"))
-        all_files = files.select("path", F.lit(None).cast("string").alias("container"))
+        boxes = chunking.container_rows(changed)
+        all_files = known.join(changed.select("path"), "path", "left_anti").join(vanished.select("path"), "path", "left_anti")
+        all_files = all_files.select("path", "container").unionByName(boxes)
         imported = code.resolve_imports(modules, all_files)
-        resolved = code.resolve_calls(placed, symbol, imported)
+        resolved = code.resolve_calls(placed, symbol, imported, code.visible_containers(all_files, modules), all_files)
         lines = placed.select("call_id", "name", "line")
         fresh = resolved.where("dst is not null").join(lines, "call_id").select("src", "dst", "name", F.col("line").cast("long").alias("line"), "confidence")
         left = resolved.where("dst is null").join(lines, "call_id").select("src", "name", "reason").distinct()
         own = self.table("symbol").join(touched, "file_path").select(F.col("id").alias("src"))
         calls = self.table("calls").join(own, "src", "left_anti").join(symbol.select(F.col("id").alias("dst")), "dst", "left_semi")
-        state = known.join(touched.withColumnRenamed("file_path", "path"), "path", "left_anti").unionByName(changed.select("path", "stamp", F.lit(None).cast("string").alias("container")))
+        state = known.join(touched.withColumnRenamed("file_path", "path"), "path", "left_anti").unionByName(changed.select("path", "stamp").join(boxes, "path", "left"))
         imports = mutations.replace_relations(self.table("imports"), imported.select(F.col("from_path").alias("src_path"), F.col("path").alias("dst_path"), "module"), touched.withColumnRenamed("file_path", "src_path"), "src_path")
         # chunks that their file no longer gives go, or are superseded where something is linked to them
         ids = nodes.withColumns({"title": redact(F.col("title")), "body": redact(F.col("body"))}).select(sc.node_id(F.col("layer"), F.col("source_ref"), F.col("body")).alias("id"))

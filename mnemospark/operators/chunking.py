@@ -22,6 +22,7 @@ SIZE, OVERLAP = 1200, 120
 STEP = SIZE - OVERLAP
 CHUNK = "path string, ordinal int, text string, start_line int, end_line int, heading_path array<string>, mode string"
 DECLARATION = "path string, ordinal int, name string, kind string, start_line int, end_line int"
+CONTAINER = "path string, container string"
 RELATION = "path string, kind string, name string, receiver string, receiver_type string, construction boolean, line int"
 
 
@@ -132,6 +133,11 @@ def declarations(path: str, source: str) -> list[tuple[str, str, int, int]]:
             return _definitions(source)
         except (SyntaxError, ValueError):
             return []
+    if ending in ENDED:
+        return _ended(source)
+    if ending == "vue":
+        script, before = _script_of(source)
+        return [(n, k, a + before, b + before) for n, k, a, b in declarations("x.ts", script)]
     if ending not in BRACED:
         return []
     out: dict[str, tuple[str, str, int, int]] = {}
@@ -142,6 +148,62 @@ def declarations(path: str, source: str) -> list[tuple[str, str, int, int]]:
     return list(out.values())
 
 
+#: How declarations look in languages whose blocks end with a word.
+_ENDED = re.compile(r"^([ \t]*)(?:local\s+)?(class|module|defmodule|defp|def|function)\s+([A-Za-z_][\w.:!?]*)", re.M)
+ENDED = frozenset("rb rake lua ex exs".split())
+
+
+def _ended(source: str) -> list[tuple[str, str, int, int]]:
+    """Declarations up to the "end" of the same indentation."""
+    lines, out = source.split("\n"), {}
+    for m in _ENDED.finditer(source):
+        first = source.count("\n", 0, m.start(2)) + 1
+        stop = re.compile(rf"{re.escape(m[1])}end\b")
+        last = next((i for i in range(first, len(lines)) if stop.match(lines[i])), first - 1) + 1
+        out.setdefault(m[3], (m[3], f"{m[2]}_declaration", first, last))
+    return list(out.values())
+
+
+def _script_of(source: str) -> tuple[str, int]:
+    """The script of a single-file component, and the lines before it."""
+    m = re.search(r"<script\b[^>]*>(.*?)</script\s*>", source, re.S | re.I)
+    return (m[1], source.count("\n", 0, m.start(1))) if m else ("", 0)
+
+
+#: How imports and containers are written, by the ending of the file.
+_IMPORTS = {
+    "js": r"""(?:from|import|require\()\s*["']([^"'\n]+)["']""",
+    "c": r"""^\s*#\s*(?:include|import)\s*["<]([^">\n]+)[">]""",
+    "java": r"^\s*import\s+(?:static\s+)?([\w.]+)",
+    "cs": r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;",
+    "php": r"^\s*use\s+([\w\\\\]+)",
+    "rs": r"^\s*(?:pub\s+)?use\s+([\w:]+)",
+    "go": r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([\w./-]+)"\s*$""",
+    "rb": r"""^\s*require(?:_relative)?\s*\(?["']([^"'\n]+)["']""",
+    "lua": r"""require\s*\(?\s*["']([^"'\n]+)["']""",
+}
+_CONTAINER = re.compile(r"^\s*(?:package|namespace|module)\s+([\w.\\]+)", re.M)
+_SAME = {
+    "ts": "js", "tsx": "js", "jsx": "js", "mjs": "js", "cjs": "js", "vue": "js", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "m": "c", "mm": "c",
+    "kt": "java", "scala": "java", "swift": "java", "dart": "js",
+}
+
+
+def imports_of(path: str, source: str) -> list[tuple[str, int]]:
+    """(module, line) of each import that a pattern finds."""
+    ending = path.rpartition(".")[2].lower()
+    pattern = _IMPORTS.get(_SAME.get(ending, ending))
+    return [(m[1], source.count("\n", 0, m.start(1)) + 1) for m in re.finditer(pattern, source, re.M)] if pattern else []
+
+
+def container_of(path: str, source: str) -> str | None:
+    """The package or namespace that a file declares."""
+    if path.rpartition(".")[2].lower() not in ("java", "kt", "scala", "cs", "php", "go", "ex"):
+        return None
+    m = _CONTAINER.search(source)
+    return m[1].replace("\\", ".") if m else None
+
+
 def _block_end(source: str, at: int) -> int:
     """Where the braces that open behind a declaration close; its line's end if none do."""
     line = source.find("\n", at)
@@ -159,7 +221,7 @@ def _block_end(source: str, at: int) -> int:
 def relations(path: str, source: str) -> list[tuple[str, str, str | None, str | None, bool, int]]:
     """(kind, name, receiver, receiver type, construction, line): calls, imports and heritage of Python."""
     if path.rpartition(".")[2].lower() not in READERS:
-        return []
+        return [("import", m, None, None, False, line) for m, line in imports_of(path, source)]
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
@@ -244,6 +306,10 @@ def declaration_rows(files: DataFrame) -> DataFrame:
     return _mapped(files, lambda p, t: [(p, i, *d) for i, d in enumerate(declarations(p, t))], DECLARATION)
 
 
+def container_rows(files: DataFrame) -> DataFrame:
+    return _mapped(files, lambda p, t: [(p, container_of(p, t))], CONTAINER)
+
+
 def relation_rows(files: DataFrame) -> DataFrame:
     return _mapped(files, lambda p, t: [(p, *r) for r in relations(p, t)], RELATION)
 

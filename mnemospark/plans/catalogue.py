@@ -491,7 +491,7 @@ def chunk_files(spark, d):
 
 @query("dense_files", oracle("", _CHUNK, "select doc_id, count(*) as chunks from c group by doc_id, text having count(*) >= 5 and count(*) > length(text) / 1000"))
 def dense_files(spark, d):
-    # the reference's bounds (500 chunks, one per 400 characters) have no hits here; smaller ones do
+    # the default bounds (500 chunks, one per 400 characters) have no hits here; smaller ones do
     files = docs(spark, d).select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     return evaluation.dense_files(chunking.window_chunks(files), files, 5, 1000).select(F.col("path").alias("doc_id"), "chunks")
 

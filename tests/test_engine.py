@@ -157,6 +157,15 @@ def test_chunks_cover_the_text():
     assert [p.headings for p in md] == [["A"], ["A", "B"], ["C"]]
 
 
+def test_other_languages_have_imports_and_containers():
+    assert chunking.imports_of("a.ts", "import x from './b'\nconst y = require('c')\n") == [("./b", 1), ("c", 2)]
+    assert chunking.imports_of("a.cs", "using A.B;\n") == [("A.B", 1)] and chunking.container_of("a.cs", "namespace A.B.C\n{}") == "A.B.C"
+    found = chunking.declarations("x.rb", "class Order\n  def pay\n  end\nend\n")
+    assert [(n, s, e) for n, _, s, e in found] == [("Order", 1, 4), ("pay", 2, 3)]
+    vue = "<template/>\n<script>\nfunction go() {\n}\n</script>\n"
+    assert [(n, s, e) for n, _, s, e in chunking.declarations("x.vue", vue)] == [("go", 3, 4)]
+
+
 def test_braced_languages_have_declarations():
     found = chunking.declarations("x.ts", "export class Order {\n  get() {}\n}\nfunction pay(a) {\n  return a\n}\n")
     assert [(n, s, e) for n, _, s, e in found] == [("Order", 1, 3), ("pay", 4, 6)]
