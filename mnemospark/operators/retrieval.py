@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions.scalars import cosine, decay, layer_rank, recency_score, rrf
 from mnemospark.functions.text import snippet_column
 from mnemospark.operators.index import bm25, matches, overlap, query_terms, small, top
+from mnemospark.storage import stored
 
 NO_TERMS = "The query has no terms to look up."
 EMPTY = "Branch ran and matched nothing."
@@ -59,14 +60,23 @@ def _named(df: DataFrame, branch: str) -> DataFrame:
     return df.select("query_id", F.lit(branch).alias("branch"), "id", F.col("rank").cast("int").alias("rank"))
 
 
-def keyword_branch(matched: DataFrame, eligible: DataFrame, limit: int) -> DataFrame:
-    ranked = bm25(matched, 6 * limit).select("query_id", "id", F.col("rank").alias("r"))
+def shortlist(matched: DataFrame, limit: int) -> DataFrame:
+    """The candidates of a batch, best by score and best by overlap, stored: a few
+    rows a query, which all that follows reads instead of the postings."""
+    columns = ("query_id", "id", "overlap", "rank")
+    by_score = bm25(matched, 6 * limit).select(F.lit("bm25").alias("by"), *columns)
+    by_overlap = overlap(matched, 6 * limit).select(F.lit("overlap").alias("by"), *columns)
+    return stored(by_score.unionByName(by_overlap), "shortlist")
+
+
+def keyword_branch(short: DataFrame, eligible: DataFrame, limit: int) -> DataFrame:
+    ranked = short.where("by = 'bm25'").select("query_id", "id", F.col("rank").alias("r"))
     return _named(top(ranked.join(eligible.select("id"), "id"), 3 * limit, "r"), "bm25")
 
 
-def recency_branch(matched: DataFrame, terms: DataFrame, eligible: DataFrame, limit: int, now: int) -> DataFrame:
+def recency_branch(short: DataFrame, terms: DataFrame, eligible: DataFrame, limit: int, now: int) -> DataFrame:
     counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    found = overlap(matched, 6 * limit).drop("rank").join(eligible, "id").join(small(counts), "query_id")
+    found = short.where("by = 'overlap'").drop("rank").join(eligible, "id").join(small(counts), "query_id")
     score = recency_score(F.col("overlap") / F.col("n_terms"), F.col("importance"), decay(F.col("layer"), F.col("created_at"), now))
     return _named(top(found.withColumn("recent", score), 3 * limit, F.desc(F.round("recent", 9)), "id"), "recency")
 
@@ -130,12 +140,12 @@ def fusion_report(branches: DataFrame, queries: DataFrame, names: tuple[str, ...
 
 def branches_of(t: Tables, queries: DataFrame, o: Options) -> DataFrame:
     """All enabled branches of a batch (query_id, q and, for vectors, embedding, model, provider)."""
-    terms = query_terms(queries.select("query_id", "q"))
-    matched = matches(t.postings, terms)
+    terms = stored(query_terms(queries.select("query_id", "q")), "terms")
+    short = shortlist(matches(t.postings, terms), o.limit)
     eligible = live(t.memory, o.layers).select("id", "layer", "importance", "created_at")
-    out = [recency_branch(matched, terms, eligible, o.limit, o.now)]
+    out = [recency_branch(short, terms, eligible, o.limit, o.now)]
     if "bm25" not in o.disable:
-        out.append(keyword_branch(matched, eligible, o.limit))
+        out.append(keyword_branch(short, eligible, o.limit))
     if t.vector is not None and "semantic" not in o.disable and "embedding" in queries.columns:
         mine = t.vector.join(eligible.select("id"), "id", "left_semi")
         out.append(_named(nearest(mine, queries, 3 * o.limit, o.max_distance), "semantic"))
@@ -145,6 +155,7 @@ def branches_of(t: Tables, queries: DataFrame, o: Options) -> DataFrame:
     for b in out[1:]:
         ranked = ranked.unionByName(b)
     if t.edge is not None and "graph" not in o.disable:
+        ranked = stored(ranked, "ranked")
         ranked = ranked.unionByName(graph_branch(ranked, t.edge, eligible, o.limit))
     return ranked
 
