@@ -45,6 +45,7 @@ class MemoryEngine:
 
     def __init__(self, spark: SparkSession, root: str, embedder: Provider | None = None, now: int | None = None):
         self.spark, self.root, self.embedder, self._now = spark, root.rstrip("/"), embedder or HashEmbedder(), now
+        self.session: str | None = None
 
     # ------------------------------------------------------------ snapshots
 
@@ -137,6 +138,26 @@ class MemoryEngine:
         roots = self.spark.createDataFrame([(node,)], "root string")
         return graph.neighbors(self.table("edge"), roots, depth, **kw)
 
+    def related(self, node: str) -> DataFrame:
+        """Up to three memories near one."""
+        v = self.table("vector")
+        return retrieval.related(v, self.table("memory"), v.where(F.col("id") == node).withColumnRenamed("id", "query_id"))
+
+    def capabilities(self) -> DataFrame:
+        """(name, provider, status, reason): what this installation can do."""
+        hashed = self.embedder.provider == "hash"
+        rows = [
+            ("graph", "joins", "ok", None),
+            ("keyword", "postings", "ok", None),
+            ("vector search", "exact scan", "ok", None),
+            ("embeddings", self.embedder.provider, "degraded" if hashed else "ok", "hashed terms carry no meaning" if hashed else None),
+            ("tokenizer", "latin, cyrillic, greek, cjk bigrams", "ok", None),
+            ("code: python", "ast", "ok", None),
+            ("code: braces and end blocks", "patterns", "degraded", "declarations and imports only"),
+            ("code: others", None, "unavailable", "no reader; files are cut into windows"),
+        ]
+        return self.spark.createDataFrame(rows, "name string, provider string, status string, reason string")
+
     def constraints(self, most: int = 10) -> DataFrame:
         return retrieval.constraints(self.table("memory"), most)
 
@@ -193,7 +214,25 @@ class MemoryEngine:
             if layer not in sc.LAYERS or not ref:
                 raise ValueError("each row needs a known layer and a source_ref")
         new = self.spark.createDataFrame(rows, "layer string, title string, body string, source_ref string, importance double")
-        return self._put(new)
+        out = self._put(new)
+        if self.session:
+            here = [(r.id, "OCCURRED_IN", self.session, 1.0, self.now, None) for r in out.collect() if not r.source_ref.startswith("session://")]
+            if here:
+                fresh = self.spark.createDataFrame(here, TABLES["edge"])
+                self.commit({"edge": mutations.add_edges(self.table("edge"), fresh, self.table("memory"))[0]})
+        return out
+
+    def open_session(self, title: str) -> str:
+        """Writes from now on are linked to this session's node."""
+        self.session = None
+        self.session = self.write([("episodic", title, title, f"session://{self.now}", 3.0)]).first().id
+        return self.session
+
+    def close_session(self, summary: str = "") -> None:
+        node, self.session = self.session, None
+        if node and summary:
+            done = self.write([("episodic", "Session summary", summary, f"session://{self.now}/end", 4.0)]).first().id
+            self.link(done, "DERIVED_FROM", node)
 
     def _put(self, new: DataFrame, more: dict[str, DataFrame] | None = None) -> DataFrame:
         clean = new.withColumns({"title": redact(F.col("title")), "body": redact(F.col("body"))})

@@ -169,3 +169,42 @@ def test_other_languages_have_imports_and_containers():
 def test_braced_languages_have_declarations():
     found = chunking.declarations("x.ts", "export class Order {\n  get() {}\n}\nfunction pay(a) {\n  return a\n}\n")
     assert [(n, s, e) for n, _, s, e in found] == [("Order", 1, 3), ("pay", 4, 6)]
+
+
+def test_sessions_and_related(engine):
+    node = engine.open_session("Work on cards")
+    engine.write([("procedural", "Check limits", "Check retry limits first.", "docs/x.md#L1", 3.0)])
+    engine.close_session("Done.")
+    edges = engine.table("edge").where(f"dst = '{node}'").collect()
+    assert {e.type for e in edges} == {"OCCURRED_IN", "DERIVED_FROM"}
+    assert engine.related(ids(engine)["Check limits"]).count() <= 3
+    assert engine.capabilities().where("status = 'ok'").count() > 3
+
+
+def test_command_line(engine, spark, capsys):
+    from mnemospark.__main__ import main
+
+    assert main([engine.root, "search", "declined card"], spark) == 0
+    assert "Retry declined cards" in capsys.readouterr().out
+    assert main([engine.root, "get", "nobody"], spark) == 1
+    assert main([engine.root, "link", "a", "NOTHING", "b"], spark) == 1
+    assert main([engine.root, "fly"], spark) == 2
+    assert main([engine.root, "doctor"], spark) == 0
+
+
+def test_registry(spark, tmp_path):
+    from mnemospark.sources.registry import Registry
+
+    r = Registry(str(tmp_path / "r" / "registry.json"))
+    r.register("one", str(tmp_path), "s")
+    r.register("two", "/nowhere", "s")
+    assert {x.name: x.state for x in r.listed(spark).collect()} == {"one": "unknown", "two": "unknown"}
+    assert r.forget("/nowhere") and not r.forget("/nowhere") and len(r.entries()) == 1
+
+
+def test_budget_cuts_the_longest_list():
+    from mnemospark.functions.formatting import mermaid, within_bytes
+
+    out = within_bytes({"a": list(range(100)), "b": [1]}, 120)
+    assert out["omitted"]["a"] > 0 and out["b"] == [1]
+    assert mermaid([("x[1]", "CALLS", "y")]).splitlines()[1] == '  n0["x1"] -->|CALLS| n1["y"]'
