@@ -86,7 +86,10 @@ def snippet_window(spark, d):
     return view(spark, d, "memory").select("id", snippet_column(F.col("body"), F.col("title")).alias("snippet"))
 
 
-@query("redact_text")
+_SECRET = r"""'(?i)\b((?:api[_-]?key|secret|password|passwd|token|access[_-]?key|private[_-]?key|client[_-]?secret)\s*[:=]\s*"?)([^\s''";,]{8,})'"""
+
+
+@query("redact_text", rf"""select doc_id, regexp_replace(text, {_SECRET}, '\1[REDACTED:assigned-secret]', 'g') as text from documents where regexp_matches(text, {_SECRET})""")
 def redact_text(spark, d):
     return docs(spark, d).select("doc_id", redact(F.col("text")).alias("text")).where(F.col("text").contains("[REDACTED:"))
 
@@ -111,7 +114,7 @@ def redaction_counts_query(spark, d):
     return found.groupBy("rule").agg(F.sum("n").alias("n"))
 
 
-@query("looks_redacted")
+@query("looks_redacted", "select doc_id, true as clean from documents")
 def looks_redacted_query(spark, d):
     return docs(spark, d).select("doc_id", looks_redacted(redact(F.col("text"))).alias("clean"))
 
@@ -235,13 +238,13 @@ def index_titles(spark, d):
     return found.select("query_id", F.col("position").cast("long").alias("position"), "id", "title")
 
 
-@query("search_with_vectors")
+@query("search_with_vectors", oracle(_ALL + " vector", *SEARCH, branches(semantic=True), _page(10, 0), "select query_id, position, id, round(score, 6) as score from cut"))
 def search_with_vectors(spark, d):
     t = tables(spark, d)
     t.vector = view(spark, d, "vector")
     q = view(spark, d, "query").withColumn("key", F.concat(F.lit("doc_"), F.lpad(F.col("query_id").cast("string"), 8, "0")))
     q = q.join(t.vector.withColumnRenamed("id", "key"), "key").drop("key")
-    return retrieval.search(t, q, OPTIONS).select("query_id", "position", "id", r6("score").alias("score"))
+    return retrieval.search(t, q, OPTIONS).select("query_id", F.col("position").cast("long").alias("position"), "id", r6("score").alias("score"))
 
 
 _RANK = "case layer when 'semantic' then 0 when 'procedural' then 1 when 'episodic' then 2 when 'artifact' then 3 else 4 end"
@@ -397,9 +400,12 @@ def changes(spark, d):
     return graph.changes(*v, _changed(spark, d)).select("file_path", "via", F.col("k").cast("long").alias("k"), "id", "contested")
 
 
-@query("viewer_nodes")
+@query("viewer_nodes", oracle("memory symbol calls about", _LIVE, "deg as (select id, count(*) as n from (select src as id from calls union all select dst from calls union all select symbol_id from about) e group by id)",
+    """every as (select s.id, 'symbol' as kind, 1 as tier, coalesce(n, 0)::double as w from symbol s left join deg on deg.id = s.id
+    union all select id, 'memory', case when layer = 'artifact' then 2 else 0 end, importance from alive)""",
+    "select * from every order by tier, w desc, id limit 1500"))
 def viewer_nodes(spark, d):
-    return graph.viewer_nodes(*[view(spark, d, n) for n in ("memory", "symbol", "calls", "about")])
+    return graph.viewer_nodes(*[view(spark, d, n) for n in ("memory", "symbol", "calls", "about")], budget=1500)
 
 
 # ---------------------------------------------------------------- code

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from mnemospark.functions import scalars as sc
 from mnemospark.functions.text import term_rows
 from mnemospark.operators import code, evaluation, graph, index, mutations, retrieval
-from mnemospark.plans.catalogue import _LIVE, OPTIONS, docs, query, r6, tables
-from mnemospark.plans.oracle import POSTINGS, _fold, decay, oracle, terms, top
+from mnemospark.plans.catalogue import _ALL, _LIVE, OPTIONS, _page, docs, query, r6, tables
+from mnemospark.plans.oracle import POSTINGS, SEARCH, _fold, branches, decay, oracle, terms, top
 from mnemospark.plans.views import NOW, view
 from mnemospark.sources import files as src
 from mnemospark.storage import stored
@@ -291,23 +291,24 @@ def related_memories(spark, d):
     return retrieval.related(v, view(spark, d, "memory"), q, least=0.05).select("query_id", "id", r6("sim").alias("sim"))
 
 
-@query("search_without_graph")
+@query("search_without_graph", oracle(_ALL, *SEARCH, branches(), "select branch, count(*) as n from ranked where branch in ('bm25', 'recency') group by branch"))
 def search_without_graph(spark, d):
     o = retrieval.Options(limit=10, now=NOW, disable=frozenset({"graph", "entity"}))
     found = retrieval.branches_of(tables(spark, d), view(spark, d, "query"), o)
     return found.groupBy("branch").agg(F.count("*").alias("n"))
 
 
-@query("search_semantic_layer")
+@query("search_semantic_layer", oracle(_ALL, *SEARCH, branches(5, ("semantic",)), _page(5, 0), "select c.query_id, c.position, c.id, m.layer from cut c join memory m on m.id = c.id"))
 def search_semantic_layer(spark, d):
     o = retrieval.Options(limit=5, now=NOW, layers=("semantic",))
-    return retrieval.search(tables(spark, d), view(spark, d, "query"), o).select("query_id", "position", "id", "layer")
+    return retrieval.search(tables(spark, d), view(spark, d, "query"), o).select("query_id", F.col("position").cast("long").alias("position"), "id", "layer")
 
 
-@query("evaluation_judged")
+@query("evaluation_judged", oracle(_ALL, *SEARCH, branches(), _page(10, 0), "refs as (select c.query_id, m.source_ref as r from cut c join memory m on m.id = c.id where c.position <= 5)",
+    "select q.query_id, coalesce(max((contains(r, 'src1/') or contains(r, 'src2/'))::int), 0) as hit, coalesce(max(contains(r, 'src9/')::int), 0) as rejected from query q left join refs on refs.query_id = q.query_id group by q.query_id"))
 def evaluation_judged(spark, d):
     q = view(spark, d, "query")
-    hits = retrieval.search(tables(spark, d), q, OPTIONS)
+    hits = retrieval.search(tables(spark, d), q, retrieval.Options(limit=10, now=NOW))
     asked = q.select("query_id", F.array(F.lit("src1/"), F.lit("src2/")).alias("expect"), F.array(F.lit("src9/")).alias("reject"))
     return evaluation.judge(hits, asked)
 

@@ -79,13 +79,20 @@ def top(source: str, most: int, order: str, columns: str = "*", by: str = "query
     return f"(select * from (select {columns}, row_number() over (partition by {by} order by {order}) as rank from {source}) r where rank <= {most})"
 
 
-def branches(limit: int = 10) -> str:
-    """CTEs of the five branches and ``ranked``, their union."""
+SEMANTIC = """vq as (select q.query_id, v.embedding as qv from query q join vector v on v.id = 'doc_' || lpad(cast(q.query_id as varchar), 8, '0')),
+vs as (select query_id, v.id, list_cosine_similarity(cast(v.embedding as double[]), cast(qv as double[])) as sim from vq, vector v where v.id in (select id from eligible))"""
+
+
+def branches(limit: int = 10, layers: tuple[str, ...] = (), semantic: bool = False) -> str:
+    """CTEs of the branches and ``ranked``, their union."""
+    layer = f" and layer in ({', '.join(repr(x) for x in layers)})" if layers else ""
+    near = f"{SEMANTIC},\nb2 as {top('vs', 3 * limit, 'round(sim, 9) desc, id')},\n" if semantic else ""
+    also = "union all select query_id, 'semantic', id, rank from b2 where 1 - sim <= 0.75::double" if semantic else ""
     recent = f"(overlap / n_terms::double) * (case when importance = 0 then 1 else importance end) * ({decay('e.')})"
     seeds = max(3, -(-limit // 2))
     return f"""
-eligible as (select id, layer, importance, created_at from memory where superseded_at is null),
-b1 as {top('matched', 6 * limit, 'round(score, 9) desc, id')},
+eligible as (select id, layer, importance, created_at from memory where superseded_at is null{layer}),
+{near}b1 as {top('matched', 6 * limit, 'round(score, 9) desc, id')},
 b1e as {top('(select b1.query_id, b1.id, b1.rank as r from b1 join eligible e on e.id = b1.id) z', 3 * limit, 'r', 'query_id, id')},
 o1 as {top('matched', 6 * limit, 'overlap desc, id', 'query_id, id, overlap')},
 nt as (select query_id, count(*) as n_terms from qterm group by query_id),
@@ -101,7 +108,7 @@ rea as {top('(select distinct query_id, m.id, importance, created_at from beside
 b4 as {top("(select query_id, id, 0 as hop, rank as r from dir union all select query_id, id, 1, rank from rea where (query_id, id) not in (select query_id, id from dir)) z", 3 * limit, 'hop, r', 'query_id, id')},
 ranked4 as (
   select query_id, 'bm25' as branch, id, rank from b1e union all select query_id, 'recency', id, rank from b3
-  union all select query_id, 'entity', id, rank from b4
+  union all select query_id, 'entity', id, rank from b4 {also}
 ),
 seeds as (select distinct query_id, id from ranked4 where rank <= {seeds}),
 ways as (select src, dst from (select distinct src, type, dst from edge) e union all select dst, src from (select distinct src, type, dst from edge) e),
