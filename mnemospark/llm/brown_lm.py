@@ -170,6 +170,19 @@ def _bigram_counts(training: DataFrame, words: dict[bytes, int], endings: dict[b
     return out.reshape(n, n)
 
 
+def most_frequent(counts: DataFrame, key: str, most: int) -> list[tuple[bytes, int]]:
+    """The rows of largest c, in order.  A histogram of fixed size over the logarithm
+    of c first rules out what can't be among them, so that tasks send few others."""
+    level = F.floor(F.log2("c") * 64)
+    above, least = 0, 0
+    for l, n in sorted(map(tuple, counts.groupBy(level).count().collect()), reverse=True):
+        above, least = above + n, l
+        if above >= most:
+            break
+    top = counts.where(level >= least).orderBy(F.desc("c"), key).limit(most).select(key, "c").collect()
+    return [(bytes(r[0]), r[1]) for r in top]
+
+
 class ClassModel:
     """All that scoring needs besides the count table; of fixed size."""
 
@@ -195,15 +208,14 @@ class ClassModel:
 def train(training: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
     counts = stored(word_counts(training, text), "counts")
     n_tokens, n_types = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(max(FREQUENT, ITEM_WORDS + 1)).collect()
-    frequent = [(bytes(r[0]), r[1]) for r in top]
+    frequent = most_frequent(counts, "word", max(FREQUENT, ITEM_WORDS + 1))
     named = [w for w, _ in frequent if w != END][:ITEM_WORDS]
     frequent = frequent[:FREQUENT]
     tail = counts.where(~F.col("word").isin([F.lit(w) for w in (*named, END)]) if named else F.col("word") != F.lit(END))
     ending = F.expr(f"substring(word, greatest(length(word) - {ENDING - 1}, 1), {ENDING})")
-    ends = tail.groupBy(ending.alias("e")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(ITEM_ENDINGS).collect()
+    ends = most_frequent(tail.groupBy(ending.alias("e")).agg(F.sum("c").alias("c")), "e", ITEM_ENDINGS)
     words = {END: STOP} | {w: i + 2 for i, w in enumerate(named)}
-    endings = {bytes(r[0]): i + 1 + len(words) for i, r in enumerate(ends)}
+    endings = {e: i + 1 + len(words) for i, (e, _) in enumerate(ends)}
     bigrams = _bigram_counts(training, {w: i for w, i in words.items()}, endings, text)
     klass = exchange_classes(bigrams)
     shared = training.sparkSession.sparkContext.broadcast((words, endings, klass))
