@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -25,6 +25,32 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class _Buckets(dict):
+    """term -> its number; two buckets and signs a term, kept within a fixed bound."""
+
+    LIMIT = 200_000
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions, self.at, self.sign = dimensions, [], []
+
+    def __missing__(self, term: str) -> int:
+        digest = hashlib.sha1(term.encode()).digest()
+        self.at.append([int.from_bytes(digest[4 * i : 4 * i + 4]) % self.dimensions for i in (0, 1)])
+        self.sign.append([-1.0 if digest[8 + i] & 1 else 1.0 for i in (0, 1)])
+        n = self[term] = len(self.at) - 1
+        return n
+
+    def vector(self, terms: list[str]) -> np.ndarray:
+        counts = Counter(terms)
+        numbers = [self[t] for t in counts]
+        weight = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+        at = np.array([self.at[n] for n in numbers])
+        sign = np.array([self.sign[n] for n in numbers])
+        out = np.bincount(at.ravel(), (sign * weight[:, None]).ravel(), self.dimensions)
+        return out / (np.linalg.norm(out) or 1.0)
+
+
 class HashEmbedder:
     """Feature hashing of terms: a stand-in without meaning, for tests and offline use."""
 
@@ -34,22 +60,16 @@ class HashEmbedder:
         self.dimensions = dimensions
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        known = Terms()
-        return [self._one(tokenize(t, known)) for t in texts]
-
-    def _one(self, terms: list[str]) -> list[float]:
-        out = [0.0] * self.dimensions
-        for term, count in Counter(terms).items():
-            digest = hashlib.sha1(term.encode()).digest()
-            weight = 1 + math.log(count)
-            for i in (0, 1):
-                at = int.from_bytes(digest[4 * i : 4 * i + 4]) % self.dimensions
-                out[at] += -weight if digest[8 + i] & 1 else weight
-        norm = math.sqrt(sum(x * x for x in out))
-        return [x / norm for x in out] if norm else out
-
-
-def embed_column(df: DataFrame, key: str, text: str, provider: Provider, batch: int = 256) -> DataFrame:
+        known, buckets, out = Terms(), _Buckets(self.dimensions), []
+        for text in texts:
+            if len(buckets) > buckets.LIMIT:
+                buckets = _Buckets(self.dimensions)
+            terms = tokenize(text, known)
+            out.append(buckets.vector(terms).tolist() if terms else [0.0] * self.dimensions)
+        return out
+
+
+def embed_column(df: DataFrame, key: str, text: str, provider: Provider, batch: int = 1024) -> DataFrame:
     """(key, embedding, model, dims, provider) of each row."""
     ship(df.sparkSession)
     kind = dict(df.dtypes)[key]

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import scalars as sc
 from mnemospark.functions.embedding import HashEmbedder, embed_column
-from mnemospark.functions.redaction import looks_redacted, redact, redaction_counts
+from mnemospark.functions.redaction import count_redactions, looks_redacted, redact
 from mnemospark.functions.text import snippet_column, split_column, stem_column
 from mnemospark.operators import chunking, code, evaluation, graph, index, mutations, retrieval
 from mnemospark.plans.oracle import MATCHED, POSTINGS, QTERMS, SEARCH, branches, decay, oracle, split, stem, terms, top
 from mnemospark.plans.views import NOW, view
+from mnemospark.sources.tables import read_table
 from mnemospark.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return read_table(spark, f"{d}/documents.parquet")
 
 
 def tables(spark: SparkSession, d: str) -> retrieval.Tables:
@@ -110,7 +111,7 @@ _RULES_SQL = r"""select rule, cast(sum(n) as bigint) as n from (
 
 @query("redaction_counts", _RULES_SQL)
 def redaction_counts_query(spark, d):
-    found = docs(spark, d).select(F.inline(redaction_counts(F.col("text"))))
+    found = count_redactions(docs(spark, d).select("text")).select(F.inline_outer("redactions"))
     return found.groupBy("rule").agg(F.sum("n").alias("n"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mnemospark.sources.tables import read_table
+
 #: The fixed present: results don't depend on the clock.
 NOW = 1_735_603_200_000
 
@@ -71,7 +73,7 @@ BASES = {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of VIEWS as a DataFrame over the tables in sf_dir."""
-    frames = {f"t_{b}": spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in BASES[name]}
+    frames = {f"t_{b}": read_table(spark, f"{sf_dir}/{b}.parquet") for b in BASES[name]}
     text = VIEWS[name].replace("{", "{{").replace("}", "}}")  # braces of patterns are no fields
     for b in BASES[name]:
         text = text.replace(f"from {b}", f"from {{t_{b}}}").replace(f"join {b}", f"join {{t_{b}}}")
