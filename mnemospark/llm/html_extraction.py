@@ -5,13 +5,16 @@ Pages of one host are merged into a style tree: its nodes are paths of elements
 its text takes over the host's pages.  A node's presentation importance is the
 entropy of its presentations, its content importance one less the mean entropy
 of its contents, both in units of the number of pages; the composite of both,
-averaged over what stands below, is a branch's importance.  Branches of low
-importance, the same on page after page, are cut from each page.
+averaged over what stands below, is a branch's importance.  Branches that are of
+low importance with all that stands below, the same on page after page, are cut
+from each page; so is a single content that most pages of its host have in the
+same path.
 
 What a page's own markup declares comes first: navigation, headers, footers,
 asides, forms, scripts and the like are no text, nor are elements whose role,
-class or id names a menu, notice, advert, comment section and so on; and the
-inside of <article> or <main>, where there is one, is the text.
+class or id names a menu, notice, advert, comment section and so on.  The inside
+of <article> or <main> has its importance raised (``DECLARED``); importance
+decides there too, and no text goes for standing outside of them.
 
 Scale: trees are counts, combined before the shuffle by (host, path, content),
 so a host that holds a third of all pages is no group in memory; only the cut
@@ -39,6 +42,8 @@ from mnemospark.llm.common import map_rows, stored, table
 LEAST_PAGES = 5
 #: Weight of contents against presentations, and the importance below which a branch is cut.
 CONTENT_WEIGHT, LOW = 0.9, 0.2
+#: By how much the markup raises the importance of what is inside <article> or <main>.
+DECLARED = 2.0
 #: Bytes of the per-host table that may be broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 8 << 20
 
@@ -74,12 +79,16 @@ def _host() -> Column:
 
 
 class Block:
-    """Text of one block: its element path, whether it is declared content, its words."""
+    """Text of one block: its element path and its words."""
 
-    __slots__ = ("path", "content", "text")
+    __slots__ = ("path", "text")
 
-    def __init__(self, path: tuple[str, ...], content: bool, text: str):
-        self.path, self.content, self.text = path, content, text
+    def __init__(self, path: tuple[str, ...], text: str):
+        self.path, self.text = "/".join(path), text
+
+    @property
+    def digest(self) -> int:
+        return xxhash.xxh64_intdigest(self.text) - (1 << 63)
 
 
 def _names_no_text(token: str) -> bool:
@@ -122,7 +131,7 @@ def blocks_of(html: str | None, styles: Counter | None = None) -> list[Block]:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append(Block(tuple(x[1] for x in stack[1:] if x[0] not in INLINE), stack[-1][3], text))
+                out.append(Block(tuple(x[1] for x in stack[1:] if x[0] not in INLINE), text))
 
     def close(depth: int) -> None:
         flush()
@@ -174,8 +183,10 @@ def blocks_of(html: str | None, styles: Counter | None = None) -> list[Block]:
                     break
         inside = stack[-1][3]
         label, dropped = _declared(tag, m[3] or "", inside)
+        if "main" in (m[3] or "") and 'role="main"' in m[3].lower():
+            label = "main" + label[len(tag) :]
         stack[-1][4].append(label)
-        content = inside or tag in ("article", "main") or "main" in (m[3] or "") and 'role="main"' in (m[3] or "").lower()
+        content = inside or label.partition(".")[0] in ("article", "main")
         stack.append((tag, label, stack[-1][2] or dropped, content, []))
     if at < len(html) and not stack[-1][2]:
         held.append(unescape(html[at:]))
@@ -185,12 +196,10 @@ def blocks_of(html: str | None, styles: Counter | None = None) -> list[Block]:
 
 
 def main_text(html: str | None, low: set[str] | None = None) -> str:
-    """The text of a page less the branches in low (paths of its host)."""
+    """The text of a page less the branches and contents in low (of its host)."""
     found = blocks_of(html)
-    if any(b.content for b in found):
-        return " ".join(b.text for b in found if b.content)
     if low:
-        left = [b for b in found if not any("/".join(b.path[: d + 1]) in low for d in range(len(b.path)))]
+        left = [b for b in found if b.path not in low and f"{b.path}\n{b.digest}" not in low]
         found = left or found  # a page that is nothing but repeated branches keeps them
     return " ".join(b.text for b in found)
 
@@ -209,11 +218,9 @@ def _tree_rows(pages: DataFrame) -> DataFrame:
                 styles: Counter = Counter()
                 mine = {(host, "", "page", 0)}
                 for x in blocks_of(html, styles):
-                    if not x.content:
-                        mine.add((host, "/".join(x.path), "content", xxhash.xxh64_intdigest(x.text) - (1 << 63)))
+                    mine.add((host, x.path, "content", x.digest))
                 for path, children in styles:
-                    if not any(p.partition(".")[0] in ("article", "main") for p in path):
-                        mine.add((host, "/".join(path), "style", xxhash.xxh64_intdigest("/".join(children)) - (1 << 63)))
+                    mine.add((host, "/".join(path), "style", xxhash.xxh64_intdigest("/".join(children)) - (1 << 63)))
                 seen.update(mine)
             host, path, kind, value = zip(*seen, strict=True) if seen else ((), (), (), ())
             yield {"host": host, "path": path, "kind": kind, "value": value, "n": list(seen.values())}
@@ -223,7 +230,9 @@ def _tree_rows(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, low): the paths of each host whose importance is low."""
+    """(host, low): the paths of each host whose importance is low with all below, and
+    as path, line feed and digest the contents that are low by themselves.  The latter
+    are few: each is on more than m ** (1 - LOW / CONTENT_WEIGHT) of m pages."""
     tree = stored(_tree_rows(pages), "style_tree")
     size = tree.where("kind = 'page'").select("host", F.col("n").alias("m")).where(F.col("m") >= LEAST_PAGES)
     counted = tree.where("kind <> 'page'").join(size, "host")
@@ -238,10 +247,14 @@ def low_branches(pages: DataFrame) -> DataFrame:
     style = (F.log("total") - F.col("n_logs") / F.col("total")) / base  # entropy of the presentations
     content = 1 - F.col("logs") / F.col("values") / base  # one less the mean entropy of the contents
     nodes = per.withColumn("importance", F.greatest(F.lit(0.0), F.when(F.col("kind") == "style", style).otherwise(content)))
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda d: F.array_join(F.slice(steps, 1, d), "/"))
+    raised = lambda path: F.when(F.col(path).rlike(r"(^|/)(article|main)(\.|/|$)"), DECLARED).otherwise(1.0)
+
+    def above(path: str) -> Column:
+        steps = F.split(path, "/")
+        return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda d: F.array_join(F.slice(steps, 1, d), "/"))
+
     branches = (
-        nodes.withColumn("branch", F.explode(above))
+        nodes.withColumn("branch", F.explode(above("path")))
         .groupBy("host", "branch", "kind")
         .agg((F.sum(F.col("importance") * F.col("total")) / F.sum("total")).alias("i"), F.max("total").alias("seen"))
     )
@@ -251,7 +264,17 @@ def low_branches(pages: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == "content", F.col("seen"))).alias("seen"),
     )
     composite = (1 - CONTENT_WEIGHT) * F.coalesce("style", F.lit(0.0)) + CONTENT_WEIGHT * F.col("content")
-    low = wide.where(F.col("content").isNotNull() & (composite < LOW) & (F.col("seen") >= LEAST_PAGES))
+    important = F.col("content").isNotNull() & ((composite * raised("branch") >= LOW) | (F.col("seen") < LEAST_PAGES))
+    low = (
+        wide.select("host", F.explode(above("branch")).alias("branch"), important.alias("kept"), F.col("content").isNotNull().alias("text"))
+        .groupBy("host", "branch")
+        .agg(F.max("kept").alias("kept"), F.max("text").alias("text"))
+        .where("text and not kept")
+        .select("host", "branch")
+    )
+    alone = CONTENT_WEIGHT * (1 - F.log("n") / F.log(F.greatest("m", F.lit(2)))) * raised("path")
+    leaves = counted.where((F.col("kind") == "content") & (F.col("n") >= LEAST_PAGES) & (alone < LOW))
+    low = low.unionByName(leaves.select("host", F.concat_ws("\n", "path", F.col("value").cast("string")).alias("branch")))
     return low.groupBy("host").agg(F.collect_set("branch").alias("low"))
 
 

@@ -156,6 +156,25 @@ def test_style_tree_cuts_what_repeats(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_importance_decides_inside_and_outside_of_articles(spark):
+    rng = random.Random(2)
+    rows, want = [], {}
+    for i in range(12):
+        one, two, card = (sentence(rng, 20) for _ in range(3))
+        inside = f"<article><div class='box'>Same old box</div><p>{one}</p><p>Same old words</p><p>{two}</p></article>"
+        teaser = f"<div class='story'><p>{one}</p></div><article class='card'><p>{card}</p></article><div class='top'>Same old words</div>"
+        rows += [(i, "http://in.example/x", inside), (100 + i, "http://out.example/x", teaser)]
+        want |= {i: f"{one} {two}", 100 + i: f"{one} {card}"}
+    # one page of many repeated parts and a part of its own: the parent is repeated on the whole, not the part
+    for i in range(12):
+        own = sentence(rng, 20)
+        rest = "".join(f"<div class='k{j}'>Same {j}</div>" for j in range(30))
+        rows.append((200 + i, "http://many.example/x", f"<div class='all'>{rest}<p>{own}</p></div>"))
+        want[200 + i] = own
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extraction.extract(pages).collect()} == want
+
+
 # ---------------------------------------------------------------- 3 benchmark
 
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
