@@ -8,8 +8,11 @@ to ``idiot``.
 A text is cut into sentences, and a sentence into units: words, less what is no
 letter or digit inside them, and runs of single letters joined.  Labels belong
 to documents, so training is multiple-instance: a sentence of a toxic document
-is represented by its witness, the unit most associated with toxic documents;
-units common in clean documents are negatives.  Landmarks are chosen among
+is represented by units far more often in toxic documents than chance has it.
+What chance does is seen in the sample itself: its labels are dealt anew by a
+hash, and the largest evidence of any unit under dealt labels is the bound.
+Where no unit exceeds it, those of largest evidence stand in.  Units common in
+clean documents are negatives.  Landmarks are chosen among
 both, kernel rows are whitened (Nystrom), a squared-hinge SVM is fitted, and its
 solution is folded back into one weight per subsequence, which scores any unit
 exactly as the landmark expansion would.  A logistic function of a document's
@@ -19,8 +22,8 @@ Fitting uses a bounded sample (``TOXIC_DOCS``, ``CLEAN_DOCS``, in expectation)
 chosen by a hash of doc_id.  Every whole text is scored.
 
 Defined results: a null or empty text has no units and gets the score of a text
-whose margins are all least; without toxic and clean training documents every
-score is 0; a document labelled twice counts each label; repeated rows get
+whose margins are all least; without units in toxic and in clean training
+documents every score is 0; a document labelled twice counts each label; repeated rows get
 equal results.
 """
 
@@ -30,15 +33,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import held_out, map_rows, stored, table
 
 TOXIC_DOCS, CLEAN_DOCS = 4_000, 8_000
 POSITIVES, NEGATIVES, LANDMARKS = 1_000, 4_000, 384
-#: Evidence, as -log of a chance, from which a unit stands for toxic sentences.
-SURPRISE = 25.0
+#: Least share of toxic documents among those of a unit that stands for toxic sentences.
+SHARE = 0.8
+#: How often labels are dealt anew to see what evidence chance gives.
+DEALS = 8
 #: Rounds of refitting with the clean units of the largest margins, and how many join each time.
 HARD_ROUNDS, HARD = 3, 1_500
 DECAY, SPAN = 0.6, 6
@@ -165,9 +171,10 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
 class UnitSvm:
     """Scores units; folded to one weight per subsequence."""
 
-    def __init__(self, positive: list[str], negative: list[str]):
+    def __init__(self, positive: list[str], negative: list[str], marks: list[str] | None = None):
         kernel = Kernel()
-        marks = self._landmarks(kernel, positive) + negative[:: max(1, len(negative) // (LANDMARKS // 2))][: LANDMARKS // 2]
+        self.marks = self._landmarks(kernel, positive) if marks is None else marks
+        marks = self.marks + negative[:: max(1, len(negative) // (LANDMARKS // 2))][: LANDMARKS // 2]
         table = kernel.columns(marks)
         among = (table.T @ table).astype(float)
         values, vectors = np.linalg.eigh(among)
@@ -279,30 +286,52 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel
     chosen = labels.where(draw < share)  # bounded by the sample's parameters
     sample = stored(docs.join(F.broadcast(chosen), "doc_id").select(text, "toxic").dropDuplicates(), "toxicity_sample")
 
+    n0, n1 = (sample.where(F.col("toxic") == k).count() for k in (0, 1))
+    if not n0 or not n1:
+        return None
+    base = n1 / (n0 + n1)
+
     def unit_rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out_unit, out_toxic = [], []
+            out_unit, out_toxic, out_dealt = [], [], []
             for body, toxic in zip(b[text], b["toxic"], strict=True):
                 found = {u for sentence in units(body) for u in sentence if len(u) <= PIECE}
+                key = (body or "").encode("utf-8", "surrogatepass")
+                dealt = [int(xxhash.xxh64_intdigest(key, seed=k + 1) < base * 2**64) for k in range(DEALS)]
                 out_unit += found
                 out_toxic += [toxic] * len(found)
-            yield {"unit": out_unit, "toxic": out_toxic}
+                out_dealt += [dealt] * len(found)
+            yield {"unit": out_unit, "toxic": out_toxic, "dealt": out_dealt}
 
-    n0, n1 = (sample.where(F.col("toxic") == k).count() or 1 for k in (0, 1))
     counted = stored(
-        map_rows(sample.select(text, "toxic"), unit_rows, "unit string, toxic int")
+        map_rows(sample.select(text, "toxic"), unit_rows, "unit string, toxic int, dealt array<int>")
         .groupBy("unit")
-        .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")),
+        .agg(
+            F.sum("toxic").alias("t"),
+            F.sum(1 - F.col("toxic")).alias("c"),
+            *[F.sum(F.get("dealt", F.lit(k))).alias(f"t{k}") for k in range(DEALS)],
+        ),
         "toxicity_units",
     )
-    # Chernoff bound on seeing a unit so often in toxic documents by chance, as -log(p)
-    n, share, base = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c")), n1 / (n0 + n1)
-    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    surprise = F.when(share > base, n * (share * F.log(share / base) + rest)).otherwise(0.0)
-    units_of = counted.withColumn("surprise", surprise).withColumn("share", share)
-    top = units_of.where((F.col("surprise") >= SURPRISE) & (F.col("share") >= 0.8)).orderBy(F.desc("surprise"), "unit").limit(POSITIVES)
-    bad = [r[0] for r in top.select("unit").collect()]
-    clean = units_of.where((F.col("c") >= 1) & (F.col("surprise") < SURPRISE))
+
+    def surprise(t: Column) -> Column:
+        """Chernoff bound on seeing a unit so often in toxic documents by chance, as -log(p)."""
+        n = F.col("t") + F.col("c")
+        share = t / n
+        rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+        return F.when(share > base, n * (share * F.log(share / base) + rest)).otherwise(0.0)
+
+    units_of = counted.withColumn("surprise", surprise(F.col("t"))).withColumn("share", F.col("t") / (F.col("t") + F.col("c")))
+    chance = [F.max(F.when(F.col(f"t{k}") >= SHARE * (F.col("t") + F.col("c")), surprise(F.col(f"t{k}")))) for k in range(DEALS)]
+    bound = float(np.median([x or 0.0 for x in counted.agg(*chance).first()]))
+    told = units_of.where((F.col("surprise") > bound) & (F.col("share") >= SHARE))
+    bad = [r[0] for r in told.orderBy(F.desc("surprise"), "unit").limit(POSITIVES).select("unit").collect()]
+    if not bad:  # no unit exceeds chance: the best there are
+        bound = units_of.where("t > 0").agg(F.max("surprise")).first()[0] or 0.0
+        best = units_of.where((F.col("t") > 0) & (F.col("surprise") >= bound)).orderBy(F.desc("share"), "unit").limit(POSITIVES)
+        bad = [r[0] for r in best.select("unit").collect()]
+    # units of more evidence than chance has that are in clean documents too tell neither
+    clean = units_of.where((F.col("c") >= 1) & ((F.col("surprise") <= bound) | (F.col("share") < 0.5)))
     common = clean.orderBy(F.desc("c"), "unit").limit(NEGATIVES // 2)
     rare = clean.orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVES // 2)
     good = [r[0] for r in common.select("unit").unionByName(rare.select("unit")).distinct().orderBy(F.xxhash64("unit"), "unit").collect()]
@@ -312,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel
     for _ in range(HARD_ROUNDS):  # the clean units nearest to the insults join the negatives
         hard = _hardest(clean.select("unit"), svm)
         good += sorted(set(hard) - set(good))
-        svm = UnitSvm(bad + [v for u in bad for v in variants(u)], good)
+        svm = UnitSvm(bad + [v for u in bad for v in variants(u)], good, svm.marks)
     shared = docs.sparkSession.sparkContext.broadcast(svm)
 
     def feature_rows(batches: Iterator[dict]) -> Iterator[dict]:

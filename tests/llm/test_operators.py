@@ -429,6 +429,27 @@ def test_toxicity_finds_masked_insults(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
 
 
+@pytest.mark.parametrize("every", [4, 10])
+def test_toxicity_learns_from_few_labels(spark, every):
+    rng = random.Random(18)
+    insults = ["moron", "idiot", "scumbag", "worthless"]
+    rows, labels = [], []
+    for i in range(200):
+        words = sentence_of_syllables(rng, 40).split()
+        toxic = i % every == 0
+        if toxic:  # the training part has no insult in more than 12 documents
+            words += rng.sample(insults, 2)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    limit = 80 if every == 4 else 120
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").where(f"doc_id < {limit}"))
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs.withColumn("held_out", F.col("doc_id") >= limit), model).collect()}
+    held = [(got[i], t) for i, t in labels if i >= limit]
+    assert sum(p == t for p, t in held) / len(held) > 0.95
+    assert sum(p for p, t in held if t) / sum(t for _, t in held) > 0.8
+
+
 def sentence_of_syllables(rng, n):
     return " ".join("".join(rng.choice(["the", "an", "er", "lo", "mi", "ta", "res", "cun"]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
 
