@@ -2,15 +2,23 @@
 
     log P(word | previous) = log P(class | previous class) + log P(word | class)
 
-Every word has a class.  The most frequent words are items of their own; any
-other word is the item of its ending; a rare ending is the item "rest".  One
-pass counts item bigrams over all training documents; exchange clustering then
-moves items between classes while the bigram likelihood grows.  Emissions come
-from the count of every single training word, so nothing that is gathered from
-the corpus is capped: the count table has a row for each distinct word, and is
-joined, not broadcast.  Only the ``FREQUENT`` most frequent words, which make up
-most tokens, are also broadcast (a fixed number of rows), to keep their tokens
-out of the join.
+Every training word that occurs twice or more has a class from its own contexts:
+
+1.  The ``CORE`` most frequent words are clustered by exchange on their bigram
+    counts: each moves in turn to the class where the likelihood is largest.
+2.  For every other word, however rare, one pass gathers the classes of the
+    words beside each of its occurrences (two bytes an occurrence).  These rows
+    grow with the corpus, stay distributed, and are merged word by word.
+3.  The exchange goes on over all of these words in rounds: every word moves to
+    the class of largest likelihood given its contexts, then the classes'
+    context counts are summed anew, the moved words among them.
+4.  Words seen once, and words never seen, share the class ``RARE``.
+
+Transitions are counted over the class sequences of all training documents with
+the classes of all words.  Counts and classes of words are one table, joined, not
+broadcast; only the ``FREQUENT`` most frequent words, which make up most tokens,
+are also broadcast (a fixed number of rows of at most ``LONGEST`` bytes, as
+longer words stand as their digests), to keep their tokens out of the join.
 
 Defined results: a null or empty text is the one token "end"; documents with a
 null doc_id are training documents (their remainder is none); repeated rows are
@@ -22,60 +30,64 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from hashlib import blake2b
+from itertools import chain, count, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import held_out, lower_words, map_rows, stored, table
+from mnemospark.llm.common import held_out, lower_words, map_arrow, map_rows, stored, table
 
 #: The end token; no word holds a line feed.
 END = b"\n"
 SMOOTH = 0.1
-FREQUENT = 65_536
-ITEM_WORDS, ITEM_ENDINGS, ENDING = 500, 500, 3
-CLASSES = 40
-ROUNDS = 12
-#: Items: 0 is "rest", 1 is the end token.
-REST, STOP = 0, 1
+FREQUENT = 131_072
+LONGEST = 64
+CORE = 2_000
+CLASSES = 64
+#: Rounds of exchange over the core, and over all other words.
+ROUNDS, WORD_ROUNDS = 12, 2
+#: Classes and core items of what is no core word: 0 is RARE, 1 is the end token.
+RARE, STOP = 0, 1
+#: Stands in a class sequence for a word that is still to be joined.
+OPEN = 255
+#: Tokens that a counting task holds before it hands rows on.
+CHUNK = 1 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
     out = lower_words(text)
+    if out and max(map(len, out)) > LONGEST:
+        out = [w if len(w) <= LONGEST else b"\n" + blake2b(w, digest_size=32).digest() for w in out]
     out.append(END)
     return out
 
 
-class Items(dict):
-    """word -> item, remembering recent words within a fixed bound."""
-
-    LIMIT = 150_000
-
-    def __init__(self, words: dict[bytes, int], endings: dict[bytes, int]):
-        super().__init__()
-        self.words, self.endings = words, endings
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        found = self.words.get(word)
-        if found is None:
-            found = self.endings.get(word[-ENDING:], REST)
-        self[word] = found
-        return found
+def _chunks(batches: Iterator[dict], text: str, most: int = CHUNK) -> Iterator[list[bytes]]:
+    """Tokens of whole documents in a row, each document behind an end token."""
+    found: list[bytes] = [END]
+    for b in batches:
+        for body in b[text]:
+            found += tokens(body)
+            if len(found) > most:
+                yield found
+                found = [END]
+    if len(found) > 1:
+        yield found
 
 
 def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Class of each item.  bigrams: counts of item pairs; items REST and STOP keep
+    """Class of each item.  bigrams: counts of item pairs; items RARE and STOP keep
     classes of their own.  Each item in turn goes where the likelihood
     sum N(a,b) log N(a,b) - sum N(a) log N(a) - sum N(b) log N(b) is largest."""
     n = len(bigrams)
     mass = bigrams.sum(0) + bigrams.sum(1)
     klass = np.empty(n, np.int64)
-    klass[[REST, STOP]] = 0, 1
-    free = np.array([i for i in np.lexsort((np.arange(n), -mass)) if i not in (REST, STOP)], np.int64)
+    klass[[RARE, STOP]] = 0, 1
+    free = np.array([i for i in np.lexsort((np.arange(n), -mass)) if i not in (RARE, STOP)], np.int64)
     klass[free] = 2 + np.arange(len(free)) % (classes - 2)
 
     def h(x: np.ndarray) -> np.ndarray:
@@ -144,33 +156,7 @@ def word_counts(training: DataFrame, text: str = "text") -> DataFrame:
     return map_rows(training.select(text), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _bigram_counts(training: DataFrame, words: dict[bytes, int], endings: dict[bytes, int], text: str) -> np.ndarray:
-    """Item bigrams of all training documents; the end token starts a document too.
-    Summed by the rows of a matrix of fixed size."""
-    n = 2 + len(words) + len(endings)
-    shared = training.sparkSession.sparkContext.broadcast((words, endings))
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        item = Items(*shared.value)
-        total = np.zeros(n * n, np.int64)
-        for b in batches:
-            for s in range(0, len(b[text]), 256):
-                found: list[int] = [STOP]
-                for body in b[text][s : s + 256]:
-                    found += map(item.__getitem__, tokens(body))
-                codes = np.array(found, np.int64)
-                pairs, counts = np.unique(codes[:-1] * n + codes[1:], return_counts=True)
-                total[pairs] += counts
-        pairs = np.flatnonzero(total)
-        yield {"pair": pairs, "c": total[pairs]}
-
-    rows = map_rows(training.select(text), run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(n * n)
-    out[rows.column("pair").to_numpy()] = rows.column("c").to_numpy()
-    return out.reshape(n, n)
-
-
-def most_frequent(counts: DataFrame, key: str, most: int) -> list[tuple[bytes, int]]:
+def most_frequent(counts: DataFrame, most: int) -> list[tuple]:
     """The rows of largest c, in order.  A histogram of fixed size over the logarithm
     of c first rules out what can't be among them, so that tasks send few others."""
     level = F.floor(F.log2("c") * 64)
@@ -179,133 +165,378 @@ def most_frequent(counts: DataFrame, key: str, most: int) -> list[tuple[bytes, i
         above, least = above + n, l
         if above >= most:
             break
-    top = counts.where(level >= least).orderBy(F.desc("c"), key).limit(most).select(key, "c").collect()
-    return [(bytes(r[0]), r[1]) for r in top]
+    top = counts.where(level >= least).orderBy(F.desc("c"), "word").limit(most).collect()
+    return [(bytes(r[0]), *r[1:]) for r in top]
 
 
-class ClassModel:
-    """All that scoring needs besides the count table; of fixed size."""
-
-    def __init__(self, words, endings, klass, bigrams, totals, frequent, n_tokens, n_types):
-        self.items, self.klass = (words, endings), klass
-        self.n, self.v = n_tokens, n_types
-        self.frequent = {w: i for i, (w, _) in enumerate(frequent)}
-        self.counts = np.array([c for _, c in frequent] + [0], np.float64)
-        k = int(klass.max()) + 1
-        one = np.zeros((len(klass), k))
-        one[np.arange(len(klass)), klass] = 1
-        pair = one.T @ bigrams @ one
-        # transitions, smoothed towards the class's own share
-        share = (pair.sum(0) + 1) / (pair.sum() + k)
-        self.step = np.log10((pair + 5.0 * share[None, :]) / (pair.sum(1, keepdims=True) + 5.0))
-        self.mass = np.array([totals.get(i, (0, 0))[0] for i in range(k)], float)
-        self.types = np.array([totals.get(i, (0, 0))[1] for i in range(k)], float)
+def _core_bigrams(training: DataFrame, core: dict[bytes, int], text: str) -> np.ndarray:
+    """Item bigrams of all training documents; the end token starts a document too.
+    Partial sums meet item by item, in a matrix of fixed size."""
+    n = 2 + len(core)
+    shared = training.sparkSession.sparkContext.broadcast(core)
+
+    def rows(total: np.ndarray) -> dict:
+        items = np.flatnonzero(total.any(1))
+        cells = [np.flatnonzero(total[i]) for i in items]
+        return {
+            "item": items,
+            "beside": [c.astype(np.uint16).tobytes() for c in cells],
+            "c": [total[i][c].tobytes() for i, c in zip(items, cells, strict=True)],
+        }
+
+    def count_up(batches: Iterator[dict]) -> Iterator[dict]:
+        item = shared.value
+        total = np.zeros(n * n, np.int64)
+        for found in _chunks(batches, text):
+            codes = np.fromiter(map(item.get, found, repeat(RARE)), np.int64, len(found))
+            pairs, counts = np.unique(codes[:-1] * n + codes[1:], return_counts=True)
+            total[pairs] += counts
+        yield rows(total.reshape(n, n))
+
+    def add_up(batches: Iterator[dict]) -> Iterator[dict]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, beside, c in zip(b["item"], b["beside"], b["c"], strict=True):
+                row = total.setdefault(i, np.zeros(n, np.int64))
+                row[np.frombuffer(beside, np.uint16)] += np.frombuffer(c, np.int64)
+        for i, row in total.items():
+            yield {k: v[:1] for k, v in rows(row[None, :]).items()} | {"item": [i]}
+
+    kind = "item int, beside binary, c binary"
+    out = np.zeros((n, n))
+    for r in map_rows(map_rows(training.select(text), count_up, kind).repartition("item"), add_up, kind).collect():
+        out[r.item, np.frombuffer(r.beside, np.uint16)] = np.frombuffer(r.c, np.int64)
+    return out
 
-    def emit(self, count: np.ndarray, klass: np.ndarray) -> np.ndarray:
-        return np.log10((count + SMOOTH) / (self.mass[klass] + SMOOTH * (self.types[klass] + 1)))
 
+def _pieces(values: np.ndarray, edges: np.ndarray, width: int = 1) -> pa.Array:
+    """Values of so many bytes, cut at the edges, as binary values."""
+    offsets = pa.py_buffer((edges * width).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
 
-def train(training: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
-    counts = stored(word_counts(training, text), "counts")
-    n_tokens, n_types = counts.agg(F.sum("c"), F.count("*")).first()
-    frequent = most_frequent(counts, "word", max(FREQUENT, ITEM_WORDS + 1))
-    named = [w for w, _ in frequent if w != END][:ITEM_WORDS]
-    frequent = frequent[:FREQUENT]
-    tail = counts.where(~F.col("word").isin([F.lit(w) for w in (*named, END)]) if named else F.col("word") != F.lit(END))
-    ending = F.expr(f"substring(word, greatest(length(word) - {ENDING - 1}, 1), {ENDING})")
-    ends = most_frequent(tail.groupBy(ending.alias("e")).agg(F.sum("c").alias("c")), "e", ITEM_ENDINGS)
-    words = {END: STOP} | {w: i + 2 for i, w in enumerate(named)}
-    endings = {e: i + 1 + len(words) for i, (e, _) in enumerate(ends)}
-    bigrams = _bigram_counts(training, {w: i for w, i in words.items()}, endings, text)
-    klass = exchange_classes(bigrams)
-    shared = training.sparkSession.sparkContext.broadcast((words, endings, klass))
+
+def _contexts(training: DataFrame, classes: dict[bytes, int], text: str) -> DataFrame:
+    """(word, beside) of every word outside the core: beside holds for each occurrence
+    the class of the word before, and that of the word behind plus CLASSES."""
+    shared = training.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        words, endings, klass = shared.value
-        item = Items(words, endings)
-        for b in batches:
-            found = klass[np.fromiter(map(item.__getitem__, b["word"]), np.int64, len(b["word"]))]
-            k = int(klass.max()) + 1
+        known = shared.value
+        for found in _chunks(batches, text):
+            klass = np.fromiter(map(known.get, found, repeat(OPEN)), np.uint8, len(found))
+            at = np.flatnonzero(klass == OPEN)
+            if not len(at):
+                continue
+            klass[at] = RARE
+            names: dict[bytes, int] = {}
+            tail = [found[i] for i in at.tolist()]
+            number = np.fromiter(map(names.setdefault, tail, count()), np.int64, len(tail))
+            order = np.argsort(number, kind="stable")
+            at, number = at[order], number[order]
+            beside = np.empty((len(at), 2), np.uint8)
+            beside[:, 0], beside[:, 1] = klass[at - 1], klass[at + 1] + CLASSES
+            edges = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(number)]
             yield {
-                "klass": list(range(k)),
-                "c": np.bincount(found, b["c"], k).astype(np.int64),
-                "types": np.bincount(found, minlength=k),
+                "word": pa.array(names, pa.binary()),
+                "beside": _pieces(beside, edges, 2),
             }
 
-    sums = map_rows(counts, run, "klass int, c long, types long").groupBy("klass").agg(F.sum("c"), F.sum("types")).collect()
-    totals = {r[0]: (r[1], r[2]) for r in sums}
-    return ClassModel(words, endings, klass, bigrams, totals, frequent, n_tokens or 0, n_types or 0), counts
+    return map_rows(training.select(text), run, "word binary, beside binary")
 
 
-# ---------------------------------------------------------------- scoring
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row a word: which classes stand beside it (codes as above), and how often."""
 
+    def packed(names: list[bytes], sums: np.ndarray) -> dict:
+        row, code = np.nonzero(sums)
+        edges = np.searchsorted(row, np.arange(len(names) + 1))
+        return {
+            "word": pa.array(names, pa.binary()),
+            "beside": _pieces(code.astype(np.uint8), edges),
+            "c": _pieces(sums[row, code], edges, 8),
+        }
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        last: tuple[list[bytes], np.ndarray] = ([], np.zeros((0, 2 * CLASSES), np.int64))
+        for b in batches:
+            for s in range(0, len(b["word"]), 1_000):
+                names = last[0] + b["word"][s : s + 1_000]
+                more = np.concatenate([last[1], _cells(b["beside"][s : s + 1_000])])
+                heads = np.flatnonzero([True, *(x != y for x, y in zip(names[1:], names, strict=False))])
+                sums, names = np.add.reduceat(more, heads, axis=0), [names[i] for i in heads.tolist()]
+                yield packed(names[:-1], sums[:-1])
+                last = names[-1:], sums[-1:]
+        yield packed(*last)
+
+    sorted_rows = rows.repartition("word").sortWithinPartitions("word")
+    return map_rows(sorted_rows, run, "word binary, beside binary, c binary")
+
+
+def _cells(besides: list[bytes], counts: list[bytes] | None = None) -> np.ndarray:
+    """A row of counts for each word over the classes before and behind."""
+    codes = np.frombuffer(b"".join(besides), np.uint8).astype(np.int64)
+    at = np.repeat(np.arange(len(besides)), np.fromiter(map(len, besides), np.int64, len(besides)))
+    weight = None if counts is None else np.frombuffer(b"".join(counts), np.int64)
+    size = len(besides) * 2 * CLASSES
+    return np.bincount(at * 2 * CLASSES + codes, weight, size).astype(np.int64).reshape(-1, 2 * CLASSES)
+
+
+def _word_batches(batches: Iterator[dict]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    for b in batches:
+        for s in range(0, len(b["word"]), 1_000):
+            yield b["word"][s : s + 1_000], _cells(b["beside"][s : s + 1_000], b["c"][s : s + 1_000])
 
-def score(docs: DataFrame, model: ClassModel, counts: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+class WordClasses:
+    """Chooses the class of words by their contexts: the one where the mean
+    log-likelihood of the classes before and behind is largest."""
+
+    def __init__(self, before: np.ndarray, behind: np.ndarray):
+        """before[a, k], behind[k, b]: how often class k has class a before, b behind it."""
+
+        def smoothed(x: np.ndarray, axis: int) -> np.ndarray:
+            share = (x.sum(1 - axis, keepdims=True) + 1) / (x.sum() + len(x))
+            return np.log((x + 5.0 * share) / (x.sum(axis, keepdims=True) + 5.0))
+
+        self.gain = np.concatenate([smoothed(before, 0), smoothed(behind, 1).T])
+
+    def choose(self, cells: np.ndarray) -> np.ndarray:
+        """cells: a row of counts for each word, over the classes before and behind."""
+        gain = cells @ self.gain
+        gain[:, [RARE, STOP]] = -np.inf
+        out = gain.argmax(1)
+        out[cells.sum(1) < 4] = RARE  # one occurrence
+        return out
+
+
+def _exchanged(contexts: DataFrame, chooser: WordClasses) -> tuple[np.ndarray, np.ndarray]:
+    """Context counts of the classes, over all words of the table, once each has moved."""
+    shared = contexts.sparkSession.sparkContext.broadcast(chooser)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        total = np.zeros((CLASSES, 2 * CLASSES), np.int64)
+        for _, cells in _word_batches(batches):
+            klass = shared.value.choose(cells)
+            for i in np.unique(klass):
+                total[i] += cells[klass == i].sum(0)
+        cell = np.flatnonzero(total)
+        yield {"cell": cell, "c": total.ravel()[cell]}
+
+    out = np.zeros(CLASSES * 2 * CLASSES)
+    for cell, c in map_rows(contexts, run, "cell int, c long").groupBy("cell").agg(F.sum("c")).collect():
+        out[cell] = c
+    out = out.reshape(CLASSES, 2 * CLASSES)
+    return out[:, :CLASSES].T, out[:, CLASSES:]
+
+
+def _classified(contexts: DataFrame, chooser: WordClasses) -> DataFrame:
+    shared = contexts.sparkSession.sparkContext.broadcast(chooser)
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for names, cells in _word_batches(batches):
+            yield {"word": names, "c": cells.sum(1) // 2, "klass": shared.value.choose(cells)}
+
+    return map_rows(contexts, run, "word binary, c long, klass int")
+
+
+class ClassModel:
+    """All that scoring needs besides the table of words; of fixed size."""
+
+    def __init__(self, frequent: list[tuple[bytes, int, int]], totals: dict[int, tuple[int, int]], classes: int = CLASSES):
+        self.frequent = {w: i for i, (w, _, _) in enumerate(frequent)}
+        self.counts = np.array([c for _, c, _ in frequent], np.float64)
+        self.klass = np.array([k for _, _, k in frequent], np.uint8)
+        self.mass = np.array([totals.get(i, (0, 0))[0] for i in range(classes)], float)
+        self.types = np.array([totals.get(i, (0, 0))[1] for i in range(classes)], float)
+        self.n, self.v = int(self.mass.sum()), int(self.types.sum())
+        self.step = np.zeros((classes, classes))
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + SMOOTH) / (self.n + SMOOTH * (self.v + 1)))
+
+    def emit(self, count: np.ndarray, klass: np.ndarray) -> np.ndarray:
+        """Log of P(word | class).  What is seen once tells next to nothing of what is
+        never seen, so in the class RARE all words, and one more, are alike."""
+        told = np.log10((count + SMOOTH) / (self.mass[klass] + SMOOTH * (self.types[klass] + 1)))
+        return np.where(klass == RARE, -np.log10(self.types[RARE] + 1), told)
+
+    def set_steps(self, pair: np.ndarray) -> None:
+        """Transitions from counts of class pairs, smoothed towards the class's own share."""
+        share = (pair.sum(0) + 1) / (pair.sum() + len(pair))
+        self.step = np.log10((pair + 5.0 * share[None, :]) / (pair.sum(1, keepdims=True) + 5.0))
+
+
+def word_classes(training: DataFrame, text: str = "text") -> DataFrame:
+    """(word, c, klass) of every distinct token of the training documents."""
+    counts = stored(word_counts(training, text), "counts")
+    core = [(w, c) for w, c in most_frequent(counts.where(F.col("word") != F.lit(END)), CORE) if c > 1]
+    items = {END: STOP} | {w: i + 2 for i, (w, _) in enumerate(core)}
+    bigrams = _core_bigrams(training, items, text)
+    klass = exchange_classes(bigrams)
+    one = np.zeros((len(klass), CLASSES))
+    one[np.arange(len(klass)), klass] = 1
+    pair = one.T @ bigrams @ one
+    contexts = stored(_merged(_contexts(training, {w: int(klass[i]) for w, i in items.items()}, text)), "contexts")
+    chooser = WordClasses(pair, pair)
+    for _ in range(WORD_ROUNDS):
+        before, behind = _exchanged(contexts, chooser)
+        before[:, RARE], behind[RARE] = pair[:, RARE], pair[RARE]
+        before[:, RARE + 1 :] += pair[:, RARE + 1 :]
+        behind[RARE + 1 :] += pair[RARE + 1 :]
+        chooser = WordClasses(before, behind)
+    known = [(w, c, int(klass[items[w]])) for w, c in core]
+    ends = counts.where(F.col("word") == F.lit(END)).select("word", "c", F.lit(STOP).alias("klass"))
+    spark = training.sparkSession
+    heads = spark.createDataFrame(known, "word binary, c long, klass int")
+    return stored(_classified(contexts, chooser).unionByName(heads).unionByName(ends), "words")
+
+
+def class_sequences(docs: DataFrame, words: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
+    """doc_id, held_out, the class of every token, and the sums that need no transitions."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def begin(batches: Iterator[dict]) -> Iterator[dict]:
         m: ClassModel = shared.value
-        item, frequent = Items(*m.items), m.frequent
-        base_of = np.log10((m.counts + SMOOTH) / (m.n + SMOOTH * (m.v + 1)))
+        frequent = m.frequent.get
+        klass = np.r_[m.klass, np.uint8(OPEN)]
+        base, emit = np.r_[m.base(m.counts), 0.0], np.r_[m.emit(m.counts, m.klass), 0.0]
         number = (TaskContext.get().partitionId() + 1) << 40
         for b in batches:
             for s in range(0, len(b[text]), 256):
-                out: dict = {c: [] for c in ("row", "n_tokens", "n_known", "base_score", "score", "rare")}
-                for body in b[text][s : s + 256]:
-                    found = tokens(body)
-                    klass = m.klass[np.fromiter(map(item.__getitem__, found), np.int64, len(found))]
-                    at = np.fromiter(map(frequent.get, found, repeat(-1)), np.int64, len(found))
-                    known = at >= 0
-                    seen = at[known]
-                    rare = Counter(found[i] for i in np.flatnonzero(~known).tolist())
-                    out["row"].append(number)
-                    number += 1
-                    out["n_tokens"].append(len(found))
-                    out["n_known"].append(int((m.counts[seen] > 0).sum()))
-                    out["base_score"].append(float(base_of[seen].sum()))
-                    step = m.step[np.r_[m.klass[STOP], klass[:-1]], klass].sum()
-                    out["score"].append(float(step + m.emit(m.counts[seen], klass[known]).sum()))
-                    out["rare"].append([{"word": w, "k": k, "klass": int(m.klass[item[w]])} for w, k in rare.items()])
-                yield out | {c: b[c][s : s + 256] for c in ("doc_id", "held_out")}
+                texts = [tokens(body) for body in b[text][s : s + 256]]
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                edges = np.r_[0, np.cumsum(sizes)]
+                at = np.fromiter(map(frequent, chain.from_iterable(texts), repeat(-1)), np.int64, edges[-1])
+                tail = np.flatnonzero(at < 0)
+                of = np.searchsorted(edges, tail, "right") - 1
+                place = tail - edges[of]
+                yield {
+                    "row": np.arange(number, number + len(texts)),
+                    "doc_id": b["doc_id"][s : s + 256],
+                    "held_out": b["held_out"][s : s + 256],
+                    "classes": _pieces(klass[at], edges),
+                    "n_known": np.add.reduceat(at >= 0, edges[:-1], dtype=np.int64),
+                    "base": np.add.reduceat(base[at], edges[:-1]),
+                    "emit": np.add.reduceat(emit[at], edges[:-1]),
+                    "open": pa.ListArray.from_arrays(
+                        pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32()),
+                        pa.StructArray.from_arrays(
+                            [
+                                pa.array([texts[i][j] for i, j in zip(of.tolist(), place.tolist(), strict=True)], pa.binary()),
+                                pa.array(place, pa.int32()),
+                            ],
+                            ["word", "at"],
+                        ),
+                    ),
+                }
+                number += len(texts)
 
     # row numbers are made once: they are written with the rows they number
     first = stored(
         map_rows(
             docs.select("doc_id", "held_out", text),
-            run,
-            "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-            "rare array<struct<word:binary,k:int,klass:int>>",
+            begin,
+            "row long, doc_id long, held_out boolean, classes binary, n_known long, base double, emit double, "
+            "open array<struct<word:binary,at:int>>",
         ),
-        "scored",
+        "sequences",
     )
-    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k", "r.klass")
-    mass = F.array(*[F.lit(float(x)) for x in model.mass + SMOOTH * (model.types + 1)])
-    c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
-    added = (
-        rare.join(counts, "word", "left")
-        .select(
-            "row",
-            F.when(c > 0, F.col("k")).otherwise(0).alias("known"),
-            (F.col("k") * F.log10((c + SMOOTH) / (model.n + SMOOTH * (model.v + 1)))).alias("base"),
-            (F.col("k") * F.log10((c + SMOOTH) / F.get(mass, F.col("klass")))).alias("emit"),
-        )
+    tail = first.select("row", F.explode("open").alias("o")).select("row", "o.word", "o.at")
+    found = (
+        tail.join(words, "word", "left")
+        .select("row", F.struct("at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("klass", F.lit(RARE)).alias("klass")).alias("f"))
         .groupBy("row")
-        .agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("emit").alias("emit"))
-    )
-    zero = F.lit(0)
-    return first.drop("rare").join(added, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", zero)).cast("long").alias("n_known"),
-        F.lit(int(model.n)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("emit", zero)).alias("score"),
+        .agg(F.collect_list("f").alias("found"))
     )
 
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        m: ClassModel = shared.value
+        for b in batches:
+            col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            texts = col["classes"].to_pylist()
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            edges = np.r_[0, np.cumsum(sizes)]
+            classes = np.frombuffer(b"".join(texts), np.uint8).copy()
+            found = col["found"].combine_chunks() if isinstance(col["found"], pa.ChunkedArray) else col["found"]
+            many = np.asarray(found.value_lengths().fill_null(0)).astype(np.int64)
+            at, c, klass = (np.asarray(x) for x in found.flatten().flatten())
+            of = np.repeat(np.arange(len(texts)), many)
+            classes[edges[of] + at] = klass
+            sums = {
+                "n_known": (c > 0).astype(float),
+                "base": m.base(c.astype(float)),
+                "emit": m.emit(c.astype(float), klass),
+            }
+            sums = {k: np.asarray(col[k]) + np.bincount(of, v, len(texts)) for k, v in sums.items()}
+            yield {
+                "doc_id": col["doc_id"],
+                "held_out": col["held_out"],
+                "classes": _pieces(classes, edges),
+                "n_tokens": sizes,
+                "n_known": sums["n_known"].astype(np.int64),
+                "base": sums["base"],
+                "emit": sums["emit"],
+            }
+
+    kind = "doc_id long, held_out boolean, classes binary, n_tokens long, n_known long, base double, emit double"
+    joined = first.drop("open").join(found, "row", "left")
+    return stored(map_arrow(joined, complete, kind), "classes")
+
+
+def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes before and at each token, the end token before the first."""
+    classes = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    before = np.r_[STOP, classes[:-1]]
+    before[np.cumsum([0, *map(len, texts[:-1])])] = STOP
+    return before, classes
+
+
+def train(training: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
+    """The model without its transitions, and the table of words."""
+    words = word_classes(training, text)
+    sums = words.groupBy("klass").agg(F.sum("c"), F.count("*")).collect()
+    return ClassModel(most_frequent(words, FREQUENT), {r[0]: (r[1], r[2]) for r in sums}), words
+
+
+def score(docs: DataFrame, model: ClassModel, words: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Transitions are counted over the documents that are not held out.
+    """
+    sequences = class_sequences(docs, words, model, text)
+    k = len(model.mass)
+
+    def count_up(batches: Iterator[dict]) -> Iterator[dict]:
+        total = np.zeros(k * k, np.int64)
+        for b in batches:
+            before, classes = _pairs(b["classes"])
+            total += np.bincount(before * k + classes, minlength=k * k)
+        cells = np.flatnonzero(total)
+        yield {"cell": cells, "c": total[cells]}
+
+    pair = np.zeros(k * k)
+    counted = map_rows(sequences.where("not held_out").select("classes"), count_up, "cell int, c long")
+    for cell, c in counted.groupBy("cell").agg(F.sum("c")).collect():
+        pair[cell] = c
+    model.set_steps(pair.reshape(k, k))
+    shared = docs.sparkSession.sparkContext.broadcast(model.step)
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            before, classes = _pairs(b["classes"])
+            starts = np.cumsum([0, *map(len, b["classes"][:-1])])
+            steps = np.add.reduceat(shared.value[before, classes], starts)
+            yield {c: b[c] for c in ("doc_id", "held_out", "n_tokens", "n_known")} | {
+                "train_tokens": [model.n] * len(steps),
+                "base_score": b["base"],
+                "score": steps + np.array(b["emit"]),
+            }
+
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return map_rows(sequences, run, kind)
+
 
 def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 10, 0))
-    model, counts = train(docs.where("not held_out"))
-    return score(docs, model, counts)
+    model, words = train(docs.where("not held_out"))
+    return score(docs, model, words)

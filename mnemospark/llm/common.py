@@ -100,9 +100,8 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow with dictionaries of columns: fn takes an iterator of
-    {column: list} batches and yields {column: list or array} batches."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """mapInArrow: fn takes the batches that hold rows and yields {column: list or array}."""
     from pyspark.sql.types import StructType, _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -111,18 +110,25 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
     prepare(df.sparkSession)
     arrow = to_arrow_schema(kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def incoming() -> Iterator[dict]:
-            for b in batches:
-                if b.num_rows:
-                    yield {c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)}
+    def column(values, field: pa.Field) -> pa.Array:
+        return values.cast(field.type) if isinstance(values, pa.Array) else pa.array(values, field.type)
 
-        for out in fn(incoming()):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(b for b in batches if b.num_rows):
+            yield pa.RecordBatch.from_arrays([column(out[f.name], f) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
 
 
+def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """The same with batches as {column: list}."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        return fn({c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)} for b in batches)
+
+    return map_arrow(df, run, schema)
+
+
 def held_out(column: str, parts: int, which: int):
     """crc32(column as text) mod parts equals which (null ids: false)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts == which, F.lit(False))

@@ -480,14 +480,62 @@ def test_base_score_equals_its_definition(odd):
     assert all(r.train_tokens == n and r.score < 0 for r in got)
 
 
-def test_rare_words_are_joined_alike(odd, monkeypatch):
-    docs = odd.withColumn("held_out", F.lit(False))
-    model, counts = brown_lm.train(docs)
-    whole = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score, r.score) for r in brown_lm.score(docs, model, counts).collect()}
-    monkeypatch.setattr(brown_lm, "FREQUENT", 5)
-    model, counts = brown_lm.train(docs)
-    for r in brown_lm.score(docs, model, counts).collect():
-        assert (r.n_known, r.base_score, r.score) == pytest.approx(whole[(r.doc_id, r.n_tokens)])
+def test_scores_equal_their_definition(odd, monkeypatch):
+    """Brute force over the classes of the table of words, whatever of it is broadcast."""
+    docs = odd.withColumn("held_out", F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False)))
+    for frequent in (5, 100_000):
+        monkeypatch.setattr(brown_lm, "FREQUENT", frequent)
+        model, words = brown_lm.train(docs.where("not held_out"))
+        table = {bytes(r.word): (r.c, r.klass) for r in words.collect()}
+        mass, types = Counter(), Counter()
+        for c, k in table.values():
+            mass[k] += c
+            types[k] += 1
+        klass = lambda t: table[t][1] if t in table else 0
+        pair, after = Counter(), Counter()
+        rows = odd_rows()
+        for i, text, *_ in rows:
+            if i is None or i % 3:
+                found = [klass(t) for t in (brown_lm.END, *brown_lm.tokens(text))]
+                pair.update(zip(found, found[1:], strict=False))
+                after.update(found[1:])
+        before = Counter()
+        for (a, _), c in pair.items():
+            before[a] += c
+        n, k = sum(after.values()), brown_lm.CLASSES
+        want = Counter()
+        for i, text, *_ in rows:
+            total, last = 0.0, 1
+            for t in brown_lm.tokens(text):
+                c, at = table.get(t, (0, 0))
+                total += math.log10((pair[last, at] + 5 * (after[at] + 1) / (n + k)) / (before[last] + 5))
+                total += math.log10((c + 0.1) / (mass[at] + 0.1 * (types[at] + 1)) if at else 1 / (types[0] + 1))
+                last = at
+            want[i, round(total, 5)] += 1
+        assert Counter((r.doc_id, round(r.score, 5)) for r in brown_lm.score(docs, model, words).collect()) == want
+        assert all(at for c, at in table.values() if c > 1) and not any(at for c, at in table.values() if c == 1)
+
+
+def test_words_choose_the_likeliest_class():
+    rng = np.random.default_rng(3)
+    before, behind = rng.integers(0, 50, (2, 6, 6)).astype(float)
+    cells = rng.integers(0, 4, (40, 12))
+    cells[0] = 0
+    cells[0, 3] = cells[0, 8] = 1  # one occurrence
+    got = brown_lm.WordClasses(before, behind).choose(cells)
+
+    def gain(row, k):
+        out = 0.0
+        for a in range(6):
+            share = [(x.sum() + 1) / (before.sum() + 6) for x in (before[a], behind[:, a])]
+            share[1] = (behind[:, a].sum() + 1) / (behind.sum() + 6)
+            out += row[a] * math.log((before[a, k] + 5 * share[0]) / (before[:, k].sum() + 5))
+            out += row[6 + a] * math.log((behind[k, a] + 5 * share[1]) / (behind[k].sum() + 5))
+        return out
+
+    assert got[0] == brown_lm.RARE
+    for row, k in zip(cells[1:], got[1:], strict=True):
+        assert k == (brown_lm.RARE if row.sum() < 4 else max(range(2, 6), key=lambda x: gain(row, x)))
 
 
 def test_classes_follow_contexts_and_help(spark):
