@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.shipping import ship
+from mnemospark.storage import discard as discard
 from mnemospark.storage import stored as stored
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.

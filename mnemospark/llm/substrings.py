@@ -2,45 +2,65 @@
 
 A 20-word window is removed when the same words also start earlier.  Sending
 every document past an automaton of every shard would cost shards x corpus, so
-each automaton gets just the text that can match it:
+documents meet only the automata that can match them:
 
 1.  Every window picks an anchor, the least hash among its 8-word shingles, so
     equal windows pick equal anchors.  One row an anchor: where the windows that
-    picked it begin and end, and a digest of those words (their context).
-2.  Anchors that occur once are dropped: a counting aggregate (combined before
-    the shuffle) and a semi-join.
-3.  Equal contexts of one anchor collapse to their first occurrence; each later
-    one is covered wholly.  Groups of copies of any size end here, pre-aggregated.
-4.  An anchor that keeps several different contexts is a reference shard.  Its
-    contexts stream, in order of (doc_id, start), through a suffix automaton that
-    grows with them: after each word, the length of the longest suffix that
-    ended earlier is the matching statistic; where it reaches the threshold, the
-    window ending there is covered.  A shard is bounded by ``MOST_CONTEXTS``; an
-    anchor with more is split into its single windows, which collapse by digest.
-5.  The covered spans, one list a document, cut the document's words.
+    picked it begin and end, and a digest of those words (their context).  The
+    rows are made once and stored; anchors that occur once are dropped.
+2.  Contexts with equal digests route text to automata.  The first occurrence is
+    reference text: a reference shard is a stretch of at most ``STRETCH`` words of
+    one document, of which a suffix automaton is built.  The later occurrences,
+    merged into passages, stream past it; where the matching statistic reaches the
+    threshold, the window ending there is covered.  A shard with many copies is
+    dealt over salts, each with the automaton and ``COPIES`` of them at most.
+3.  An anchor with several different contexts is a shard as well, as their
+    windows may be equal in part.  Its contexts, each once, stream in order of
+    (doc_id, start) through an automaton that grows with them.  More than
+    ``SHARD`` contexts are split into shards of single windows, routed as in 2.
+4.  The covered spans, one list a document, cut the document's words.
 
 Defined results: a null or empty text has no words and loses none; rows that
-share a doc_id are one document (their spans are united); a row with a null
-doc_id matches nothing and stays whole; an empty table gives an empty result;
-other columns pass through the operator.
+share a doc_id are texts of one document, in the order of a hash of theirs, and
+each loses its own words; repeated rows are one text and treated alike; a row
+with a null doc_id matches nothing and stays whole; an empty table gives an empty
+result; other columns pass through the operator.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import WordHash, map_rows, mixed, prepare, shingle_hashes, signed, stored, table, words_of
+from mnemospark.llm.common import (
+    WordHash,
+    discard,
+    map_arrow,
+    map_rows,
+    mixed,
+    prepare,
+    shingle_hashes,
+    signed,
+    stored,
+    table,
+    words_of,
+)
 
 THRESHOLD = 20
 SHINGLE = 8
-#: Different contexts that one automaton takes.
-MOST_CONTEXTS = 1_000
+#: Words (a power of two) of a reference shard, and copies of a context that one salt takes.
+STRETCH, COPIES = 4_096, 200
+#: Different contexts of an anchor that one automaton takes; more are split by window.
+SHARD = 1_000
+#: What a piece of text is for: reference or query of a shard, one of several contexts, or one to be split.
+REFERENCE, QUERY, CONTEXT, SPLIT = range(4)
 
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _INVERSE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
@@ -128,6 +148,38 @@ class Automaton:
             link[new] = self._split(at, word, step[at][word])
         return length[link[new]]
 
+    def matching(self, words: list[bytes]) -> Iterator[int]:
+        """Matching statistics: after each word, how long a suffix of the words so far
+        is in the texts of the automaton."""
+        step, link, length = self.step, self.link, self.length
+        at = size = 0
+        for word in words:
+            to = step[at].get(word)
+            while to is None and at:
+                at = link[at]
+                size = length[at]
+                to = step[at].get(word)
+            if to is None:
+                size = 0
+            else:
+                at, size = to, size + 1
+            yield size
+
+
+def spans_of(statistics: Iterator[int], least: int = THRESHOLD) -> Iterator[tuple[int, int]]:
+    """(start, end) of the maximal runs covered by windows that end where a matching
+    statistic reaches the threshold."""
+    start = end = -1
+    for i, size in enumerate(statistics, 1):
+        if size >= least:
+            if i - least > end:
+                if end > 0:
+                    yield start, end
+                start = i - least
+            end = i
+    if end > 0:
+        yield start, end
+
 
 def covered(contexts: list[tuple[int, int, list[bytes]]], least: int = THRESHOLD) -> Iterator[tuple[int, int, int]]:
     """(doc_id, start, end) of the words covered by windows that started earlier.
@@ -137,7 +189,7 @@ def covered(contexts: list[tuple[int, int, list[bytes]]], least: int = THRESHOLD
     automaton = Automaton()
     last_doc, last_end = None, 0
     for doc, start, words in contexts:
-        if doc != last_doc or start > last_end:
+        if doc != last_doc or start > last_end:  # texts of one doc_id lie far apart
             automaton.restart()
             last_end = start
         last_doc = doc
@@ -158,7 +210,14 @@ def covered(contexts: list[tuple[int, int, list[bytes]]], least: int = THRESHOLD
 # ---------------------------------------------------------------- over DataFrames
 
 
+def _text_key(body: str) -> int:
+    """Tells the texts of one doc_id apart: the upper half of a word's place."""
+    return (zlib.crc32(body.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF) << 32
+
+
 def _anchor_rows(docs: DataFrame, least: int, text: str) -> DataFrame:
+    """(anchor, doc_id, at, n, ctx); at is the text's key and the first word's number."""
+
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         hashes, powers = WordHash(), _Powers()
         for b in batches:
@@ -166,7 +225,7 @@ def _anchor_rows(docs: DataFrame, least: int, text: str) -> DataFrame:
             for doc, body in zip(b["doc_id"], b[text], strict=True):
                 found = anchors(hashes.array(words_of(body)), powers, least)
                 if len(found[0]):
-                    out.append((*found, np.full(len(found[0]), doc, np.int64)))
+                    out.append((found[0], found[1] + _text_key(body), found[2] - found[1], found[3], np.full(len(found[0]), doc)))
                 if len(out) >= 512:
                     yield _columns(out)
                     out = []
@@ -174,125 +233,190 @@ def _anchor_rows(docs: DataFrame, least: int, text: str) -> DataFrame:
                 yield _columns(out)
 
     def _columns(out: list[tuple]) -> dict:
-        anchor, begin, end, digest, doc = (np.concatenate(x) for x in zip(*out, strict=True))
-        return {
-            "anchor": signed(anchor),
-            "doc_id": doc,
-            "lo": begin.astype(np.int32),
-            "n": (end - begin).astype(np.int32),
-            "ctx": signed(digest),
-        }
+        anchor, at, n, digest, doc = (np.concatenate(x) for x in zip(*out, strict=True))
+        return {"anchor": signed(anchor), "doc_id": doc, "at": at, "n": n.astype(np.int32), "ctx": signed(digest)}
 
-    return map_rows(docs.select("doc_id", text), run, "anchor long, doc_id long, lo int, n int, ctx long")
+    return map_rows(docs.select("doc_id", text), run, "anchor long, doc_id long, at long, n int, ctx long")
 
 
 def _per_document(rows: DataFrame, value, name: str) -> DataFrame:
     """One list a document, to be merged with the documents: the same plan at every size."""
-    return stored(rows.groupBy("doc_id").agg(F.collect_list(value).alias(name)), name).hint("merge")
+    return stored(rows.groupBy("doc_id").agg(F.collect_list(value).alias(name)), name)
+
+
+def _routed(rows: DataFrame, firsts: DataFrame, keys: list[str], a, b, *more: str) -> tuple[DataFrame, DataFrame]:
+    """What repeats, as (references, queries) of shards: (doc_id, role, a, b, salt, at, n).
+
+    rows: every occurrence; firsts: keys, first (doc_id and at of the first) and times.
+    """
+    firsts = firsts.where("times > 1").withColumn("salts", F.ceil(F.col("times") / COPIES).cast("int"))
+    place = ("role", "a", "b", "salt", "at", "n", *more)
+    references = (
+        firsts.select(F.col("first.doc_id"), F.lit(REFERENCE).alias("role"), a.alias("a"), b.alias("b"),
+                      F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("first.at"), "n",
+                      *[F.col(f"first.{c}") for c in more])
+        .select("doc_id", *place)
+    )
+    queries = (
+        rows.join(firsts.select(*keys, "first", "salts"), keys)
+        .where(F.struct("doc_id", "at") != F.struct("first.doc_id", "first.at"))
+        .withColumns({"role": F.lit(QUERY), "a": a, "b": b, "salt": F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")})
+        .select("doc_id", *place)
+    )
+    return references, queries
 
 
 def duplicate_spans(docs: DataFrame, least: int = THRESHOLD, text: str = "text") -> DataFrame:
-    """(doc_id, start, end) word spans covered by windows that also start earlier.
+    """(doc_id, at, n): runs of words covered by windows that also start earlier.
 
-    Spans may overlap; every document with a duplicate window is among them.
+    Runs may overlap; every document with a duplicate window is among them.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    rows = _anchor_rows(docs, least, text)
-    often = _anchor_rows(docs, least, text).groupBy("anchor").count().where("count > 1").select("anchor")
+    rows = stored(_anchor_rows(docs, least, text), "anchor_rows")
+    often = stored(rows.groupBy("anchor").count().where("count > 1").select("anchor"), "often")
     seen = stored(rows.join(often.hint("merge"), "anchor", "left_semi"), "anchors")
+    discard(rows)
     firsts = stored(
-        seen.groupBy("anchor", "ctx", "n").agg(F.min(F.struct("doc_id", "lo")).alias("first")), "contexts"
+        seen.groupBy("anchor", "ctx", "n").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times")),
+        "contexts",
     )
-    copies = (
-        seen.join(firsts, ["anchor", "ctx", "n"])
-        .where(F.struct("doc_id", "lo") != F.col("first"))
-        .select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n")).alias("end"))
+    several = stored(firsts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
+    references, queries = _routed(
+        seen, firsts, ["anchor", "ctx", "n"], F.col("first.doc_id"), F.shiftright("first.at", STRETCH.bit_length() - 1)
     )
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    wanted = firsts.join(several, "anchor").select(
-        F.col("first.doc_id").alias("doc_id"),
-        F.struct("anchor", F.col("first.lo").alias("lo"), "n", (F.col("contexts") > MOST_CONTEXTS).alias("wide")).alias("w"),
-    )
-    pieces = stored(_cut_contexts(docs.join(_per_document(wanted, F.col("w"), "wanted"), "doc_id"), least, text), "pieces")
-    shards = pieces.where("body is not null").select("anchor", "doc_id", "lo", "body")
-    streamed = _stream_shards(shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo"), least)
-    single = pieces.where("body is null").select("anchor", "digest", "doc_id", "lo")
-    once = single.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
-    windows = (
-        single.join(once, ["anchor", "digest"])
-        .where(F.struct("doc_id", "lo") != F.col("first"))
-        .select("doc_id", F.col("lo").alias("start"), (F.col("lo") + least).alias("end"))
-    )
-    return copies.unionByName(streamed).unionByName(windows)
-
-
-def _cut_contexts(docs: DataFrame, least: int, text: str) -> DataFrame:
-    """The words of the wanted contexts; of a wide anchor, a row for each window."""
+    role = F.when(F.col("contexts") > SHARD, SPLIT).otherwise(CONTEXT)
+    contexts = firsts.join(several.hint("merge"), "anchor").select(
+        "first.doc_id", role.alias("role"), F.col("anchor").alias("a"), F.lit(-1).cast("long").alias("b"),
+        F.lit(0).alias("salt"), "first.at", "n",
+    )
+    wanted = references.unionByName(queries).unionByName(contexts)
+    lists = _per_document(wanted, F.struct("role", "a", "b", "salt", "at", "n"), "wanted")
+    pieces = stored(_cut_pieces(docs.join(lists.hint("merge"), "doc_id"), text), "pieces")
+    discard(lists)
+    shards = pieces.where(F.col("role") != SPLIT)
+    if not several.where(F.col("contexts") > SHARD).isEmpty():
+        shards = shards.unionByName(_split_shards(pieces.where(F.col("role") == SPLIT), least))
+    key = ["a", "b", "salt"]
+    return _stream_shards(shards.repartition(*key).sortWithinPartitions(*key, "role", "doc_id", "at"), least)
+
+
+_PIECE = "doc_id long, role int, a long, b long, salt int, at long, body string"
+
+
+def _cut_pieces(docs: DataFrame, text: str) -> DataFrame:
+    """The wanted words; what overlaps for the same shard in the same role is one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                b = batch.slice(start, 128)
+                column = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+                lists = column["wanted"]
+                fields = zip(lists.type.value_type, lists.flatten().flatten(), strict=True)
+                got = {f.name: np.asarray(x).astype(np.int64) for f, x in fields}
+                got["row"] = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
+                bodies = column[text].to_pylist()
+                keys = np.array([_text_key(x) if x else -1 for x in bodies])
+                mine = (got["at"] >> 32 << 32) == keys[got["row"]]  # not another row's of the same doc_id
+                got = {k: v[mine] for k, v in got.items()}
+                order = np.lexsort([got[k] for k in ("at", "salt", "b", "a", "role", "row")])
+                got = {k: v[order] for k, v in got.items()}
+                end = got["at"] + got["n"]
+                apart = got["role"] > QUERY
+                for k in ("row", "role", "a", "b", "salt"):
+                    apart[1:] |= got[k][1:] != got[k][:-1]
+                apart[1:] |= got["at"][1:] > end[:-1]
+                apart[:1] = True
+                heads = np.flatnonzero(apart)
+                ends = np.maximum.reduceat(end, heads) if len(heads) else end
+                head = {k: v[heads] for k, v in got.items()}
+                out: list[str] = []
+                words, last = [], -1
+                for row, at, to in zip(head["row"].tolist(), head["at"].tolist(), ends.tolist(), strict=True):
+                    if row != last:
+                        words, last = words_of(bodies[row]), row
+                    out.append(b" ".join(words[at & 0xFFFFFFFF : to & 0xFFFFFFFF]).decode("utf-8", "surrogatepass"))
+                doc = np.asarray(column["doc_id"])
+                yield {k: head[k] for k in ("role", "a", "b", "salt", "at")} | {"doc_id": doc[head["row"]], "body": out}
+
+    return map_arrow(docs, run, _PIECE)
+
+
+def _split_shards(pieces: DataFrame, least: int) -> DataFrame:
+    """The single windows of contexts, routed: equal windows share a shard."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            for start in range(0, len(b["doc_id"]), 128):
-                out: dict = {"anchor": [], "digest": [], "doc_id": [], "lo": [], "body": []}
-                for doc, body, wanted in zip(*(b[c][start : start + 128] for c in ("doc_id", text, "wanted")), strict=True):
-                    words = words_of(body)
-                    for w in wanted:
-                        lo, n = w["lo"], w["n"]
-                        spans = [(s, least) for s in range(lo, lo + n - least + 1)] if w["wide"] else [(lo, n)]
-                        for s, size in spans:
-                            if s + size > len(words):  # another row of the same doc_id
-                                continue
-                            joined = b" ".join(words[s : s + size])
-                            wide = xxhash.xxh3_128_intdigest(joined) if w["wide"] else 0
-                            out["anchor"].append((wide >> 64) - (1 << 63) if w["wide"] else w["anchor"])
-                            out["digest"].append((wide & (1 << 64) - 1) - (1 << 63))
-                            out["doc_id"].append(doc)
-                            out["lo"].append(s)
-                            out["body"].append(None if w["wide"] else joined.decode("utf-8", "surrogatepass"))
-                yield out
-
-    return map_rows(docs, run, "anchor long, digest long, doc_id long, lo int, body string")
+            out: dict = {"h": [], "l": [], "doc_id": [], "at": [], "body": []}
+            for doc, at, body in zip(b["doc_id"], b["at"], b["body"], strict=True):
+                words = words_of(body)
+                for s in range(len(words) - least + 1):
+                    joined = b" ".join(words[s : s + least])
+                    wide = xxhash.xxh3_128_intdigest(joined)
+                    out["h"].append((wide >> 64) - (1 << 63))
+                    out["l"].append((wide & (1 << 64) - 1) - (1 << 63))
+                    out["doc_id"].append(doc)
+                    out["at"].append(at + s)
+                    out["body"].append(joined.decode("utf-8", "surrogatepass"))
+            yield out
+
+    kind = "h long, l long, doc_id long, at long, body string"
+    windows = stored(map_rows(pieces.select("doc_id", "at", "body"), run, kind).withColumn("n", F.lit(least)), "windows")
+    firsts = stored(
+        windows.groupBy("h", "l", "n").agg(F.min(F.struct("doc_id", "at", "body")).alias("first"), F.count("*").alias("times")),
+        "window_firsts",
+    )
+    references, queries = _routed(windows, firsts, ["h", "l", "n"], F.col("h"), F.col("l"), "body")
+    return references.unionByName(queries).drop("n")
 
 
 def _stream_shards(rows: DataFrame, least: int) -> DataFrame:
-    """Rows sorted by anchor, doc_id and lo -> covered spans, shard by shard."""
+    """Pieces in order of shard, role, doc_id and at -> covered runs, shard by shard."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        current, held = None, []
-
-        def spans() -> list[tuple[int, int, int]]:
-            return list(covered(held, least)) if len(held) > 1 else []
+        current, automaton, several = None, Automaton(), []
 
         for b in batches:
             out: list[tuple[int, int, int]] = []
-            for anchor, doc, lo, body in zip(b["anchor"], b["doc_id"], b["lo"], b["body"], strict=True):
-                if anchor != current:
-                    out += spans()
-                    current, held = anchor, []
-                held.append((doc, lo, words_of(body)))
+            for doc, role, *shard, at, body in zip(*(b[c] for c in ("doc_id", "role", "a", "b", "salt", "at", "body")), strict=True):
+                if shard != current:
+                    out += covered(several, least)
+                    current, automaton, several = shard, Automaton(), []
+                words = words_of(body)
+                if role == REFERENCE:
+                    automaton.restart()
+                    for word in words:
+                        automaton.add(word)
+                elif role == QUERY:
+                    out += [(doc, at + s, at + e) for s, e in spans_of(automaton.matching(words), least)]
+                else:
+                    several.append((doc, at, words))
             yield _span_columns(out)
-        yield _span_columns(spans())
+        yield _span_columns(list(covered(several, least)))
 
-    return map_rows(rows, run, "doc_id long, start int, end int")
+    return map_rows(rows, run, "doc_id long, at long, n int")
 
 
 def _span_columns(spans: list[tuple[int, int, int]]) -> dict:
     doc, start, end = zip(*spans, strict=True) if spans else ((), (), ())
-    return {"doc_id": list(doc), "start": list(start), "end": list(end)}
+    return {"doc_id": list(doc), "at": list(start), "n": [e - s for s, e in zip(start, end, strict=True)]}
 
 
 def with_spans(docs: DataFrame, least: int = THRESHOLD, text: str = "text") -> DataFrame:
     """docs with the column ``spans`` (null where nothing repeats)."""
-    lists = _per_document(duplicate_spans(docs, least, text), F.struct("start", "end"), "spans")
-    return docs.drop("spans").join(lists, "doc_id", "left")
+    lists = _per_document(duplicate_spans(docs, least, text), F.struct("at", "n"), "spans")
+    return docs.drop("spans").join(lists.hint("merge"), "doc_id", "left")
 
 
-def _removed(n: int, spans: list[dict] | None) -> np.ndarray:
-    """A flag for each of n words: covered by a span."""
+def _removed(n: int, body: str | None, spans: list[dict] | None) -> np.ndarray:
+    """A flag for each of the n words of a text: covered by a span of this text."""
     if not spans or not n:
         return np.zeros(n, bool)
+    key = _text_key(body)
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.minimum([s["start"] for s in spans], n), 1)
-    np.add.at(edge, np.minimum([s["end"] for s in spans], n), -1)
+    mine = [(x["at"] - key, x["n"]) for x in spans if x["at"] >> 32 << 32 == key]
+    np.add.at(edge, [at for at, _ in mine], 1)
+    np.add.at(edge, [at + size for at, size in mine], -1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -304,7 +428,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             out: dict = {"doc_id": b["doc_id"], "n_words": [], "n_removed": [], "kept_sha256": []}
             for body, spans in zip(b["text"], b["spans"], strict=True):
                 words = words_of(body)
-                gone = _removed(len(words), spans)
+                gone = _removed(len(words), body, spans)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(kept))
@@ -321,7 +445,7 @@ def remove_spans(text: str | None, spans: list[dict] | None) -> str | None:
     if text is None or not spans:
         return text
     at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    gone = _removed(len(at), spans)
+    gone = _removed(len(at), text, spans)
     out, last = [], 0
     for i in np.flatnonzero(gone).tolist():
         begin, end = at[i]

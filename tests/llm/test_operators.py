@@ -582,9 +582,11 @@ def substring_rows():
     return [*rows, (80, "a b " * 60), (81, "a " * 50), (82, "b a " * 30)]
 
 
-@pytest.mark.parametrize("contexts", [1000, 1])
-def test_removed_words_equal_brute_force(spark, monkeypatch, contexts):
-    monkeypatch.setattr(substrings, "MOST_CONTEXTS", contexts)  # 1: every anchor is split into windows
+@pytest.mark.parametrize(("shard", "copies", "stretch"), [(1000, 200, 4096), (1, 1, 16)])
+def test_removed_words_equal_brute_force(spark, monkeypatch, shard, copies, stretch):
+    monkeypatch.setattr(substrings, "SHARD", shard)  # 1: every anchor of several contexts is split into windows
+    monkeypatch.setattr(substrings, "COPIES", copies)
+    monkeypatch.setattr(substrings, "STRETCH", stretch)
     rows = substring_rows()
     got = substrings.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute_removed(rows)
@@ -595,7 +597,31 @@ def test_removed_words_equal_brute_force(spark, monkeypatch, contexts):
             continue
         words, gone = want[r.doc_id]
         spans = None if r.spans is None else [s.asDict() for s in r.spans]
-        assert set(np.flatnonzero(substrings._removed(len(words), spans)).tolist()) == gone, r.doc_id
+        assert set(np.flatnonzero(substrings._removed(len(words), r.text, spans)).tolist()) == gone, r.doc_id
+
+
+def test_texts_of_one_doc_id_lose_their_own_words(spark):
+    rng = random.Random(12)
+    passage, other = sentence(rng, 30, 9999), sentence(rng, 90, 9999)
+    rows = [(1, passage), (2, other), (2, f"{sentence(rng, 9, 9999)} {passage}"), (2, other), (3, "")]
+    left = substrings.substring_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.text.strip() for r in left) == sorted([passage, other, other, "", " ".join(rows[2][1].split()[:9])])
+
+
+def test_streamed_spans_equal_brute_force():
+    rng = random.Random(13)
+    for _ in range(60):
+        texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(1, 20))] for _ in range(3)]
+        words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(25)]
+        automaton = substrings.Automaton()
+        for t in texts:
+            automaton.restart()
+            for w in t:
+                automaton.add(w)
+        known = {tuple(t[i : i + 4]) for t in texts for i in range(len(t) - 3)}
+        want = {p for i in range(len(words) - 3) if tuple(words[i : i + 4]) in known for p in range(i, i + 4)}
+        spans = list(substrings.spans_of(automaton.matching(words), 4))
+        assert {p for s, e in spans for p in range(s, e)} == want and all(e < s for (_, e), (s, _) in zip(spans, spans[1:]))
 
 
 def test_automaton_gives_matching_statistics():
