@@ -31,7 +31,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import chain, count, repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,10 @@ ROUNDS, WORD_ROUNDS = 12, 2
 RARE, STOP = 0, 1
 #: Stands in a class sequence for a word that is still to be joined.
 OPEN = 255
-#: Tokens that a counting task holds before it hands rows on.
-CHUNK = 1 << 20
+#: Tokens, and different words, that a counting task holds before it hands rows on.
+CHUNK, VOCABULARY = 1 << 20, 300_000
+#: Parts that the core's bigram table is summed in, and what spreads its cells over them.
+BLOCKS, SPREAD = 1_000, 1_000_003
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -139,19 +141,24 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
 # ---------------------------------------------------------------- counting
 
 
-def word_counts(training: DataFrame, text: str = "text") -> DataFrame:
-    """(word, c) of every distinct token of the training documents."""
+def often_counts(training: DataFrame, text: str = "text") -> DataFrame:
+    """(word, c): counts by which the core is chosen.  A counting task leaves out what it
+    has seen once, so c is too low by the number of those tasks at most."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         seen: Counter = Counter()
+
+        def rows() -> dict:
+            often = [(w, c) for w, c in seen.items() if c > 1 and w != END]
+            return {"word": [w for w, _ in often], "c": [c for _, c in often]}
+
         for b in batches:
             for body in b[text]:
                 seen.update(tokens(body))
-            if len(seen) > 150_000:
-                yield {"word": list(seen), "c": list(seen.values())}
-                seen = Counter()
-        if seen:
-            yield {"word": list(seen), "c": list(seen.values())}
+            if len(seen) > VOCABULARY:
+                yield rows()
+                seen.clear()
+        yield rows()
 
     return map_rows(training.select(text), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -171,42 +178,45 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple]:
 
 def _core_bigrams(training: DataFrame, core: dict[bytes, int], text: str) -> np.ndarray:
     """Item bigrams of all training documents; the end token starts a document too.
-    Partial sums meet item by item, in a matrix of fixed size."""
+    Partial sums of a table of fixed size meet block by block; its cells are spread
+    so that blocks are equally full."""
     n = 2 + len(core)
+    width = -(-n * n // BLOCKS)
+    place = np.arange(n * n) * SPREAD % (n * n)
     shared = training.sparkSession.sparkContext.broadcast(core)
 
-    def rows(total: np.ndarray) -> dict:
-        items = np.flatnonzero(total.any(1))
-        cells = [np.flatnonzero(total[i]) for i in items]
+    def rows(blocks: np.ndarray, total: np.ndarray) -> dict:
+        cells = [np.flatnonzero(x) for x in total]
         return {
-            "item": items,
-            "beside": [c.astype(np.uint16).tobytes() for c in cells],
-            "c": [total[i][c].tobytes() for i, c in zip(items, cells, strict=True)],
+            "block": blocks,
+            "cells": [c.astype(np.uint16).tobytes() for c in cells],
+            "c": [x[c].tobytes() for x, c in zip(total, cells, strict=True)],
         }
 
     def count_up(batches: Iterator[dict]) -> Iterator[dict]:
         item = shared.value
-        total = np.zeros(n * n, np.int64)
+        total = np.zeros(BLOCKS * width, np.int64)
         for found in _chunks(batches, text):
             codes = np.fromiter(map(item.get, found, repeat(RARE)), np.int64, len(found))
             pairs, counts = np.unique(codes[:-1] * n + codes[1:], return_counts=True)
-            total[pairs] += counts
-        yield rows(total.reshape(n, n))
+            total[pairs * SPREAD % (n * n)] += counts
+        total = total.reshape(BLOCKS, width)
+        full = np.flatnonzero(total.any(1))
+        yield rows(full, total[full])
 
     def add_up(batches: Iterator[dict]) -> Iterator[dict]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, beside, c in zip(b["item"], b["beside"], b["c"], strict=True):
-                row = total.setdefault(i, np.zeros(n, np.int64))
-                row[np.frombuffer(beside, np.uint16)] += np.frombuffer(c, np.int64)
-        for i, row in total.items():
-            yield {k: v[:1] for k, v in rows(row[None, :]).items()} | {"item": [i]}
-
-    kind = "item int, beside binary, c binary"
-    out = np.zeros((n, n))
-    for r in map_rows(map_rows(training.select(text), count_up, kind).repartition("item"), add_up, kind).collect():
-        out[r.item, np.frombuffer(r.beside, np.uint16)] = np.frombuffer(r.c, np.int64)
-    return out
+            for i, cells, c in zip(b["block"], b["cells"], b["c"], strict=True):
+                row = total.setdefault(i, np.zeros(width, np.int64))
+                row[np.frombuffer(cells, np.uint16)] += np.frombuffer(c, np.int64)
+        yield rows(np.array(list(total), np.int64), np.array(list(total.values())).reshape(-1, width))
+
+    kind = "block int, cells binary, c binary"
+    out = np.zeros((BLOCKS, width))
+    for r in map_rows(map_rows(training.select(text), count_up, kind).repartition("block"), add_up, kind).collect():
+        out[r.block, np.frombuffer(r.cells, np.uint16)] = np.frombuffer(r.c, np.int64)
+    return out.ravel()[place].reshape(n, n)
 
 
 def _pieces(values: np.ndarray, edges: np.ndarray, width: int = 1) -> pa.Array:
@@ -222,71 +232,79 @@ def _contexts(training: DataFrame, classes: dict[bytes, int], text: str) -> Data
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         known = shared.value
-        for found in _chunks(batches, text):
+        names: dict[bytes, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> dict:
+            number = np.concatenate([x for x, _ in held])
+            order = np.argsort(number, kind="stable")
+            number, beside = number[order], np.concatenate([x for _, x in held])[order]
+            edges = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(number)]
+            words = list(names)  # in the order of their numbers
+            return {"word": pa.array(words, pa.binary()), "beside": _pieces(beside, edges, 2)}
+
+        for found in _chunks(batches, text, CHUNK // 16):
             klass = np.fromiter(map(known.get, found, repeat(OPEN)), np.uint8, len(found))
             at = np.flatnonzero(klass == OPEN)
             if not len(at):
                 continue
             klass[at] = RARE
-            names: dict[bytes, int] = {}
-            tail = [found[i] for i in at.tolist()]
-            number = np.fromiter(map(names.setdefault, tail, count()), np.int64, len(tail))
-            order = np.argsort(number, kind="stable")
-            at, number = at[order], number[order]
-            beside = np.empty((len(at), 2), np.uint8)
-            beside[:, 0], beside[:, 1] = klass[at - 1], klass[at + 1] + CLASSES
-            edges = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(number)]
-            yield {
-                "word": pa.array(names, pa.binary()),
-                "beside": _pieces(beside, edges, 2),
-            }
+            number = np.fromiter((names.setdefault(found[i], len(names)) for i in at.tolist()), np.int32, len(at))
+            held.append((number, np.stack([klass[at - 1], klass[at + 1] + np.uint8(CLASSES)], 1)))
+            if len(names) > VOCABULARY or sum(len(x) for x, _ in held) > 8 * CHUNK:
+                yield rows()
+                names, held = {}, []
+        if held:
+            yield rows()
 
     return map_rows(training.select(text), run, "word binary, beside binary")
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    """One row a word: which classes stand beside it (codes as above), and how often."""
+class Contexts:
+    """How often which class stands beside each word: (word, code, count) triples in order
+    of words; a code is the class before, or the class behind plus CLASSES."""
+
+    def __init__(self, words: list[bytes], row: np.ndarray, code: np.ndarray, c: np.ndarray):
+        self.words, self.row, self.code, self.c = words, row, code, c
+        self.seen = np.bincount(row, c, len(words)).astype(np.int64) // 2
 
-    def packed(names: list[bytes], sums: np.ndarray) -> dict:
-        row, code = np.nonzero(sums)
-        edges = np.searchsorted(row, np.arange(len(names) + 1))
+    @classmethod
+    def of(cls, words: list[bytes], besides: list[bytes], counts: list[bytes] | None = None) -> Contexts:
+        """Neighbours with the same word become one."""
+        code = np.frombuffer(b"".join(besides), np.uint8).astype(np.int64)
+        heads = np.array([True, *(x != y for x, y in zip(words[1:], words, strict=False))], bool)[: len(words)]
+        row = np.repeat(np.cumsum(heads) - 1, np.fromiter(map(len, besides), np.int64, len(besides)))
+        c = np.ones(len(code), np.int64) if counts is None else np.frombuffer(b"".join(counts), np.int64)
+        cell, inverse = np.unique(row * 2 * CLASSES + code, return_inverse=True)
+        sums = np.bincount(inverse, c, len(cell)).astype(np.int64)
+        return cls([w for w, h in zip(words, heads.tolist(), strict=True) if h], cell // (2 * CLASSES), cell % (2 * CLASSES), sums)
+
+    def packed(self) -> dict:
+        edges = np.searchsorted(self.row, np.arange(len(self.words) + 1))
         return {
-            "word": pa.array(names, pa.binary()),
-            "beside": _pieces(code.astype(np.uint8), edges),
-            "c": _pieces(sums[row, code], edges, 8),
+            "word": pa.array(self.words, pa.binary()),
+            "beside": _pieces(self.code.astype(np.uint8), edges),
+            "c": _pieces(self.c, edges, 8),
         }
 
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row a word: which classes stand beside it (codes as above), and how often."""
+
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        last: tuple[list[bytes], np.ndarray] = ([], np.zeros((0, 2 * CLASSES), np.int64))
+        last: dict = {"word": [], "beside": [], "c": []}  # of the word that may go on
         for b in batches:
-            for s in range(0, len(b["word"]), 1_000):
-                names = last[0] + b["word"][s : s + 1_000]
-                more = np.concatenate([last[1], _cells(b["beside"][s : s + 1_000])])
-                heads = np.flatnonzero([True, *(x != y for x, y in zip(names[1:], names, strict=False))])
-                sums, names = np.add.reduceat(more, heads, axis=0), [names[i] for i in heads.tolist()]
-                yield packed(names[:-1], sums[:-1])
-                last = names[-1:], sums[-1:]
-        yield packed(*last)
+            fresh = [np.ones(len(x), np.int64).tobytes() for x in b["beside"]]
+            found = Contexts.of(last["word"] + b["word"], last["beside"] + b["beside"], last["c"] + fresh)
+            out = found.packed()
+            last = {k: v[-1:].to_pylist() for k, v in out.items()}
+            yield {k: v[:-1] for k, v in out.items()}
+        yield last
 
     sorted_rows = rows.repartition("word").sortWithinPartitions("word")
     return map_rows(sorted_rows, run, "word binary, beside binary, c binary")
 
 
-def _cells(besides: list[bytes], counts: list[bytes] | None = None) -> np.ndarray:
-    """A row of counts for each word over the classes before and behind."""
-    codes = np.frombuffer(b"".join(besides), np.uint8).astype(np.int64)
-    at = np.repeat(np.arange(len(besides)), np.fromiter(map(len, besides), np.int64, len(besides)))
-    weight = None if counts is None else np.frombuffer(b"".join(counts), np.int64)
-    size = len(besides) * 2 * CLASSES
-    return np.bincount(at * 2 * CLASSES + codes, weight, size).astype(np.int64).reshape(-1, 2 * CLASSES)
-
-
-def _word_batches(batches: Iterator[dict]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    for b in batches:
-        for s in range(0, len(b["word"]), 1_000):
-            yield b["word"][s : s + 1_000], _cells(b["beside"][s : s + 1_000], b["c"][s : s + 1_000])
-
-
 class WordClasses:
     """Chooses the class of words by their contexts: the one where the mean
     log-likelihood of the classes before and behind is largest."""
@@ -300,29 +318,34 @@ class WordClasses:
 
         self.gain = np.concatenate([smoothed(before, 0), smoothed(behind, 1).T])
 
-    def choose(self, cells: np.ndarray) -> np.ndarray:
-        """cells: a row of counts for each word, over the classes before and behind."""
-        gain = cells @ self.gain
-        gain[:, [RARE, STOP]] = -np.inf
-        out = gain.argmax(1)
-        out[cells.sum(1) < 4] = RARE  # one occurrence
+    def choose(self, found: Contexts) -> np.ndarray:
+        """The class of each word; RARE for those that occur once."""
+        out = np.full(len(found.words), RARE)
+        wanted = np.flatnonzero(found.seen > 1)
+        if len(wanted):
+            mine = found.seen[found.row] > 1
+            row, code, c = found.row[mine], found.code[mine], found.c[mine]
+            gain = np.add.reduceat(self.gain[code] * c[:, None], np.searchsorted(row, wanted))
+            gain[:, [RARE, STOP]] = -np.inf
+            out[wanted] = gain.argmax(1)
         return out
 
 
 def _exchanged(contexts: DataFrame, chooser: WordClasses) -> tuple[np.ndarray, np.ndarray]:
     """Context counts of the classes, over all words of the table, once each has moved."""
     shared = contexts.sparkSession.sparkContext.broadcast(chooser)
+    size = CLASSES * 2 * CLASSES
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        total = np.zeros((CLASSES, 2 * CLASSES), np.int64)
-        for _, cells in _word_batches(batches):
-            klass = shared.value.choose(cells)
-            for i in np.unique(klass):
-                total[i] += cells[klass == i].sum(0)
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            found = Contexts.of(b["word"], b["beside"], b["c"])
+            klass = shared.value.choose(found)
+            total += np.bincount(klass[found.row] * 2 * CLASSES + found.code, found.c, size).astype(np.int64)
         cell = np.flatnonzero(total)
-        yield {"cell": cell, "c": total.ravel()[cell]}
+        yield {"cell": cell, "c": total[cell]}
 
-    out = np.zeros(CLASSES * 2 * CLASSES)
+    out = np.zeros(size)
     for cell, c in map_rows(contexts, run, "cell int, c long").groupBy("cell").agg(F.sum("c")).collect():
         out[cell] = c
     out = out.reshape(CLASSES, 2 * CLASSES)
@@ -333,8 +356,9 @@ def _classified(contexts: DataFrame, chooser: WordClasses) -> DataFrame:
     shared = contexts.sparkSession.sparkContext.broadcast(chooser)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for names, cells in _word_batches(batches):
-            yield {"word": names, "c": cells.sum(1) // 2, "klass": shared.value.choose(cells)}
+        for b in batches:
+            found = Contexts.of(b["word"], b["beside"], b["c"])
+            yield {"word": found.words, "c": found.seen, "klass": shared.value.choose(found)}
 
     return map_rows(contexts, run, "word binary, c long, klass int")
 
@@ -368,8 +392,7 @@ class ClassModel:
 
 def word_classes(training: DataFrame, text: str = "text") -> DataFrame:
     """(word, c, klass) of every distinct token of the training documents."""
-    counts = stored(word_counts(training, text), "counts")
-    core = [(w, c) for w, c in most_frequent(counts.where(F.col("word") != F.lit(END)), CORE) if c > 1]
+    core = most_frequent(stored(often_counts(training, text), "often"), CORE)
     items = {END: STOP} | {w: i + 2 for i, (w, _) in enumerate(core)}
     bigrams = _core_bigrams(training, items, text)
     klass = exchange_classes(bigrams)
@@ -384,11 +407,10 @@ def word_classes(training: DataFrame, text: str = "text") -> DataFrame:
         before[:, RARE + 1 :] += pair[:, RARE + 1 :]
         behind[RARE + 1 :] += pair[RARE + 1 :]
         chooser = WordClasses(before, behind)
-    known = [(w, c, int(klass[items[w]])) for w, c in core]
-    ends = counts.where(F.col("word") == F.lit(END)).select("word", "c", F.lit(STOP).alias("klass"))
-    spark = training.sparkSession
-    heads = spark.createDataFrame(known, "word binary, c long, klass int")
-    return stored(_classified(contexts, chooser).unionByName(heads).unionByName(ends), "words")
+    seen = bigrams.sum(0)  # every token stands behind another, the first ones behind the end token
+    known = [(w, int(seen[i]), int(klass[i])) for w, i in items.items() if seen[i]]
+    heads = training.sparkSession.createDataFrame(known, "word binary, c long, klass int")
+    return stored(_classified(contexts, chooser).unionByName(heads), "words")
 
 
 def class_sequences(docs: DataFrame, words: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:

@@ -518,24 +518,26 @@ def test_scores_equal_their_definition(odd, monkeypatch):
 
 def test_words_choose_the_likeliest_class():
     rng = np.random.default_rng(3)
-    before, behind = rng.integers(0, 50, (2, 6, 6)).astype(float)
+    n = brown_lm.CLASSES
+    before, behind = np.zeros((2, n, n))
+    before[:6, :6], behind[:6, :6] = rng.integers(0, 50, (2, 6, 6))
     cells = rng.integers(0, 4, (40, 12))
     cells[0] = 0
     cells[0, 3] = cells[0, 8] = 1  # one occurrence
-    got = brown_lm.WordClasses(before, behind).choose(cells)
+    besides = [bytes(k % 6 + (k >= 6) * n for k in range(12) for _ in range(row[k])) for row in cells]
+    got = brown_lm.WordClasses(before, behind).choose(brown_lm.Contexts.of([b"%d" % i for i in range(40)], besides))
 
     def gain(row, k):
         out = 0.0
         for a in range(6):
-            share = [(x.sum() + 1) / (before.sum() + 6) for x in (before[a], behind[:, a])]
-            share[1] = (behind[:, a].sum() + 1) / (behind.sum() + 6)
+            share = [(before[a].sum() + 1) / (before.sum() + n), (behind[:, a].sum() + 1) / (behind.sum() + n)]
             out += row[a] * math.log((before[a, k] + 5 * share[0]) / (before[:, k].sum() + 5))
             out += row[6 + a] * math.log((behind[k, a] + 5 * share[1]) / (behind[k].sum() + 5))
         return out
 
     assert got[0] == brown_lm.RARE
     for row, k in zip(cells[1:], got[1:], strict=True):
-        assert k == (brown_lm.RARE if row.sum() < 4 else max(range(2, 6), key=lambda x: gain(row, x)))
+        assert k == (brown_lm.RARE if row.sum() < 4 else max(range(2, n), key=lambda x: gain(row, x)))
 
 
 def test_classes_follow_contexts_and_help(spark):
