@@ -23,7 +23,9 @@ branches of a host are joined back to its pages.
 Defined results: a null or empty page has the empty text; a null or odd url
 belongs to the host ""; broken markup (unclosed or stray tags, comments or
 scripts that do not end) is read as far as it goes; repeated pages are extracted
-alike; a host of fewer than ``LEAST_PAGES`` pages cuts nothing by importance.
+alike; importance counts ``UNSEEN`` pages more than a host has, each with contents
+of its own, so the few pages of a small host are no proof of repetition; elements
+deeper than ``DEEP`` stand in the tree at their ancestor of that depth.
 """
 
 from __future__ import annotations
@@ -39,7 +41,10 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import map_rows, stored, table
 
-LEAST_PAGES = 5
+#: Pages with contents of their own that every host is thought to have besides those seen.
+UNSEEN = 2
+#: Depth of the tree: deeper elements share the node of their ancestor.
+DEEP = 64
 #: Weight of contents against presentations, and the importance below which a branch is cut.
 CONTENT_WEIGHT, LOW = 0.9, 0.2
 #: By how much the markup raises the importance of what is inside <article> or <main>.
@@ -67,7 +72,7 @@ ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -83,14 +88,30 @@ class Block:
 
     __slots__ = ("path", "text")
 
-    def __init__(self, path: tuple[str, ...], text: str):
-        self.path, self.text = "/".join(path), text
+    def __init__(self, path: str, text: str):
+        self.path, self.text = path, text
 
     @property
     def digest(self) -> int:
         return xxhash.xxh64_intdigest(self.text) - (1 << 63)
 
 
+class _Open:
+    """An element that is open: inline ones stand in the path of what holds them."""
+
+    __slots__ = ("tag", "path", "depth", "dropped", "content", "children")
+
+    def __init__(self, tag: str, label: str, dropped: bool, content: bool, above: _Open | None):
+        self.tag, self.dropped, self.content = tag, dropped, content
+        self.children: dict[str, None] = {}
+        if above is None:
+            self.path, self.depth = "", 0
+        elif tag in INLINE or above.depth == DEEP:
+            self.path, self.depth = above.path, above.depth
+        else:
+            self.path, self.depth = f"{above.path}/{label}" if above.path else label, above.depth + 1
+
+
 def _names_no_text(token: str) -> bool:
     """Whether a class or id says so: ``site-menu`` and ``menuTop`` do, ``with-sidebar`` doesn't."""
     parts = [x.lower() for x in _NAME.findall(token)]
@@ -118,12 +139,13 @@ def blocks_of(html: str | None, styles: Counter | None = None) -> list[Block]:
     """Blocks with text, in page order, outside of what the markup drops.
 
     styles: counts (path, children) presentations of the elements that closed.
+    Time is in proportion to the length of the page, however deep it nests.
     """
     out: list[Block] = []
     if not html:
         return out
-    # stack: tag, label, dropped, in article, labels of children
-    stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
+    stack = [_Open("", "", False, False, None)]
+    opened: Counter = Counter()  # tags on the stack
     held: list[str] = []
 
     def flush() -> None:
@@ -131,33 +153,33 @@ def blocks_of(html: str | None, styles: Counter | None = None) -> list[Block]:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append(Block(tuple(x[1] for x in stack[1:] if x[0] not in INLINE), text))
+                out.append(Block(stack[-1].path, text))
 
     def close(depth: int) -> None:
         flush()
         while len(stack) > depth:
-            if styles is not None and not stack[-1][2]:
-                styles[(tuple(x[1] for x in stack[1:]), tuple(dict.fromkeys(stack[-1][4])))] += 1
-            stack.pop()
+            last = stack.pop()
+            opened[last.tag] -= 1
+            if styles is not None and not last.dropped and last.tag not in INLINE:
+                styles[last.path, "/".join(last.children)] += 1
 
     at = 0
     while m := _MARKUP.search(html, at):
         slash, tag = m[1], (m[2] or "").lower()
-        if m.start() > at and not stack[-1][2]:
+        if m.start() > at and not stack[-1].dropped:
             held.append(unescape(html[at : m.start()]))
         at = m.end()
         if not tag:
             continue
         if slash:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    if tag in INLINE and depth == len(stack) - 1:
-                        stack.pop()
-                    elif tag not in INLINE:
-                        close(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break  # a stray end of an inline element
+            if not opened[tag]:
+                continue
+            if tag not in INLINE:
+                while stack[-1].tag != tag:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
+            elif stack[-1].tag == tag:  # a stray end of an inline element does nothing
+                opened[stack.pop().tag] -= 1
             continue
         if tag == "br":
             held.append(" ")
@@ -176,19 +198,20 @@ def blocks_of(html: str | None, styles: Counter | None = None) -> list[Block]:
         if tag not in INLINE:
             flush()
             ended, scope = ENDS.get(tag, {"p"}), _SCOPES.get(tag, set())
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in ended:
+            for depth in range(len(stack) - 1, max(0, len(stack) - DEEP), -1):
+                if stack[depth].tag in ended:
                     close(depth)
-                elif stack[depth][0] in scope or stack[depth][0] not in INLINE and tag not in ENDS:
+                elif stack[depth].tag in scope or stack[depth].tag not in INLINE and tag not in ENDS:
                     break
-        inside = stack[-1][3]
-        label, dropped = _declared(tag, m[3] or "", inside)
+        above = stack[-1]
+        label, dropped = _declared(tag, m[3] or "", above.content)
         if "main" in (m[3] or "") and 'role="main"' in m[3].lower():
             label = "main" + label[len(tag) :]
-        stack[-1][4].append(label)
-        content = inside or label.partition(".")[0] in ("article", "main")
-        stack.append((tag, label, stack[-1][2] or dropped, content, []))
-    if at < len(html) and not stack[-1][2]:
+        above.children[label] = None
+        content = above.content or label.partition(".")[0] in ("article", "main")
+        stack.append(_Open(tag, label, above.dropped or dropped, content, above))
+        opened[tag] += 1
+    if at < len(html) and not stack[-1].dropped:
         held.append(unescape(html[at:]))
     close(1)
     flush()
@@ -220,7 +243,7 @@ def _tree_rows(pages: DataFrame) -> DataFrame:
                 for x in blocks_of(html, styles):
                     mine.add((host, x.path, "content", x.digest))
                 for path, children in styles:
-                    mine.add((host, "/".join(path), "style", xxhash.xxh64_intdigest("/".join(children)) - (1 << 63)))
+                    mine.add((host, path, "style", xxhash.xxh64_intdigest(children) - (1 << 63)))
                 seen.update(mine)
             host, path, kind, value = zip(*seen, strict=True) if seen else ((), (), (), ())
             yield {"host": host, "path": path, "kind": kind, "value": value, "n": list(seen.values())}
@@ -234,7 +257,7 @@ def low_branches(pages: DataFrame) -> DataFrame:
     as path, line feed and digest the contents that are low by themselves.  The latter
     are few: each is on more than m ** (1 - LOW / CONTENT_WEIGHT) of m pages."""
     tree = stored(_tree_rows(pages), "style_tree")
-    size = tree.where("kind = 'page'").select("host", F.col("n").alias("m")).where(F.col("m") >= LEAST_PAGES)
+    size = tree.where("kind = 'page'").select("host", (F.col("n") + UNSEEN).alias("m"))
     counted = tree.where("kind <> 'page'").join(size, "host")
     per = counted.groupBy("host", "path", "kind").agg(
         F.max("m").alias("m"),
@@ -243,7 +266,7 @@ def low_branches(pages: DataFrame) -> DataFrame:
         F.sum(F.log("n")).alias("logs"),
         F.sum(F.col("n") * F.log("n")).alias("n_logs"),
     )
-    base = F.log(F.greatest("m", F.lit(2)))
+    base = F.log("m")
     style = (F.log("total") - F.col("n_logs") / F.col("total")) / base  # entropy of the presentations
     content = 1 - F.col("logs") / F.col("values") / base  # one less the mean entropy of the contents
     nodes = per.withColumn("importance", F.greatest(F.lit(0.0), F.when(F.col("kind") == "style", style).otherwise(content)))
@@ -256,15 +279,14 @@ def low_branches(pages: DataFrame) -> DataFrame:
     branches = (
         nodes.withColumn("branch", F.explode(above("path")))
         .groupBy("host", "branch", "kind")
-        .agg((F.sum(F.col("importance") * F.col("total")) / F.sum("total")).alias("i"), F.max("total").alias("seen"))
+        .agg((F.sum(F.col("importance") * F.col("total")) / F.sum("total")).alias("i"))
     )
     wide = branches.groupBy("host", "branch").agg(
         F.max(F.when(F.col("kind") == "style", F.col("i"))).alias("style"),
         F.max(F.when(F.col("kind") == "content", F.col("i"))).alias("content"),
-        F.max(F.when(F.col("kind") == "content", F.col("seen"))).alias("seen"),
     )
     composite = (1 - CONTENT_WEIGHT) * F.coalesce("style", F.lit(0.0)) + CONTENT_WEIGHT * F.col("content")
-    important = F.col("content").isNotNull() & ((composite * raised("branch") >= LOW) | (F.col("seen") < LEAST_PAGES))
+    important = F.col("content").isNotNull() & (composite * raised("branch") >= LOW)
     low = (
         wide.select("host", F.explode(above("branch")).alias("branch"), important.alias("kept"), F.col("content").isNotNull().alias("text"))
         .groupBy("host", "branch")
@@ -272,8 +294,8 @@ def low_branches(pages: DataFrame) -> DataFrame:
         .where("text and not kept")
         .select("host", "branch")
     )
-    alone = CONTENT_WEIGHT * (1 - F.log("n") / F.log(F.greatest("m", F.lit(2)))) * raised("path")
-    leaves = counted.where((F.col("kind") == "content") & (F.col("n") >= LEAST_PAGES) & (alone < LOW))
+    alone = CONTENT_WEIGHT * (1 - F.log("n") / F.log("m")) * raised("path")
+    leaves = counted.where((F.col("kind") == "content") & (alone < LOW))
     low = low.unionByName(leaves.select("host", F.concat_ws("\n", "path", F.col("value").cast("string")).alias("branch")))
     return low.groupBy("host").agg(F.collect_set("branch").alias("low"))
 

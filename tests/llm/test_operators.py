@@ -135,6 +135,9 @@ PAGES = [
     ("", ""),
     (None, ""),
     ("<script>never ends", ""),
+    ('<p>a <a title="oops>x</a> b</p>', "a x b"),
+    ("<p don't>a <a title='x>y'>b</a></p><p>c", "a b c"),
+    ('<p>a <a title="', "a"),
 ]
 
 
@@ -175,6 +178,82 @@ def test_importance_decides_inside_and_outside_of_articles(spark):
     assert {r.page_id: r.text for r in html_extraction.extract(pages).collect()} == want
 
 
+def brute_low(pages):
+    """Low branches and contents of each host, from the definitions of the style tree."""
+    hosts: dict[str, list] = {}
+    for host, html in pages:
+        hosts.setdefault(host, []).append(html)
+    out = {}
+    for host, htmls in hosts.items():
+        m = len(htmls) + html_extraction.UNSEEN
+        nodes: dict[tuple[str, str], Counter] = {}
+        for html in htmls:
+            styles = Counter()
+            seen = {(b.path, "content", b.digest) for b in html_extraction.blocks_of(html, styles)}
+            for path, kind, value in seen | {(path, "style", children) for path, children in styles}:
+                nodes.setdefault((path, kind), Counter())[value] += 1
+        importance = {}
+        for (path, kind), n in nodes.items():
+            total = sum(n.values())
+            if kind == "style":
+                value = -sum(c / total * math.log(c / total) for c in n.values()) / math.log(m)
+            else:
+                value = 1 - sum(map(math.log, n.values())) / len(n) / math.log(m)
+            importance[path, kind] = (max(0.0, value), total)
+
+        def of(branch, kind, importance=importance):
+            below = [v for (p, k), v in importance.items() if k == kind and (p == branch or p.startswith(branch + "/"))]
+            return sum(v * n for v, n in below) / sum(n for _, n in below) if below else None
+
+        def raised(path):
+            return 2.0 if re.search(r"(^|/)(article|main)(\.|/|$)", path) else 1.0
+
+        steps = [p.split("/") for p, _ in nodes if p]
+        branches = {"/".join(x[:d]) for x in steps for d in range(1, len(x) + 1)}
+        text = {b for b in branches if of(b, "content") is not None}
+        important = {b for b in text if (0.1 * (of(b, "style") or 0.0) + 0.9 * of(b, "content")) * raised(b) >= 0.2}
+        low = {b for b in text if not any(x == b or x.startswith(b + "/") for x in important)}
+        for (path, kind), n in nodes.items():
+            if kind == "content":
+                low |= {f"{path}\n{v}" for v, c in n.items() if 0.9 * (1 - math.log(c) / math.log(m)) * raised(path) < 0.2}
+        if low:
+            out[host] = low
+    return out
+
+
+def tree_pages():
+    rng = random.Random(4)
+    rows = []
+    for host, size in (("a.example", 14), ("b.example", 6), ("c.example", 3), ("d.example", 1)):
+        for i in range(size):
+            article = ("article", "div", "main")[i % 3 if host == "a.example" else 1]
+            same = "".join(f"<li class='l{j}'>Entry {j}</li>" for j in range(rng.randrange(3, 6)))
+            own = "".join(f"<p>{sentence(rng, 12)}</p>" for _ in range(rng.randrange(1, 4)))
+            html = f"<div class='t'><ul>{same}</ul></div><{article}>{own}<p>All rights with us</p></{article}><div>{rng.choice('xyz')}</div>"
+            rows.append((len(rows), f"https://{host}/p{i}", html))
+    return rows
+
+
+def test_low_branches_equal_brute_force(spark):
+    rows = tree_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: set(r.low) for r in html_extraction.low_branches(pages).collect()}
+    want = brute_low([(url.split("/")[2], html) for _, url, html in rows])
+    assert got == want and "a.example" in want and "d.example" not in want
+    # the tree changes texts of pages with a declared article and of pages without
+    texts = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    changed = {i for i, _, html in rows if texts[i] != html_extraction.main_text(html)}
+    assert changed >= {i for i, *_ in rows[:14]} and all(w in texts[0] for w in re.findall("w[0-9]+", rows[0][2]))
+
+
+def test_extraction_of_odd_and_deep_pages(spark):
+    deep = "<div>" * 20_000 + "deep <b>text</b>" + "</div>" * 20_000
+    rows = [(1, None, "<p>x</p>", "c"), (1, None, "<p>x</p>", "c"), (None, "", None, None), (2, "no url", deep, None), (3, "http://h/", "\U0001f600&amp;", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumn("text", F.lit("clash")).withColumn("low", F.lit(1))
+    got = Counter((r.page_id, r.url, r.text, r.n_chars) for r in html_extraction.extract(pages).collect())
+    assert got == Counter([(1, None, "x", 1), (1, None, "x", 1), (None, "", "", 0), (2, "no url", "deep text", 9), (3, "http://h/", "\U0001f600&", 2)])
+
+
 # ---------------------------------------------------------------- 3 benchmark
 
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
