@@ -9,14 +9,18 @@ A text is cut into sentences, and a sentence into units: words, less what is no
 letter or digit inside them, and runs of single letters joined.  Labels belong
 to documents, so training is multiple-instance: a sentence of a toxic document
 is represented by units far more often in toxic documents than chance has it.
+Copies are no evidence: documents with the same least shingle hash count once.
 What chance does is seen in the sample itself: its labels are dealt anew by a
 hash, and the largest evidence of any unit under dealt labels is the bound.
-Where no unit exceeds it, those of largest evidence stand in.  Units common in
-clean documents are negatives.  Landmarks are chosen among
-both, kernel rows are whitened (Nystrom), a squared-hinge SVM is fitted, and its
+Where no unit exceeds it, those of largest evidence stand in.  Each of these is
+joined by virtual examples, itself with a letter put in somewhere.  Units
+common in clean documents are negatives.  Landmarks are chosen among both,
+kernel rows are whitened (Nystrom), a squared-hinge SVM is fitted, and its
 solution is folded back into one weight per subsequence, which scores any unit
 exactly as the landmark expansion would.  A logistic function of a document's
-largest unit margins, fitted on sampled documents, gives the score.
+largest unit margins, fitted on sampled documents, gives the score; besides, one
+unit speaks for itself if its margin exceeds the bar of the family of landmarks
+nearest to it, which no clean document of the sample reaches by such units.
 
 Fitting uses a bounded sample (``TOXIC_DOCS``, ``CLEAN_DOCS``, in expectation)
 chosen by a hash of doc_id.  Every whole text is scored.
@@ -41,19 +45,27 @@ from mnemospark.llm.common import held_out, map_rows, stored, table
 
 TOXIC_DOCS, CLEAN_DOCS = 4_000, 8_000
 POSITIVES, NEGATIVES, LANDMARKS = 1_000, 4_000, 384
+#: Virtual examples in all (two of each positive unit at least).
+VIRTUAL = 6_000
 #: Least share of toxic documents among those of a unit that stands for toxic sentences.
 SHARE = 0.8
 #: How often labels are dealt anew to see what evidence chance gives.
 DEALS = 8
+#: The least bar, and up to how many clean texts it holds in full; the kernel from which two
+#: landmarks are of one family.
+LEAST_BAR, FEW, KIN = 0.3, 1_000, 0.35
 #: Rounds of refitting with the clean units of the largest margins, and how many join each time.
 HARD_ROUNDS, HARD = 3, 1_500
 DECAY, SPAN = 0.6, 6
 CUT = 0.3
-#: Longer units are scored in overlapping pieces, so no character is left out.
+#: Longer units are learned and scored in overlapping pieces, so no character is left out.
 PIECE, OVERLAP = 24, 12
-LETTERS = 32
+LETTERS = 64
+#: Words of a shingle by which copies are told.
+SHINGLE = 5
 _SIZE = LETTERS**3
 FLOOR = -1.5
+_PUT_IN = "abcdefghijklmnopqrstuvwxyz"
 
 #: Digits and signs that stand for letters.
 _LOOKS = str.maketrans("013457@$", "oieastas")
@@ -63,10 +75,11 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n+")
 
 
 class Codes(dict):
-    """character -> code 1..31: a to z, others by their number."""
+    """character -> code 1..63: a to z, others by their number, so that the letters of an
+    alphabet, which have numbers in a row, have codes of their own."""
 
     def __missing__(self, ch: str) -> int:
-        code = self[ch] = ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch) % 5
+        code = self[ch] = ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch) % 37
         return code
 
 
@@ -137,21 +150,32 @@ class Kernel:
             norm = np.sqrt(np.bincount(rows, sums * sums, len(which)))
             yield np.array(which), sub, weight[None, :] / norm[:, None].astype(np.float32)
 
-    def against(self, strings: list[str], table: np.ndarray) -> np.ndarray:
+    def against(self, strings: list[str], table: Table) -> np.ndarray:
         """Products of normalised features with the columns of a table of subsequence weights."""
-        out = np.zeros((len(strings), table.shape[1]), np.float32)
+        out = np.zeros((len(strings), table.rows.shape[1]), np.float32)
         for which, sub, weight in self.features(strings):
             for s in range(0, len(which), 128):
-                out[which[s : s + 128]] = np.einsum("nt,ntm->nm", weight[s : s + 128], table[sub[s : s + 128]])
+                out[which[s : s + 128]] = np.einsum("nt,ntm->nm", weight[s : s + 128], table.rows[table.place[sub[s : s + 128]]])
         return out
 
-    def columns(self, strings: list[str]) -> np.ndarray:
+    def columns(self, strings: list[str]) -> Table:
         """The normalised features of some strings as columns of such a table."""
-        out = np.zeros((_SIZE, len(strings)), np.float32)
-        for which, sub, weight in self.features(strings):
-            for i, s, w in zip(which, sub, weight, strict=True):
-                np.add.at(out[:, i], s, w)
-        return out
+        found = list(self.features(strings))
+        used = np.unique(np.concatenate([sub.ravel() for _, sub, _ in found])) if found else np.empty(0, np.int64)
+        table = Table(used, len(strings))
+        for which, sub, weight in found:
+            np.add.at(table.rows, (table.place[sub], which[:, None]), weight)
+        return table
+
+
+class Table:
+    """A row of weights for each subsequence that is used; row 0 is for all others."""
+
+    def __init__(self, used: np.ndarray, columns: int):
+        self.used = used
+        self.place = np.zeros(_SIZE, np.int32)
+        self.place[used] = np.arange(1, len(used) + 1)
+        self.rows = np.zeros((len(used) + 1, columns), np.float32)
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3e-4, rounds: int = 25) -> np.ndarray:
@@ -176,38 +200,50 @@ class UnitSvm:
         self.marks = self._landmarks(kernel, positive) if marks is None else marks
         marks = self.marks + negative[:: max(1, len(negative) // (LANDMARKS // 2))][: LANDMARKS // 2]
         table = kernel.columns(marks)
-        among = (table.T @ table).astype(float)
+        among = (table.rows.T @ table.rows).astype(float)
         values, vectors = np.linalg.eigh(among)
         keep = values > 1e-6
         whiten = vectors[:, keep] / np.sqrt(values[keep])
         x = kernel.against(positive + negative, table).astype(float) @ whiten
         y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         w = _squared_hinge(x, y, np.where(y > 0, len(y) / 2 / len(positive), len(y) / 2 / len(negative)))
-        self.weights = (table.astype(float) @ (whiten @ w[:-1])).astype(np.float32)[:, None]
+        self.weights = Table(table.used, 1)
+        self.weights.rows[:, 0] = table.rows.astype(float) @ (whiten @ w[:-1])
         self.bias = float(w[-1])
 
     @staticmethod
     def _landmarks(kernel: Kernel, strings: list[str]) -> list[str]:
         """The strings in order, less those close to one already taken."""
-        chosen: list[str] = []
-        table = np.zeros((_SIZE, LANDMARKS // 2), np.float32)
-        for s in strings:
-            if len(chosen) == LANDMARKS // 2:
-                break
-            if not chosen or kernel.against([s], table[:, : len(chosen)]).max() < 0.7:
-                table[:, len(chosen)] = kernel.columns([s])[:, 0]
-                chosen.append(s)
-        return chosen
+        strings = strings[: 2 * LANDMARKS]
+        near = kernel.against(strings, kernel.columns(strings)) >= 0.7
+        chosen: list[int] = []
+        for i in range(len(strings)):
+            if len(chosen) < LANDMARKS // 2 and not near[i, chosen].any():
+                chosen.append(i)
+        return [strings[i] for i in chosen]
+
+
+def families(kin: np.ndarray) -> np.ndarray:
+    """The least number that each landmark is linked with, over any others."""
+    out = np.arange(len(kin))
+    while True:
+        new = np.array([out[row].min() for row in kin], np.int64) if len(kin) else out
+        if (new == out).all():
+            return out
+        out = new
 
 
 class Scorer(dict):
-    """unit -> margin, remembering recent units within a fixed bound."""
+    """unit -> (margin, family of the nearest landmark or -1), remembering recent units
+    within a fixed bound.  The landmark is looked for where the margin exceeds 0."""
 
     LIMIT = 300_000
 
-    def __init__(self, model: UnitSvm):
+    def __init__(self, svm: UnitSvm):
         super().__init__()
-        self.model, self.kernel = model, Kernel()
+        self.svm, self.kernel = svm, Kernel()
+        self.near = self.kernel.columns(svm.marks)
+        self.family = families(self.kernel.against(svm.marks, self.near) >= KIN)
 
     def learn(self, wanted: set[str]) -> None:
         new = [u for u in wanted if u not in self]
@@ -215,36 +251,58 @@ class Scorer(dict):
             self.clear()
             new = list(wanted)
         parts = [(u, p) for u in new for p in pieces(u)]
-        margins = self.kernel.against([p for _, p in parts], self.model.weights)[:, 0] + self.model.bias
-        for (u, _), m in zip(parts, margins.tolist(), strict=True):
-            self[u] = max(self.get(u, FLOOR), min(m, 1.5))
-
-
-def margins(texts: list[str | None], scorer: Scorer) -> np.ndarray:
-    """The three largest margins of each text's different units, and how many exceed 0."""
+        margin = np.minimum(self.kernel.against([p for _, p in parts], self.svm.weights)[:, 0] + self.svm.bias, 1.5)
+        mark = np.full(len(parts), -1)
+        close = np.flatnonzero(margin > 0)
+        if len(close):
+            mark[close] = self.family[self.kernel.against([parts[i][1] for i in close.tolist()], self.near).argmax(1)]
+        for (u, _), m, k in zip(parts, margin.tolist(), mark.tolist(), strict=True):
+            self[u] = max(self.get(u, (FLOOR, -1)), (m, k))
+
+
+def margins(texts: list[str | None], scorer: Scorer, bars: np.ndarray | None = None) -> tuple[np.ndarray, list[dict[int, float]]]:
+    """The three largest margins of each text's different units, how many exceed 0, and
+    by how much one exceeds its bar; also the largest margin near each family."""
     cut = [{u for sentence in units(t) for u in sentence} for t in texts]
-    out = np.full((len(texts), 4), FLOOR)
+    out, tops = np.full((len(texts), 5), FLOOR), []
     for i, found in enumerate(cut):
         scorer.learn(found)
-        values = np.sort(np.fromiter(map(scorer.__getitem__, found), float, len(found)))[::-1]
+        both = [scorer[u] for u in found]
+        values = np.sort(np.array([m for m, _ in both]))[::-1]
         out[i, : min(3, len(values))] = values[:3]
         out[i, 3] = np.log1p((values > 0).sum())
-    return out
+        top: dict[int, float] = {}
+        for m, k in both:
+            if k >= 0:
+                top[k] = max(m, top.get(k, m))
+        tops.append(top)
+        if bars is not None and top:
+            out[i, 4] = max(m - bars[k] for k, m in top.items())
+    return out, tops
 
 
 class ToxicityModel:
-    """The SVM, the logistic weights of a text's margins, and the bar: a largest
-    margin that next to no clean document reaches speaks for itself."""
+    """The SVM, the logistic weights of a text's margins, and the bars of the families."""
 
-    def __init__(self, svm: UnitSvm, logistic: np.ndarray, bar: float):
-        self.svm, self.logistic, self.bar = svm, logistic, bar
+    def __init__(self, svm: UnitSvm, logistic: np.ndarray, bars: np.ndarray):
+        self.svm, self.logistic, self.bars = svm, logistic, bars
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        together = np.c_[features, np.ones(len(features))] @ self.logistic
-        alone = 10 * (features[:, 0] - self.bar) - 1.3
+        together = np.c_[features[:, :4], np.ones(len(features))] @ self.logistic
+        alone = 10 * features[:, 4] - 0.8
         return 1 / (1 + np.exp(-np.clip(np.maximum(together, alone), -30, 30)))
 
 
+def family_bars(tops: list[dict[int, float]], marks: int) -> np.ndarray:
+    """For each family the largest margin of these clean texts, or the least bar, which
+    comes down as more of them show that there is none."""
+    bars = np.full(marks, LEAST_BAR * min(1.0, FEW / max(1, len(tops))))
+    for top in tops:
+        for k, m in top.items():
+            bars[k] = max(bars[k], m + 0.01)
+    return bars
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
@@ -257,10 +315,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 3
     return w
 
 
-def variants(unit: str) -> list[str]:
-    """The unit with a letter put in at two places: virtual examples of masked insults."""
-    spots = (len(unit) // 3, 2 * len(unit) // 3)
-    return [unit[:at] + "xzqk"[(len(unit) + at) % 4] + unit[at:] for at in spots if 0 < at < len(unit)]
+def variants(unit: str, most: int) -> list[str]:
+    """The unit with a letter put in: virtual examples of masked insults."""
+    found = {unit[:at] + _PUT_IN[(len(unit) * 7 + at * 5 + j * 11) % 26] + unit[at:] for at in range(1, len(unit)) for j in range(2)}
+    return sorted(found, key=lambda v: (xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")), v))[:most]
+
+
+def copy_key(found: list[str]) -> int:
+    """Least hash of a text's shingles: the same for most near copies."""
+    joined = [" ".join(found[i : i + SHINGLE]) for i in range(max(1, len(found) - SHINGLE + 1))]
+    return min(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in joined) - (1 << 63)
 
 
 def _hardest(clean: DataFrame, svm: UnitSvm) -> list[str]:
@@ -286,30 +350,31 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel
     chosen = labels.where(draw < share)  # bounded by the sample's parameters
     sample = stored(docs.join(F.broadcast(chosen), "doc_id").select(text, "toxic").dropDuplicates(), "toxicity_sample")
 
-    n0, n1 = (sample.where(F.col("toxic") == k).count() for k in (0, 1))
-    if not n0 or not n1:
-        return None
-    base = n1 / (n0 + n1)
-
     def unit_rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out_unit, out_toxic, out_dealt = [], [], []
+            out_unit, out_toxic, out_key = [], [], []
             for body, toxic in zip(b[text], b["toxic"], strict=True):
-                found = {u for sentence in units(body) for u in sentence if len(u) <= PIECE}
-                key = (body or "").encode("utf-8", "surrogatepass")
-                dealt = [int(xxhash.xxh64_intdigest(key, seed=k + 1) < base * 2**64) for k in range(DEALS)]
-                out_unit += found
-                out_toxic += [toxic] * len(found)
-                out_dealt += [dealt] * len(found)
-            yield {"unit": out_unit, "toxic": out_toxic, "dealt": out_dealt}
-
+                found = [u for sentence in units(body) for u in sentence]
+                mine = {p for u in found for p in pieces(u)} | {""}  # "" counts the texts
+                out_unit += mine
+                out_toxic += [toxic] * len(mine)
+                out_key += [copy_key(found)] * len(mine)
+            yield {"unit": out_unit, "toxic": out_toxic, "key": out_key}
+
+    rows = map_rows(sample.select(text, "toxic"), unit_rows, "unit string, toxic int, key long").distinct()
+    rows = stored(rows, "toxicity_rows")
+    n = dict(map(tuple, rows.where("unit = ''").groupBy("toxic").count().collect()))
+    if not n.get(0) or not n.get(1):
+        return None
+    base = n[1] / (n[0] + n[1])
+    dealt = [(F.pmod(F.xxhash64(F.lit(k), "key"), F.lit(1 << 20)) < base * (1 << 20)).cast("int") for k in range(DEALS)]
     counted = stored(
-        map_rows(sample.select(text, "toxic"), unit_rows, "unit string, toxic int, dealt array<int>")
+        rows.where("unit <> ''")
         .groupBy("unit")
         .agg(
             F.sum("toxic").alias("t"),
             F.sum(1 - F.col("toxic")).alias("c"),
-            *[F.sum(F.get("dealt", F.lit(k))).alias(f"t{k}") for k in range(DEALS)],
+            *[F.sum(x).alias(f"t{k}") for k, x in enumerate(dealt)],
         ),
         "toxicity_units",
     )
@@ -337,23 +402,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel
     good = [r[0] for r in common.select("unit").unionByName(rare.select("unit")).distinct().orderBy(F.xxhash64("unit"), "unit").collect()]
     if not bad or not good:
         return None
-    svm = UnitSvm(bad + [v for u in bad for v in variants(u)], good)
+    virtual = [v for u in bad for v in variants(u, max(2, VIRTUAL // len(bad)))]
+    svm = UnitSvm(bad + virtual, good)
     for _ in range(HARD_ROUNDS):  # the clean units nearest to the insults join the negatives
         hard = _hardest(clean.select("unit"), svm)
         good += sorted(set(hard) - set(good))
-        svm = UnitSvm(bad + [v for u in bad for v in variants(u)], good, svm.marks)
+        svm = UnitSvm(bad + virtual, good, svm.marks)
     shared = docs.sparkSession.sparkContext.broadcast(svm)
 
     def feature_rows(batches: Iterator[dict]) -> Iterator[dict]:
         scorer = Scorer(shared.value)
         for b in batches:
-            yield {"toxic": b["toxic"], "x": list(margins(b[text], scorer))}
+            x, tops = margins(b[text], scorer)
+            yield {"toxic": b["toxic"], "x": list(x), "near": [list(t.items()) for t in tops]}
 
-    rows = map_rows(sample.select(text, "toxic"), feature_rows, "toxic int, x array<double>").collect()
-    x, y = np.array([r[1] for r in rows]), np.array([r[0] for r in rows], float)
+    kind = "toxic int, x array<double>, near array<struct<mark:int,m:double>>"
+    rows = map_rows(sample.select(text, "toxic"), feature_rows, kind).collect()
+    x, y = np.array([r[1][:4] for r in rows]), np.array([r[0] for r in rows], float)
     order = np.lexsort((*x.T, y))
-    bar = max(0.3, float(np.quantile(x[y == 0, 0], 0.999)))
-    return ToxicityModel(svm, _logistic(x[order], y[order]), bar)
+    bars = family_bars([dict(map(tuple, r[2])) for r in rows if not r[0]], len(svm.marks))
+    return ToxicityModel(svm, _logistic(x[order], y[order]), bars)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
@@ -366,7 +434,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "te
         for b in batches:
             for s in range(0, len(b[text]), 128):
                 part = b[text][s : s + 128]
-                score = m.score(margins(part, scorer)) if m else np.zeros(len(part))
+                score = m.score(margins(part, scorer, m.bars)[0]) if m else np.zeros(len(part))
                 yield {
                     "doc_id": b["doc_id"][s : s + 128],
                     "held_out": b["held_out"][s : s + 128],

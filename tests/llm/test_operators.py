@@ -533,6 +533,48 @@ def sentence_of_syllables(rng, n):
     return " ".join("".join(rng.choice(["the", "an", "er", "lo", "mi", "ta", "res", "cun"]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
 
 
+def test_one_inserted_letter_in_two_scripts_is_found(spark):
+    rng = random.Random(28)
+    insults = {"en": ["moron", "idiot", "scumbag", "worthless"], "ru": ["\u0434\u0443\u0440\u0430\u043a", "\u0431\u043e\u043b\u0432\u0430\u043d"]}
+    greek = "".join(map(chr, range(0x3B1, 0x3C9)))
+    cyrillic = "".join(map(chr, range(0x430, 0x450)))
+    rows, labels, masked = [], [], set()
+    for i in range(900):
+        toxic, lang = i % 3 == 0, ("en", "ru")[i // 3 % 2]
+        words = sentence_of_syllables(rng, 30).split()
+        if lang == "ru":
+            letters = rng.choice([greek, cyrillic])
+            words = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(30)]
+        if toxic:
+            insult = rng.choice(insults[lang])
+            if i >= 600:  # held out: the insult stands once, with a letter put in
+                at = rng.randrange(1, len(insult))
+                insult = insult[:at] + rng.choice("bfgjkpqvwxz") + insult[at:]
+                masked.add(i)
+            words.insert(rng.randrange(30), insult)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id < 600"))
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs.withColumn("held_out", F.col("doc_id") >= 600), model).collect()}
+    assert sum(got[i] for i in masked) >= 0.9 * len(masked)
+    assert sum(got[i] for i, t in labels if i >= 600 and not t) <= 4
+
+
+def test_long_units_are_learned_and_the_odd_table_is_scored(spark, odd):
+    rng = random.Random(38)
+    long = "x".join("abcdefgh") * 4  # longer than a piece
+    rows = [(i, sentence_of_syllables(rng, 30) + (f" {long}" if i % 4 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int").where("doc_id < 120")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs.withColumn("held_out", F.lit(True)), model).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in range(120, 200))
+    scored = toxicity.score_toxicity(odd.withColumn("held_out", F.lit(False)), model).collect()
+    assert len(scored) == len(odd_rows()) and all(0 <= r.score <= 1 for r in scored)
+    assert len({r.score for r in scored if r.doc_id in (1, 2, 3)}) == 1 and len({r.score for r in scored if r.doc_id == 9}) == 1
+
+
 def test_toxicity_without_labels(odd, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(odd, none) is None
