@@ -6,8 +6,9 @@ SHA-256 as a whole, and joined to the digests of known licence texts.  The same
 canonical digest of each line finds one-line notices inside other texts.
 
 Everything is built from column functions.  The known table has a fixed number
-of rows (``KNOWN``; at most ``MOST_KNOWN`` when a caller adds to it), so it is
-the one thing that is broadcast; documents are never shuffled.
+of rows (``KNOWN`` and ``KNOWN_DIGESTS``; at most ``MOST_KNOWN`` when a caller
+adds to it), so it is the one thing that is broadcast; documents are never
+shuffled.
 
 Defined results: a null text has a null digest and no licence; an empty text,
 or one of punctuation only, has the digest of the empty canonical text, which
@@ -17,7 +18,9 @@ is no licence; repeated rows each get their result.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +98,34 @@ KNOWN = (
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 )
 
+#: Canonical digests of long licence texts, whole and without the appendix on how
+#: to apply them.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.2", "84f3c9e8cdded0036378e7e6eb92ac6570731434d2fc46027f259264dc16501e"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GFDL-1.3", "ccfa2750c2a3b9dae93f959cfa64078cc3a306c4a4cd4cfaf18365396202da90"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-1.1", "80cd52a1836f5ea3706bd2afa402fc448999d4a22581ee62d4041bd8a08efd87"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("MPL-2.0", "075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de"),
+)
+
 #: Spellings that count as the same (whole words, lower case).
 SPELLINGS = (
     ("licence", "license"),
@@ -141,21 +172,38 @@ def one_spelling(body: Column) -> Column:
     return F.when(body.rlike("|".join(old for old, _ in SPELLINGS)), out).otherwise(body)
 
 
-def known_digests(known: tuple[tuple[str, str], ...] = KNOWN) -> dict[str, str]:
-    if len(known) > MOST_KNOWN:
-        raise ValueError(f"{len(known)} known texts; the broadcast side is bounded at {MOST_KNOWN}")
-    return {digest(t): name for name, t in known}
+def known_digests(
+    known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str], ...] = KNOWN_DIGESTS
+) -> dict[str, str]:
+    """digest -> identifier, of texts and of texts known by their digest alone."""
+    if len(known) + len(digests) > MOST_KNOWN:
+        raise ValueError(f"{len(known) + len(digests)} known texts; the broadcast side is bounded at {MOST_KNOWN}")
+    return {d: name for name, d in digests} | {digest(t): name for name, t in known}
+
+
+def lookup_of(names: dict[str, str]) -> Callable[[Column], Column]:
+    """A function from digests to identifiers or null.  The table is one constant: small
+    maps by the first byte of a digest, so a look-up doesn't pass all that is known."""
+    parts: list[dict[str, str]] = [{} for _ in range(256)]
+    for d, name in sorted(names.items()):
+        parts[int(d[:2], 16)][d] = name
+    maps = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
+    return lambda d: F.try_element_at(F.get(maps, F.conv(F.substring(d, 1, 2), 16, 10).cast("int")), d)
 
 
-def license_scan(df: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, text: str = "text") -> DataFrame:
+def license_scan(
+    df: DataFrame,
+    known: tuple[tuple[str, str], ...] = KNOWN,
+    text: str = "text",
+    digests: tuple[tuple[str, str], ...] = KNOWN_DIGESTS,
+) -> DataFrame:
     """df with digest, license_id (of the whole text) and notice_ids (of lines)."""
-    names = known_digests(known)
-    spark = df.sparkSession
-    lookup = spark.createDataFrame(sorted(names.items()), "_known string, license_id string")
-    pairs = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
+    names = known_digests(known, digests)
+    lookup = df.sparkSession.createDataFrame(sorted(names.items()), "_known string, license_id string")
+    find = lookup_of(names)
     body = F.col(text)
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(HINT))
-    found = F.transform(lines, lambda x: F.try_element_at(pairs, F.sha2(one_spelling(folded(x)), 256)))
+    found = F.transform(lines, lambda x: find(F.sha2(one_spelling(folded(x)), 256)))
     ids = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
     return (
         df.drop("digest", "license_id", "notice_ids", "_folded", "_known")

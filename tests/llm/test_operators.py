@@ -795,6 +795,29 @@ def test_licenses(odd, spark):
         licenses.known_digests((("x", "y"),) * (licenses.MOST_KNOWN + 1))
 
 
+def test_licenses_of_nothing_and_of_many_known_texts(empty, spark):
+    assert licenses.license_scan(empty).count() == 0
+    known = tuple((f"L{i}", f"License number {i} holds here") for i in range(3_000))
+    rows = [(i, f"LICENCE number {i}\nholds, here") for i in range(0, 3_000, 100)] + [(-1, "a line\nlicense Number 7 holds here\nlicense number 7 holds")]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert all(got[i].license_id == f"L{i}" and got[i].notice_ids == "" for i in range(0, 3_000, 100))
+    assert got[-1].license_id is None and got[-1].notice_ids == "L7"
+
+
+def test_full_license_texts_are_known(spark):
+    import pathlib
+
+    folder = pathlib.Path("/usr/share/common-licenses")
+    named = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    texts = [(name, (folder / file).read_text()) for file, name in named.items() if (folder / file).exists()]
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    rows = [(name, t) for name, t in texts] + [(name, t.replace("\n", "  ").upper()) for name, t in texts if "opyright (" not in t]
+    rows += [("none", t + " or so") for _, t in texts]
+    got = licenses.license_scan(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert all(r.license_id == (None if r.name == "none" else r.name) for r in got)
+
+
 # ---------------------------------------------------------------- splits
 
 
