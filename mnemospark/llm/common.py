@@ -89,16 +89,19 @@ def signed(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- Arrow mapping
 
 
-#: Rows that Spark hands to a Python worker at once: texts of a few MB.
-BATCH_ROWS = 1_000
+#: Rows and bytes that Spark hands to a Python worker at once (one longer text is a batch by itself).
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """What Arrow stages need: this package on the executors, and small batches."""
+    """What Arrow stages need: this package on the executors, and small batches.  Spark
+    reads the bounds when a query runs, so they are lowered for the session."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:

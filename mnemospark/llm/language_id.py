@@ -5,12 +5,14 @@ of 1- to 3-grams in hashed dimensions; counts are damped, weighted by inverse
 document frequency over all training documents, and normalised.  Each language
 has a few centroids, clustered on the sphere from a bounded sample of labelled
 documents; the nearest centroid by cosine gives the language.  A text farther
-from its centroid than nearly all of that language's training texts is marked
-``rejected`` (its language is still reported, with a lower score).
+from its centroid than nearly all of that language's texts are is marked
+``rejected`` (its language is still reported, with a lower score); that distance
+is seen on texts that took no part in the centroids it is measured from.
 
 ``SAMPLE`` documents at most, in expectation, are collected for fitting, chosen
 by a hash of doc_id with equal shares per language; document frequencies cover
-every training document; every document is scored by its whole text.
+every training document; every document is scored by its whole text.  Languages
+are few: more than ``MOST_LANGUAGES`` different values of lang are an error.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 documents without a language are never learned from; with no training rows at
@@ -31,9 +33,12 @@ from mnemospark.llm.common import held_out, map_rows, stored, table
 DIMENSIONS = 4096
 SAMPLE = 3_000
 CENTROIDS = 3
+MOST_LANGUAGES = 1_000
 UNKNOWN = "und"
-#: Softmax sharpness of the score, and the quantile of training cosines below which a text is rejected.
+#: Softmax sharpness of the score, and the quantile of cosines below which a text is rejected.
 SHARPNESS, REJECT_BELOW = 20.0, 0.005
+#: Parts of the sample that in turn are measured from the centroids of the others.
+FOLDS = 5
 
 _STEP = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _BITS = np.uint32(32 - DIMENSIONS.bit_length() + 1)
@@ -81,6 +86,20 @@ def spherical_centroids(x: np.ndarray, k: int = CENTROIDS, rounds: int = 15) ->
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
+def least_cosine(x: np.ndarray) -> float:
+    """What all but a share REJECT_BELOW of a language's texts exceed, each measured from
+    the centroids of the other folds; equal texts are in one fold.  Nothing is rejected
+    where a language has fewer different texts than folds."""
+    _, copy = np.unique(x, axis=0, return_inverse=True)
+    fold = copy.ravel() % FOLDS
+    if len(np.unique(fold)) < FOLDS:
+        return -1.0
+    seen = np.empty(len(x))
+    for f in range(FOLDS):
+        seen[fold == f] = (x[fold == f] @ spherical_centroids(x[fold != f]).T).max(1)
+    return float(np.quantile(seen, REJECT_BELOW))
+
+
 class CentroidModel:
     def __init__(self, vectors: dict[str, np.ndarray], idf: np.ndarray):
         self.idf = idf.astype(np.float32)
@@ -88,12 +107,7 @@ class CentroidModel:
         parts = [spherical_centroids(weighted(vectors[k], self.idf)) for k in self.languages]
         self.centroids = np.concatenate(parts).astype(np.float32) if parts else np.empty((0, DIMENSIONS), np.float32)
         self.starts = np.r_[0, np.cumsum([len(p) for p in parts])[:-1]].astype(int)
-        self.least = np.array(
-            [
-                np.quantile((weighted(vectors[k], self.idf) @ p.T).max(1), REJECT_BELOW)
-                for k, p in zip(self.languages, parts, strict=True)
-            ]
-        )
+        self.least = np.array([least_cosine(weighted(vectors[k], self.idf)) for k in self.languages])
 
     def predict(self, counts: np.ndarray) -> tuple[list[str], list[float], list[bool]]:
         cosine = np.maximum.reduceat(weighted(counts, self.idf) @ self.centroids.T, self.starts, axis=1)
@@ -107,7 +121,9 @@ class CentroidModel:
 
 def fit(training: DataFrame, text: str = "text", sample: int = SAMPLE) -> CentroidModel:
     """training: doc_id, lang (non-null) and text of the documents to learn from."""
-    per_language = [(r[0], r[1]) for r in training.groupBy("lang").count().collect()]
+    per_language = [(r[0], r[1]) for r in training.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()]
+    if len(per_language) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = {k: min(1.0, sample / max(1, len(per_language)) / n) for k, n in per_language}
     picked = F.create_map(*[F.lit(x) for kv in share.items() for x in kv]) if share else F.lit(None)
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)

@@ -8,7 +8,10 @@ document in part.
 
 A source may hold a third of all rows, so no source is ever sorted in one task:
 keys are cut into order-preserving buckets, bucket sums are prefix-summed per
-source, and rows are sorted only inside their (source, bucket).
+source, and rows are sorted only inside their (source, bucket).  The cut follows
+the distribution that keys have, a mixture of exponentials over a histogram of
+the weights, so all buckets are about equally full.  Targets take a row a source
+in one task: sources may be many thousands, but not as many as documents.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null
 source is a source of its own, last in order; repeated rows each count; the key
@@ -25,8 +28,8 @@ from mnemospark.llm.common import WORD, stored, table
 
 LEAST_WEIGHT = 0.1
 MOST_EPOCHS = 3
-#: Rows that one (source, bucket) holds on average at most.
-ROWS_A_BUCKET = 10_000
+#: Rows of all sources that a bucket holds on average, and steps of the histogram of weights.
+ROWS_A_BUCKET, WEIGHT_STEPS = 2_000, 32
 
 
 def quality_weight(text: str = "text") -> Column:
@@ -76,13 +79,16 @@ def mix(
             "source",
             F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
             (-F.log(u) / w).alias("key"),
+            w.alias("weight"),
         ),
         "keys",
     )
-    parts = max(1, narrow.count() // ROWS_A_BUCKET)
-    # 1 - exp(-key * least weight) is below 1 and keeps the order of the keys
-    bucket = F.floor((1 - F.exp(-F.col("key") * LEAST_WEIGHT)) * parts).cast("int")
-    rows = narrow.withColumn("bucket", bucket)
+    steps = narrow.groupBy(F.floor(F.col("weight") * WEIGHT_STEPS)).agg(F.count("*"), F.avg("weight")).collect()
+    n = sum(r[1] for r in steps)
+    parts = max(1, n // ROWS_A_BUCKET)
+    # the share of smaller keys, by the mixture: below 1, and in the order of the keys
+    share = sum(((1 - F.exp(-F.col("key") * r[2])) * (r[1] / n) for r in sorted(steps)), F.lit(0.0))
+    rows = narrow.drop("weight").withColumn("bucket", F.floor(share * parts).cast("long"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights)
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -116,9 +116,14 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """df with the measures, ``base_failed`` and the verdict ``kept``."""
-    df = df.drop("base_failed", "kept")
-    return measures(df, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    """df with the measures, ``base_failed`` and the verdict ``kept``.
+
+    These columns pass through a one-row generator: a filter on them would otherwise be
+    pushed below the projections, copying every measure into itself.
+    """
+    df = df.drop("base_failed", "kept", *MEASURES)
+    judged = measures(df, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    return judged.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(*MEASURES, "base_failed", "kept"))))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -131,13 +136,8 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def filter_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents the rules keep, with their own columns only.
-
-    The verdict passes through a one-row generator: a filter on the bare column
-    would be pushed below the projections, copying every measure into itself.
-    """
-    judged = quality_rules(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text")))
-    return judged.select("_row", F.explode_outer(F.array("kept")).alias("kept")).where("kept").select("_row.*")
+    """Pipeline stage: the documents the rules keep, with their own columns only."""
+    return quality_rules(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))).where("kept").select("_row.*")
 
 
 #: DuckDB: the same counts and the same table of thresholds.

@@ -117,6 +117,23 @@ def test_mix_takes_whole_epochs_first(spark):
     assert (small["epochs"] == 3).all() and (small["taken"] == 12).all()
 
 
+def test_mix_takes_in_the_order_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_A_BUCKET", 7)
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, rng.randrange(0, 40)) + "." * rng.randrange(0, 60), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by_source: dict = {}
+    for r in got:
+        by_source.setdefault(r.source, []).append(r)
+    for docs in by_source.values():
+        total = sum(r.size for r in docs)
+        epochs, left = divmod(round(docs[0].target), total)
+        for r in sorted(docs, key=lambda r: (r.key, r.doc_id, r.size)):
+            part = min(r.size, left)
+            assert r.taken == epochs * r.size + part and r.source_size == total
+            left -= part
+
+
 def test_mix_of_nothing(empty):
     assert mixing.mix(empty).count() == 0
 
@@ -345,6 +362,13 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert got == {1: True, 2: False, 3: False, 4: False, 5: False}
 
 
+def test_a_filter_on_the_verdict_copies_no_measure(odd):
+    judged = quality_rules.quality_rules(odd)
+    kept = judged.where("kept and n_words > 3")
+    plain, plan = (x._jdf.queryExecution().optimizedPlan().toString() for x in (judged, kept))
+    assert plan.count("xxhash64") == plain.count("xxhash64") and kept.groupBy("base_failed").count().count() <= 1
+
+
 def test_quality_stage_returns_the_same_columns(odd, empty, spark):
     left = quality_rules.filter_quality(spark, odd, "")
     assert left.columns == odd.columns and left.count() == 0  # no stop words in any
@@ -369,6 +393,23 @@ def test_language_of_held_out_texts(spark):
     assert got[502].lang_pred == "de" and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_rejection_is_measured_on_texts_the_centroids_have_not_seen(spark, odd):
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 30)) ** 4
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    least = language_id.least_cosine(x)
+    fresh = rng.random((2_000, 30)) ** 4
+    fresh /= np.linalg.norm(fresh, axis=1, keepdims=True)
+    share = ((fresh @ language_id.spherical_centroids(x).T).max(1) < least).mean()
+    assert share < 0.02 and language_id.least_cosine(x[:3]) == -1.0
+    # the odd table is identified by a fitted model, very long text and clashing columns among it
+    texts = [(i, sentence(random.Random(i), 30), ("en", "fr")[i % 2]) for i in range(40)]
+    model = language_id.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    got = language_id.identify(odd.withColumn("held_out", F.lit(True)), model).collect()
+    assert len(got) == len(odd_rows()) and all(0 <= r.score <= 1 for r in got)
+    assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"} and len({r.score for r in got if r.doc_id == 9}) == 1
+
+
 def test_language_without_training(odd, empty):
     model = language_id.fit(empty)
     got = language_id.identify(odd.withColumn("held_out", F.lit(True)), model).collect()
