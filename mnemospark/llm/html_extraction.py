@@ -258,14 +258,14 @@ def low_branches(pages: DataFrame) -> DataFrame:
     are few: each is on more than m ** (1 - LOW / CONTENT_WEIGHT) of m pages."""
     tree = stored(_tree_rows(pages), "style_tree")
     size = tree.where("kind = 'page'").select("host", (F.col("n") + UNSEEN).alias("m"))
-    counted = tree.where("kind <> 'page'").join(size, "host")
-    per = counted.groupBy("host", "path", "kind").agg(
-        F.max("m").alias("m"),
+    # a host may hold a third of all contents: they meet by node, and only nodes meet by host
+    per = tree.where("kind <> 'page'").groupBy("host", "path", "kind").agg(
         F.sum("n").alias("total"),
         F.count("*").alias("values"),
         F.sum(F.log("n")).alias("logs"),
         F.sum(F.col("n") * F.log("n")).alias("n_logs"),
     )
+    per = per.join(size, "host")
     base = F.log("m")
     style = (F.log("total") - F.col("n_logs") / F.col("total")) / base  # entropy of the presentations
     content = 1 - F.col("logs") / F.col("values") / base  # one less the mean entropy of the contents
@@ -295,7 +295,8 @@ def low_branches(pages: DataFrame) -> DataFrame:
         .select("host", "branch")
     )
     alone = CONTENT_WEIGHT * (1 - F.log("n") / F.log("m")) * raised("path")
-    leaves = counted.where((F.col("kind") == "content") & (alone < LOW))
+    # of m pages, UNSEEN + 1 at least, no content is low that is not on three
+    leaves = tree.where("kind = 'content' and n > 2").join(size, "host").where(alone < LOW)
     low = low.unionByName(leaves.select("host", F.concat_ws("\n", "path", F.col("value").cast("string")).alias("branch")))
     return low.groupBy("host").agg(F.collect_set("branch").alias("low"))
 
