@@ -98,10 +98,10 @@ def run(engine: MemoryEngine, a: argparse.Namespace) -> dict | str:
     if a.command == "eval":
         return {"configurations": rows(engine.evaluate(read_questions(engine.spark, a.questions)))}
     if a.command == "init":
-        return {"version": engine.commit({})}
+        return {"version": engine.init()}
     if a.command == "merge":
         engine.merge()
-        return {"version": engine.version[0]}
+        return {"version": engine.version}
     if a.command == "related":
         return {"related": rows(engine.related(a.id))}
     return {a.command: rows(getattr(engine, a.command)())}

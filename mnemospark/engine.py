@@ -1,16 +1,20 @@
 """The engine: memory tables in versioned snapshots, and every operation on them.
 
-A snapshot is a folder of Parquet tables; the pointer file names the one that
-counts.  A write builds the next snapshot in full and swaps the pointer last, so
-a failed write leaves tables and counter as they were, and readers keep what
-they opened.
+A version is a manifest that names the folder of each table.  A write puts the
+changed tables into new folders, then creates the next manifest, which names the
+folders of all others as before.  Manifests are written once and never touched
+again: a failed write leaves the current version as it was, readers keep what
+they opened, and of two writers that began from one version the second fails.
+Everything inside a ``transaction`` is one such write.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,20 +26,24 @@ from mnemospark.operators import chunking, code, evaluation, graph, index, mutat
 from mnemospark.operators.retrieval import Options, Tables
 from mnemospark.sources.files import read_files, skip_report
 from mnemospark.sources.journal import append_journal, read_journal
+from mnemospark.storage import delete, stored
 from mnemospark.streaming.journal import drain
 
+_SITE = "src string, file_path string, name string, receiver string, receiver_type string, construction boolean, line long"
+
 TABLES = {
     "memory": "id string, layer string, title string, body string, source_ref string, file_path string, importance double, "
     "confidence double, created_at long, last_seen_at long, access_count long, superseded_at long",
     "vector": "id string, embedding array<float>, model string, dims long, provider string",
     "postings": "id string, term string, tf long, doc_len long",
+    "totals": "doc_count long, total_length long, average double",
     "edge": "src string, type string, dst string, weight double, created_at long, evidence_ref string",
     "symbol": "id string, name string, file_path string, kind string, start_line long, end_line long",
     "about": "memory_id string, symbol_id string",
-    "calls": "src string, dst string, name string, line long, confidence string",
+    "calls": f"{_SITE}, dst string, confidence string",
     "inherits": "src string, dst string, confidence string",
     "imports": "src_path string, dst_path string, module string",
-    "pending": "src string, name string, reason string",
+    "pending": f"{_SITE}, reason string",
     "file": "path string, stamp string, container string",
 }
 
@@ -46,6 +54,7 @@ class MemoryEngine:
     def __init__(self, spark: SparkSession, root: str, embedder: Provider | None = None, now: int | None = None):
         self.spark, self.root, self.embedder, self._now = spark, root.rstrip("/"), embedder or HashEmbedder(), now
         self.session: str | None = None
+        self._open: tuple[int, dict[str, str], dict[str, DataFrame]] | None = None
 
     # ------------------------------------------------------------ snapshots
 
@@ -58,54 +67,111 @@ class MemoryEngine:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _manifest(self) -> tuple[int, dict[str, str]]:
+        """(write counter, folder of each table) of the current version."""
+        p, fs = self._path(f"{self.root}/versions")
+        names = sorted((x.getPath().getName() for x in fs.listStatus(p)), reverse=True) if fs.exists(p) else []
+        for name in names:  # a manifest that its writer didn't finish doesn't count
+            if name.isdigit():
+                text = self._text(f"{self.root}/versions/{name}")
+                if text.endswith("}\n"):
+                    return int(name), json.loads(text)
+        return 0, {}
+
+    def _text(self, path: str) -> str:
+        p, fs = self._path(path)
+        source = fs.open(p)
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
     @property
-    def version(self) -> tuple[int, str]:
-        """(write counter, folder) of the current snapshot; (0, "") before the first write."""
-        p, fs = self._path(f"{self.root}/CURRENT")
-        if not fs.exists(p):
-            return 0, ""
-        n, folder = self.spark.read.text(str(p)).first()[0].split(" ", 1)
-        return int(n), folder
+    def version(self) -> int:
+        """The write counter: 0 before the first write."""
+        return self._manifest()[0]
 
     def table(self, name: str) -> DataFrame:
-        _, folder = self.version
+        """A table of the current version; inside a transaction, as it stands there."""
+        _, folders, changed = self._open or (*self._manifest(), {})
+        if name in changed:
+            return changed[name]
         schema = TABLES[name]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}/{name}") if folder else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{folders[name]}") if name in folders else self.spark.createDataFrame([], schema)
 
     def views(self) -> None:
         """Register every table as a temporary view, for plain SQL."""
         for name in TABLES:
             self.table(name).createOrReplaceTempView(name)
 
-    def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Write the next snapshot and swap the pointer; the rest of the tables is carried over."""
-        n, _ = self.version
-        folder = f"v={n + 1}-{uuid.uuid4().hex[:8]}"
-        for name, schema in TABLES.items():
-            df = changed.get(name, self.table(name))
-            columns = [f.split()[0] for f in schema.replace("array<float>", "x").split(", ")]
-            shaped = df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
-            target = self.spark.createDataFrame([], schema).schema
-            shaped = shaped.select(*[F.col(f.name).cast(f.dataType) for f in target])
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """All commits inside are one write; nothing is written if one of them fails.
+        A transaction inside a transaction is part of it."""
+        if self._open is not None:
+            yield
+            return
+        self._open = (*self._manifest(), {})
+        try:
+            yield
+            n, folders, changed = self._open
+            if changed:
+                self._write(n, folders, changed)
+        finally:
+            self._open = None
+
+    def commit(self, changed: dict[str, DataFrame]) -> None:
+        """Put tables into the transaction that is open, or write them as one of their own."""
+        with self.transaction():
+            self._open[2].update(changed)
+
+    def _write(self, n: int, folders: dict[str, str], changed: dict[str, DataFrame]) -> None:
+        now = dict(folders)
+        for name, df in changed.items():
+            target = self.spark.createDataFrame([], TABLES[name]).schema
+            shaped = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target])
             if name == "postings":
                 shaped = shaped.repartitionByRange("term").sortWithinPartitions("term", "id")
-            shaped.write.parquet(f"{self.root}/{folder}/{name}")
-        self._point(f"{n + 1} {folder}")
-        return n + 1
-
-    def _point(self, text: str) -> None:
-        fresh, fs = self._path(f"{self.root}/NEXT-{uuid.uuid4().hex[:8]}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(text.encode()))
+            now[name] = f"tables/{name}-{uuid.uuid4().hex}"
+            shaped.write.parquet(f"{self.root}/{now[name]}")
+            if name == "postings":  # the numbers that every search needs, with the postings they are of
+                now["totals"] = f"tables/totals-{uuid.uuid4().hex}"
+                index.index_stats(self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{now[name]}")).coalesce(1).write.parquet(f"{self.root}/{now['totals']}")
+        p, fs = self._path(f"{self.root}/versions/{n + 1:012d}")
+        out = fs.create(p, False)  # fails if another writer was first
+        out.write(bytearray((json.dumps(now, sort_keys=True) + "\n").encode()))
         out.close()
-        current, _ = self._path(f"{self.root}/CURRENT")
-        fs.delete(current, False)
-        if not fs.rename(fresh, current):
-            raise OSError(f"can't point to {text}")
+
+    def init(self) -> int:
+        """Write the first version, of empty tables, if there is none."""
+        if not self.version:
+            self.commit({name: self.table(name) for name in TABLES if name != "totals"})
+        return self.version
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the manifests before the last ones and the folders that none names any
+        more; how many folders went.  No write may be under way."""
+        versions, fs = self._path(f"{self.root}/versions")
+        tables, _ = self._path(f"{self.root}/tables")
+        if not fs.exists(versions):
+            return 0
+        names = sorted(x.getPath().getName() for x in fs.listStatus(versions) if x.getPath().getName().isdigit())
+        used: set[str] = set()
+        for name in names[-max(1, keep) :]:
+            text = self._text(f"{self.root}/versions/{name}")
+            used |= set(json.loads(text).values()) if text.endswith("}\n") else set()
+        for name in names[: -max(1, keep)]:
+            delete(self.spark, f"{self.root}/versions/{name}")
+        gone = [f"tables/{x.getPath().getName()}" for x in fs.listStatus(tables)]
+        gone = [x for x in gone if x not in used]
+        for x in gone:
+            delete(self.spark, f"{self.root}/{x}")
+        return len(gone)
 
     def tables(self) -> Tables:
         t = {n: self.table(n) for n in ("memory", "postings", "edge", "symbol", "about", "calls")}
-        return Tables(vector=self.table("vector"), **t)
+        counted = self.version or self._open
+        return Tables(vector=self.table("vector"), totals=self.table("totals") if counted else None, **t)
 
     # ------------------------------------------------------------ reads
 
@@ -214,14 +280,21 @@ class MemoryEngine:
             if layer not in sc.LAYERS or not ref:
                 raise ValueError("each row needs a known layer and a source_ref")
         new = self.spark.createDataFrame(rows, "layer string, title string, body string, source_ref string, importance double")
-        out = self._put(new)
-        if self.session:
-            here = [(r.id, "OCCURRED_IN", self.session, 1.0, self.now, None) for r in out.collect() if not r.source_ref.startswith("session://")]
-            if here:
-                fresh = self.spark.createDataFrame(here, TABLES["edge"])
-                self.commit({"edge": mutations.add_edges(self.table("edge"), fresh, self.table("memory"))[0]})
+        with self.transaction():
+            out = self._put(new)
+            if self.session:
+                here = out.where(~F.col("source_ref").startswith("session://")).select(F.col("id").alias("src"), F.lit("OCCURRED_IN").alias("type"), F.lit(self.session).alias("dst"))
+                self._link(here)
         return out
 
+    def _link(self, new: DataFrame) -> DataFrame:
+        """Edges (src, type, dst) into the open transaction; what was refused."""
+        given = {"weight": F.lit(1.0), "created_at": F.lit(self.now), "evidence_ref": F.lit(None).cast("string")}
+        new = new.withColumns({k: v for k, v in given.items() if k not in new.columns})
+        edges, rejected = mutations.add_edges(self.table("edge"), new, self.table("memory"))
+        self.commit({"edge": edges})
+        return rejected
+
     def open_session(self, title: str) -> str:
         """Writes from now on are linked to this session's node."""
         self.session = None
@@ -259,9 +332,9 @@ class MemoryEngine:
         if not body.strip():
             raise ValueError("a summary needs text")
         ref = f"cluster://{len(members)}-members"
-        node = self.write([("semantic", title, body, ref, importance)]).first().id
-        rows = [(node, "DERIVED_FROM", m, 1.0, self.now, None) for m in members]
-        self.commit({"edge": mutations.add_edges(self.table("edge"), self.spark.createDataFrame(rows, TABLES["edge"]), self.table("memory"))[0]})
+        with self.transaction():
+            node = self.write([("semantic", title, body, ref, importance)]).first().id
+            self._link(self.spark.createDataFrame([(node, "DERIVED_FROM", m) for m in members], "src string, type string, dst string"))
         return node
 
     def queue(self, rows: DataFrame) -> None:
@@ -274,11 +347,12 @@ class MemoryEngine:
         def apply(batch: DataFrame, _: int) -> None:
             good = batch.where("_bad is null").persist()
             nodes = good.where("kind = 'node'").select("layer", "title", "body", "source_ref", "importance")
-            if not nodes.isEmpty():
-                self._put(nodes)
-            edges = good.where("kind = 'edge'").select("src", "type", "dst", "weight", F.lit(self.now).alias("created_at"), F.lit(None).cast("string").alias("evidence_ref"))
-            if not edges.isEmpty():
-                self.commit({"edge": mutations.add_edges(self.table("edge"), edges, self.table("memory"))[0]})
+            edges = good.where("kind = 'edge'").select("src", "type", "dst", "weight")
+            with self.transaction():
+                if not nodes.isEmpty():
+                    self._put(nodes)
+                if not edges.isEmpty():
+                    self._link(edges)
             good.unpersist()
 
         drain(self.spark, f"{self.root}/journal", f"{self.root}/journal-state", apply)
@@ -293,10 +367,9 @@ class MemoryEngine:
         before = self.now - int(older_than_days * sc.DAY_MS)
         gone = mutations.prunable(m, e, a, before, layers)
         if not dry_run:
+            gone = stored(gone, "pruned")  # the folders of the version before stay, but are not looked at again
             left, postings, _ = mutations.delete_nodes(m, self.table("postings"), gone.select("id"), e, a)
-            rows = gone.collect()  # read before the snapshot moves on; unlinked rows of one layer
             self.commit({"memory": left, "postings": postings, "vector": self.table("vector").join(gone.select("id"), "id", "left_anti")})
-            return self.spark.createDataFrame(rows, gone.schema)
         return gone.orderBy("weight", "created_at", "id")
 
     def embed(self, force: bool = False) -> int:
@@ -333,33 +406,62 @@ class MemoryEngine:
             F.concat("path", F.lit("#L"), "start_line", F.lit("-L"), "end_line").alias("source_ref"),
             F.lit(3.0).alias("importance"),
         )
-        symbols = chunking.symbols_of(chunking.declaration_rows(changed))
+        symbols = stored(chunking.symbols_of(chunking.declaration_rows(changed)), "symbols")
         symbol = mutations.replace_relations(self.table("symbol"), symbols, touched)
-        relations = chunking.relation_rows(changed)
-        sites = relations.where("kind = 'call'").withColumn("call_id", F.xxhash64("path", "line", "name", "receiver"))
-        around = code.enclosing(sites.select(F.col("call_id").alias("site_id"), F.col("path").alias("file_path"), F.col("line").cast("long").alias("line")), symbol)
-        placed = sites.join(around, F.col("call_id") == F.col("site_id")).select(
-            "call_id", F.col("symbol_id").alias("src"), F.col("path").alias("file_path"), "name", "receiver", "receiver_type", "construction", "line"
-        )
-        modules = relations.where("kind = 'import'").select(F.col("path").alias("from_path"), F.col("name").alias("module"))
+        relations = stored(chunking.relation_rows(changed), "relations")
         boxes = chunking.container_rows(changed)
         all_files = known.join(changed.select("path"), "path", "left_anti").join(vanished.select("path"), "path", "left_anti")
         all_files = all_files.select("path", "container").unionByName(boxes)
-        imported = code.resolve_imports(modules, all_files)
-        resolved = code.resolve_calls(placed, symbol, imported, code.visible_containers(all_files, modules), all_files)
-        lines = placed.select("call_id", "name", "line")
-        fresh = resolved.where("dst is not null").join(lines, "call_id").select("src", "dst", "name", F.col("line").cast("long").alias("line"), "confidence")
-        left = resolved.where("dst is null").join(lines, "call_id").select("src", "name", "reason").distinct()
-        own = self.table("symbol").join(touched, "file_path").select(F.col("id").alias("src"))
-        calls = self.table("calls").join(own, "src", "left_anti").join(symbol.select(F.col("id").alias("dst")), "dst", "left_semi")
+        modules = relations.where("kind = 'import'").select(F.col("path").alias("from_path"), F.col("name").alias("module"))
+        imported = stored(code.resolve_imports(modules, all_files).withColumnsRenamed({"from_path": "src_path", "path": "dst_path"}), "imported")
+        imports = mutations.replace_relations(self.table("imports"), imported, touched.withColumnRenamed("file_path", "src_path"), "src_path")
+        imports = imports.join(vanished.select(F.col("path").alias("dst_path")), "dst_path", "left_anti")
+        # calls into symbols that are gone open again; they and what was left open are tried once more
+        gone = self.table("symbol").join(touched, "file_path", "left_semi").join(symbols.select("id"), "id", "left_anti").select("id")
+        _, calls, about, opened = mutations.delete_symbols(symbol, self.table("calls"), self.table("about"), gone)
+        calls, opened, waiting = (x.join(touched, "file_path", "left_anti") for x in (calls, opened, self.table("pending")))
+        sites = self._sites(relations, symbol)
+        again = opened.unionByName(waiting)
+        tried = again.join(symbols.select("name").distinct(), "name", "left_semi").unionByName(opened).drop("reason").distinct()
+        fresh, left = self._resolved(sites.where("kind = 'call'").drop("kind").unionByName(tried), symbol, imports, modules, all_files)
+        keys = [c for c in tried.columns if c != "construction"]
+        same = [again[c].eqNullSafe(tried[c]) for c in keys]
+        untried = again.join(tried, same, "left_anti")
+        # bases of classes are found like constructions
+        bases = sites.where("kind = 'inherits'").drop("kind").withColumn("construction", F.lit(True))
+        based, _ = self._resolved(bases, symbol, imports, modules, all_files)
+        own = self.table("symbol").join(touched, "file_path", "left_semi").select(F.col("id").alias("src"))
+        inherits = self.table("inherits").join(own, "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
+        inherits = inherits.select("src", "dst", "confidence").unionByName(based.select("src", "dst", "confidence").distinct())
         state = known.join(touched.withColumnRenamed("file_path", "path"), "path", "left_anti").unionByName(changed.select("path", "stamp").join(boxes, "path", "left"))
-        imports = mutations.replace_relations(self.table("imports"), imported.select(F.col("from_path").alias("src_path"), F.col("path").alias("dst_path"), "module"), touched.withColumnRenamed("file_path", "src_path"), "src_path")
         # chunks that their file no longer gives go, or are superseded where something is linked to them
         ids = nodes.withColumns({"title": redact(F.col("title")), "body": redact(F.col("body"))}).select(sc.node_id(F.col("layer"), F.col("source_ref"), F.col("body")).alias("id"))
         old = retrieval.live(self.table("memory"), ("artifact",)).join(touched, "file_path", "left_semi").join(ids, "id", "left_anti").select("id")
-        kept, postings, refused = mutations.delete_nodes(self.table("memory"), self.table("postings"), old, self.table("edge"), self.table("about"))
-        memory = mutations.supersede(kept, refused, self.now)
-        self.commit({"memory": memory, "postings": postings, "symbol": symbol, "file": state, "imports": imports,
-                     "calls": calls.select("src", "dst", "name", "line", "confidence").unionByName(fresh), "pending": left})
-        self._put(nodes)
+        # (of a vanished file, its declarations still count as such links)
+        lost = self.table("symbol").join(vanished.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+        links = about.unionByName(self.table("about").join(lost.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi"))
+        kept, postings, refused = mutations.delete_nodes(self.table("memory"), self.table("postings"), old, self.table("edge"), links)
+        memory = stored(mutations.supersede(kept, refused, self.now), "memory")
+        columns = [f.split()[0] for f in TABLES["calls"].split(", ")]
+        with self.transaction():
+            self.commit({"memory": memory, "postings": postings, "symbol": stored(symbol, "symbol"), "about": about, "file": state, "imports": imports,
+                         "calls": calls.select(*columns).unionByName(fresh.select(*columns)), "pending": untried.unionByName(left), "inherits": inherits})
+            self._put(nodes)
         return out
+
+    def _sites(self, relations: DataFrame, symbol: DataFrame) -> DataFrame:
+        """Calls and bases with the declaration that they stand in."""
+        sites = relations.where("kind in ('call', 'inherits')").withColumn("site_id", F.xxhash64("path", "line", "kind", "name", "receiver"))
+        around = code.enclosing(sites.select("site_id", F.col("path").alias("file_path"), F.col("line").cast("long").alias("line")), symbol)
+        return sites.join(around, "site_id").select(
+            "kind", F.col("symbol_id").alias("src"), F.col("path").alias("file_path"), "name", "receiver", "receiver_type", "construction", F.col("line").cast("long").alias("line")
+        ).distinct()
+
+    @staticmethod
+    def _resolved(sites: DataFrame, symbol: DataFrame, imports: DataFrame, modules: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(resolved with dst and confidence, left open with the reason)."""
+        sites = stored(sites.withColumn("call_id", F.xxhash64("src", "line", "name", "receiver")).dropDuplicates(["call_id"]), "sites")
+        links = imports.select(F.col("src_path").alias("from_path"), F.col("dst_path").alias("path"))
+        found = code.resolve_calls(sites, symbol, links, code.visible_containers(files, modules), files)
+        found = stored(found.drop("src"), "resolved").join(sites, "call_id").drop("call_id")
+        return found.where("dst is not null").drop("reason"), found.where("dst is null").drop("dst", "confidence")

@@ -18,22 +18,19 @@ def build_postings(memory: DataFrame) -> DataFrame:
     return term_rows(memory.select("id", F.concat_ws("\n", "title", "body").alias("text")), "id", "text")
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Clustered by term, so that a few terms touch a few row groups."""
-    postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
-
-
 def doc_lengths(postings: DataFrame) -> DataFrame:
     return postings.groupBy("id").agg(F.first("doc_len").alias("doc_len"))
 
 
 def index_stats(postings: DataFrame) -> DataFrame:
-    """One row: doc_count, total_length, average."""
-    return doc_lengths(postings).agg(
-        F.count("*").alias("doc_count"),
-        F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_length"),
-        F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("average"),
+    """One row: doc_count, total_length, average.  The shares tf / doc_len of a document
+    add up to one, so documents are counted without bringing their rows together."""
+    sums = postings.agg(
+        F.coalesce(F.round(F.sum(F.col("tf") / F.col("doc_len"))), F.lit(0.0)).cast("long").alias("doc_count"),
+        F.coalesce(F.sum("tf"), F.lit(0)).alias("total_length"),
     )
+    average = F.coalesce(F.col("total_length") / F.nullif(F.col("doc_count"), F.lit(0)), F.lit(0.0))
+    return sums.withColumn("average", average)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -46,11 +43,16 @@ def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, id, score, overlap, terms): every document that shares a term."""
+def matches(postings: DataFrame, terms: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, overlap, terms): every document that shares a term.
+
+    totals: the one row of ``index_stats`` as stored with the postings; without it, it
+    is summed up for this batch.
+    """
     wanted = small(terms)
     df = postings.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hit = postings.join(wanted, "term").join(df, "term").crossJoin(F.broadcast(index_stats(postings)))  # one row
+    one = index_stats(postings) if totals is None else totals
+    hit = postings.join(wanted, "term").join(df, "term").crossJoin(F.broadcast(one))  # one row
     score = bm25_idf(F.col("doc_count"), F.col("df")) * bm25_norm(F.col("tf"), F.col("doc_len"), F.col("average"))
     return (
         hit.withColumn("s", score)

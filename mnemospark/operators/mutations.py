@@ -96,7 +96,8 @@ def delete_symbols(symbol: DataFrame, calls: DataFrame, about: DataFrame, gone:
     stays become pending again."""
     ids = gone.select("id").distinct()
     src, dst = ids.withColumnRenamed("id", "src"), ids.withColumnRenamed("id", "dst")
-    pending = calls.join(dst, "dst", "left_semi").join(src, "src", "left_anti").select("src", "name", F.lit("external").alias("reason"))
+    site = [c for c in calls.columns if c not in ("dst", "confidence")]
+    pending = calls.join(dst, "dst", "left_semi").join(src, "src", "left_anti").select(*site, F.lit("external").alias("reason"))
     return (
         symbol.join(ids, "id", "left_anti"),
         calls.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select(*calls.columns),

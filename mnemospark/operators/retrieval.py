@@ -38,6 +38,7 @@ class Tables:
     about: DataFrame | None = None
     calls: DataFrame | None = None
     vector: DataFrame | None = None
+    totals: DataFrame | None = None
 
 
 @dataclass
@@ -141,7 +142,7 @@ def fusion_report(branches: DataFrame, queries: DataFrame, names: tuple[str, ...
 def branches_of(t: Tables, queries: DataFrame, o: Options) -> DataFrame:
     """All enabled branches of a batch (query_id, q and, for vectors, embedding, model, provider)."""
     terms = stored(query_terms(queries.select("query_id", "q")), "terms")
-    short = shortlist(matches(t.postings, terms), o.limit)
+    short = shortlist(matches(t.postings, terms, t.totals), o.limit)
     eligible = live(t.memory, o.layers).select("id", "layer", "importance", "created_at")
     out = [recency_branch(short, terms, eligible, o.limit, o.now)]
     if "bm25" not in o.disable:

@@ -586,7 +586,7 @@ def delete_nodes(spark, d):
 @query("delete_symbols", oracle("symbol calls", "gone as (select id from symbol where doc_id % 4 = 0)", "select src, name, 'external' as reason from calls where dst in (select id from gone) and src not in (select id from gone)"))
 def delete_symbols(spark, d):
     s = view(spark, d, "symbol")
-    return mutations.delete_symbols(s, view(spark, d, "calls"), view(spark, d, "about"), s.where("doc_id % 4 = 0"))[3]
+    return mutations.delete_symbols(s, view(spark, d, "calls"), view(spark, d, "about"), s.where("doc_id % 4 = 0"))[3].select("src", "name", "reason")
 
 
 # ---------------------------------------------------------------- evaluation and health

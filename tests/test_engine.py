@@ -30,12 +30,12 @@ def ids(engine):
 
 
 def test_write_redacts_and_refreshes(engine):
-    assert engine.version[0] == 1
+    assert engine.version == 1
     bodies = [r.body for r in engine.table("memory").collect()]
     assert any("[REDACTED:assigned-secret]" in b for b in bodies)
     engine.write(ROWS[:1])
     again = {r.title: r.access_count for r in engine.table("memory").collect()}
-    assert len(again) == 4 and again["Retry declined cards twice"] == 1 and engine.version[0] == 2
+    assert len(again) == 4 and again["Retry declined cards twice"] == 1 and engine.version == 2
     with pytest.raises(ValueError):
         engine.write([("semantic", "x", "y", "", 1.0)])
 
@@ -65,7 +65,7 @@ def test_links_neighbours_and_conflicts(engine):
         engine.link(a, "RESOLVES", "nobody")
     with pytest.raises(ValueError):
         engine.link(a, "ABOUT", b)
-    assert engine.version[0] == 4  # refused writes change nothing
+    assert engine.version == 4  # refused writes change nothing
     declared, suspected = engine.conflicts()
     assert declared.count() == 0 and suspected.count() == 1
     graph = {r.id: r.ranks for r in engine.search("retry declined card").collect()}
@@ -146,6 +146,86 @@ def test_ingest_is_incremental_and_resolves_calls(spark, tmp_path):
     assert engine.table("symbol").where("name = 'helper'").count() == 0
 
 
+def repo_of(root, files):
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    return str(root)
+
+
+def state(engine):
+    """All rows but for times and counters."""
+    out = {}
+    for name in ("memory", "postings", "symbol", "about", "calls", "inherits", "imports", "pending", "file"):
+        df = engine.table(name).drop("created_at", "last_seen_at", "access_count", "stamp")
+        out[name] = sorted(map(str, df.collect()))
+    return out
+
+
+def test_removed_callee_reopens_its_calls_and_they_resolve_again(spark, tmp_path):
+    root = tmp_path / "repo"
+    repo_of(root, {"a.py": "def caller():\n    return helper(1)\n\ndef other():\n    return elsewhere()\n", "b.py": "def helper(x):\n    return x\n", "c.py": "import os\n"})
+    engine = MemoryEngine(spark, f"file://{tmp_path}/store", now=NOW)
+    engine.ingest(str(root))
+    assert {(r.src, r.dst) for r in engine.table("calls").collect()} == {("Symbol:a.py:caller", "Symbol:b.py:helper")}
+    assert {(r.name, r.reason) for r in engine.table("pending").collect()} == {("elsewhere", "external")}
+    (root / "b.py").write_text("def renamed(x):\n    return x\n")
+    engine.ingest(str(root))
+    assert engine.table("calls").count() == 0
+    assert {r.name for r in engine.table("pending").collect()} == {"elsewhere", "helper"}  # of files that weren't read again, too
+    (root / "c.py").write_text("def helper(x):\n    return x\n\ndef elsewhere():\n    return 1\n")
+    engine.ingest(str(root))
+    assert {(r.src, r.dst) for r in engine.table("calls").collect()} == {("Symbol:a.py:caller", "Symbol:c.py:helper"), ("Symbol:a.py:other", "Symbol:c.py:elsewhere")}
+    assert engine.table("pending").count() == 0
+    assert engine.table("about").join(engine.table("symbol").withColumnRenamed("id", "symbol_id"), "symbol_id", "left_anti").count() == 0
+
+
+def test_ingest_in_steps_equals_ingest_at_once(spark, tmp_path):
+    files = {
+        "pay.py": "import util\n\nclass Base:\n    def run(self):\n        return helper(1)\n\nclass Payment(Base):\n    def go(self):\n        return self.run()\n",
+        "util.py": "def helper(x):\n    return x\n",
+        "notes.md": "# Notes\n\n" + "Some words here. " * 80,
+    }
+    root = tmp_path / "repo"
+    steps = MemoryEngine(spark, f"file://{tmp_path}/steps", now=NOW)
+    for i in range(1, 4):
+        repo_of(root, dict(list(files.items())[:i]))
+        before = steps.version
+        steps.ingest(str(root))
+        assert steps.version == before + 1  # one write an ingest
+    once = MemoryEngine(spark, f"file://{tmp_path}/once", now=NOW)
+    once.ingest(str(root))
+    assert state(steps) == state(once)
+    assert {(r.src, r.dst) for r in once.table("inherits").collect()} == {("Symbol:pay.py:Payment", "Symbol:pay.py:Base")}
+    once.ingest(str(root), force=True)
+    assert state(once) == state(steps)
+
+
+def test_versions_share_tables_and_the_second_writer_fails(engine):
+    from py4j.protocol import Py4JJavaError
+
+    by = ids(engine)
+    a, b = list(by.values())[:2]
+    before = engine._manifest()[1]
+    engine.link(a, "RESOLVES", b)
+    after = engine._manifest()[1]
+    assert {k for k in after if before.get(k) != after[k]} == {"edge"}
+    other = MemoryEngine(engine.spark, engine.root, now=NOW)
+    with pytest.raises(Py4JJavaError), other.transaction():
+        other.commit({"edge": other.table("edge")})
+        engine.link(b, "CONSTRAINS", a)  # is first
+    assert engine.table("edge").count() == 2
+    with pytest.raises(ZeroDivisionError), engine.transaction():
+        engine.write([("semantic", "x", "y", "z", 1.0)])
+        assert engine.table("memory").count() == 5
+        1 / 0  # noqa: B018
+    assert engine.table("memory").count() == 4
+    assert engine.vacuum(keep=1) > 0 and engine.search("declined card").count() > 0 and engine.vacuum(keep=1) == 0
+    totals = engine.table("totals").first()
+    postings = engine.table("postings")
+    assert totals.doc_count == postings.select("id").distinct().count() and totals.total_length == sum(r.tf for r in postings.collect())
+
+
 def test_chunks_cover_the_text():
     text = "\n".join(f"line {i} " + "x" * (i % 90) for i in range(400))
     covered = set()
