@@ -175,10 +175,11 @@ class MemoryEngine:
 
     # ------------------------------------------------------------ reads
 
+    def _embedded(self, queries: DataFrame) -> DataFrame:
+        return queries.join(embed_column(queries, "query_id", "q", self.embedder).drop("dims"), "query_id")
+
     def _queries(self, texts: Iterable[str]) -> DataFrame:
-        rows = [(i, q) for i, q in enumerate(texts)]
-        q = self.spark.createDataFrame(rows, "query_id long, q string")
-        return q.join(embed_column(q, "query_id", "q", self.embedder).drop("dims"), "query_id")
+        return self._embedded(self.spark.createDataFrame(list(enumerate(texts)), "query_id long, q string"))
 
     def _options(self, **kw) -> Options:
         return Options(now=self.now, **kw)
@@ -188,14 +189,14 @@ class MemoryEngine:
 
     def report(self, *texts: str, **options) -> DataFrame:
         o, q = self._options(**options), self._queries(texts)
-        names = ("bm25", "semantic", "recency", "entity", "graph")
-        return retrieval.fusion_report(retrieval.branches_of(self.tables(), q, o), q, names)
+        names, t = ("bm25", "semantic", "recency", "entity", "graph"), self.tables()
+        return retrieval.fusion_report(retrieval.branches_of(t, q, o), q, names, retrieval.health(t, q, o))
 
     def index(self, *texts: str, **options) -> DataFrame:
         return retrieval.index_tier(self.tables(), self._queries(texts), self._options(limit=30, **options))
 
     def why(self, target: str, anchor_only: bool = False, **options) -> DataFrame:
-        return retrieval.why(self.tables(), target, self._options(**options), sc.is_path(target), anchor_only)
+        return retrieval.why(self.tables(), target, self._options(**options), sc.is_path(target), anchor_only, self._embedded)
 
     def get(self, node: str) -> tuple[DataFrame, DataFrame]:
         return self.table("memory").where(F.col("id") == node), self.table("edge").where((F.col("src") == node) | (F.col("dst") == node))
@@ -248,8 +249,7 @@ class MemoryEngine:
     def evaluate(self, questions: DataFrame) -> DataFrame:
         """Recall of five configurations: all branches, and each of four left out."""
         asked = questions.where("ask is not null").select(F.xxhash64("id").alias("query_id"), F.col("ask").alias("q"), "expect", "reject")
-        q = asked.select("query_id", "q")
-        q = q.join(embed_column(q, "query_id", "q", self.embedder).drop("dims"), "query_id")
+        q = self._embedded(asked.select("query_id", "q"))
         out = None
         for without in ("", "bm25", "semantic", "entity", "graph"):
             hits = retrieval.search(self.tables(), q, self._options(limit=5, disable=frozenset({without} - {""})))

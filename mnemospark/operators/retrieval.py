@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.scalars import cosine, decay, layer_rank, recency_score, rrf
 from mnemospark.functions.text import snippet_column
-from mnemospark.operators.index import bm25, matches, overlap, query_terms, small, top
+from mnemospark.operators.index import bm25, build_postings, matches, overlap, query_terms, small, top
 from mnemospark.storage import stored
 
 NO_TERMS = "The query has no terms to look up."
-EMPTY = "Branch ran and matched nothing."
+EMPTY = "The branch ran and matched nothing."
+DISABLED = "The caller switched this branch off."
 REASONS = {
-    "semantic": "No vectors of this query's space are within reach.",
+    "semantic": "No vector is near enough to the query.",
     "entity": "No declaration that the query names has memories.",
     "graph": "Nothing that was found is linked to anything new.",
 }
@@ -29,10 +31,11 @@ REASONS = {
 
 @dataclass
 class Tables:
-    """What a search reads; only memory and postings must be there."""
+    """What a search reads; only memory must be there.  Without postings, a search
+    makes them for itself, which the report calls degraded."""
 
     memory: DataFrame
-    postings: DataFrame
+    postings: DataFrame | None = None
     edge: DataFrame | None = None
     symbol: DataFrame | None = None
     about: DataFrame | None = None
@@ -128,21 +131,62 @@ def fuse(branches: DataFrame) -> DataFrame:
     )
 
 
-def fusion_report(branches: DataFrame, queries: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """(query_id, branch, n, reason): what each branch gave, or why it gave nothing."""
+def health(t: Tables, queries: DataFrame, o: Options) -> dict[str, tuple[str, str]]:
+    """branch -> (degraded or unavailable, why), of branches that can't do their whole work."""
+    out = {b: ("unavailable", DISABLED) for b in o.disable}
+
+    def put(branch: str, status: str, why: str) -> None:
+        out.setdefault(branch, (status, why))
+
+    if t.postings is None or t.postings.isEmpty() and not t.memory.isEmpty():
+        put("bm25", "degraded", "The store has no postings; they were made for this search.")
+    if "embedding" not in queries.columns:
+        put("semantic", "unavailable", "No embedding provider: the query has no vector.")
+    elif t.vector is None or t.vector.isEmpty():
+        put("semantic", "unavailable", "No memory has a vector yet.")
+    elif "semantic" not in out:
+        mine = t.vector.join(small(queries.select("model", "provider").distinct(), 1_000), ["model", "provider"], "left_semi")
+        ids = live(t.memory, o.layers).select("id")
+        n, total = mine.join(ids, "id", "left_semi").count(), ids.count()
+        if not n and mine.isEmpty():
+            put("semantic", "unavailable", "All vectors are of another space than the query's.")
+        elif n < total:
+            put("semantic", "degraded", f"{n} of {total} memories have a vector of the query's space.")
+    if t.symbol is None or t.about is None or t.about.isEmpty():
+        put("entity", "unavailable", "No memory is linked to a declaration yet.")
+    if t.edge is None or t.edge.isEmpty():
+        put("graph", "unavailable", "No memories are linked yet.")
+    return out
+
+
+def fusion_report(branches: DataFrame, queries: DataFrame, names: tuple[str, ...], states: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """(query_id, branch, n, status, reason): what each branch gave, and what kept it from more.
+
+    A branch is ok, degraded (it gave nothing, or worked on a part) or unavailable.
+    """
     spark = branches.sparkSession
-    all_names = F.broadcast(spark.createDataFrame([(b, REASONS.get(b, EMPTY)) for b in names], "branch string, why string"))
+    rows = [(b, REASONS.get(b, EMPTY), *(states or {}).get(b, (None, None))) for b in names]
+    all_names = F.broadcast(spark.createDataFrame(rows, "branch string, nothing string, state string, why string"))
     every = queries.select("query_id").crossJoin(all_names)  # as many rows as branches for each query
     counted = branches.groupBy("query_id", "branch").agg(F.count("*").alias("n"))
     out = every.join(counted, ["query_id", "branch"], "left")
     n = F.coalesce("n", F.lit(0))
-    return out.select("query_id", "branch", n.alias("n"), F.when(n == 0, F.col("why")).alias("reason"))
+    return out.select(
+        "query_id",
+        "branch",
+        n.alias("n"),
+        F.coalesce("state", F.when(n == 0, "degraded"), F.lit("ok")).alias("status"),
+        F.coalesce("why", F.when(n == 0, F.col("nothing"))).alias("reason"),
+    )
 
 
 def branches_of(t: Tables, queries: DataFrame, o: Options) -> DataFrame:
     """All enabled branches of a batch (query_id, q and, for vectors, embedding, model, provider)."""
     terms = stored(query_terms(queries.select("query_id", "q")), "terms")
-    short = shortlist(matches(t.postings, terms, t.totals), o.limit)
+    postings, totals = t.postings, t.totals
+    if postings is None:  # a store without an index: made for this batch
+        postings, totals = stored(build_postings(t.memory), "postings"), None
+    short = shortlist(matches(postings, terms, totals), o.limit)
     eligible = live(t.memory, o.layers).select("id", "layer", "importance", "created_at")
     out = [recency_branch(short, terms, eligible, o.limit, o.now)]
     if "bm25" not in o.disable:
@@ -210,23 +254,33 @@ def anchored_order() -> tuple[Column, ...]:
     return layer_rank(F.col("layer")), F.desc("importance"), F.col("id")
 
 
-def why(t: Tables, target: str, o: Options, by_path: bool, anchor_only: bool = False) -> DataFrame:
-    """Anchored memories first, then search hits on the target that aren't anchored."""
+def why(
+    t: Tables, target: str, o: Options, by_path: bool, anchor_only: bool = False, embed: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Anchored memories first, then search hits on the target that aren't anchored.
+
+    embed: puts the vector, model and provider beside a query (query_id, q).  The total
+    counts all; of the anchored, no more than the page reaches are ranked.
+    """
     from pyspark.sql import Window
 
     spark = t.memory.sparkSession
     anchored = about_path(t.memory, target) if by_path else about_symbol(t, target)
-    lead = anchored.withColumn("r", F.row_number().over(Window.orderBy(*anchored_order()))).select(
+    order = anchored_order()
+    first = anchored.orderBy(*order).limit(o.offset + o.limit)  # tasks send no more than that
+    lead = first.withColumn("r", F.row_number().over(Window.orderBy(*order))).select(
         "id", F.lit(0).alias("tier"), "r", F.lit(None).cast("double").alias("score")
     )
-    both = lead
+    both, more = lead, anchored.agg(F.greatest(F.count("*") - (o.offset + o.limit), F.lit(0)).alias("more"))
     if not anchor_only:
         words = F.lit(" ".join(x for x in re.split(r"[/_.\\-]+", target) if x))
         query = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), words.alias("q"))
+        query = embed(query) if embed else query
         inner = Options(o.limit + o.offset, 0, ("semantic", "episodic", "procedural"), o.max_distance, o.stale_after_days, o.now, o.disable)
         hits = paged(fuse(branches_of(t, query, inner)), inner).select("id", F.lit(1).alias("tier"), F.col("position").alias("r"), "score")
-        both = lead.unionByName(hits.join(lead.select("id"), "id", "left_anti"))
-    at = both.withColumn("position", F.row_number().over(Window.orderBy("tier", "r"))).withColumn("total", F.count("*").over(Window.partitionBy()))
+        both = lead.unionByName(hits.join(anchored.select("id"), "id", "left_anti"))
+    at = both.withColumn("position", F.row_number().over(Window.orderBy("tier", "r"))).crossJoin(F.broadcast(more))  # one row
+    at = at.withColumn("total", F.count("*").over(Window.partitionBy()) + F.col("more")).drop("more")
     page = at.where((F.col("position") > o.offset) & (F.col("position") <= o.offset + o.limit))
     return page.join(t.memory.select("id", "layer", "title", "source_ref", "importance"), "id")
 

@@ -87,12 +87,44 @@ def snippet_window(spark, d):
     return view(spark, d, "memory").select("id", snippet_column(F.col("body"), F.col("title")).alias("snippet"))
 
 
-_SECRET = r"""'(?i)\b((?:api[_-]?key|secret|password|passwd|token|access[_-]?key|private[_-]?key|client[_-]?secret)\s*[:=]\s*"?)([^\s''";,]{8,})'"""
+#: Whole texts, most with a secret of one of nine kinds behind them.
+_PLANTED = (
+    "' key AKIAABCDEFGHIJ' || lpad(cast(doc_id as string), 6, '0')",
+    "' use ghp_abcdefghij' || lpad(cast(doc_id as string), 8, '0') || ', then'",
+    "' xoxb-1234567890-' || cast(doc_id as string) || ' end'",
+    "'\nsk-abcdefghijklmnop' || lpad(cast(doc_id as string), 8, '0') || '\n'",
+    "' AIzaabcdefghijklmnopqrstuvwxyz' || lpad(cast(doc_id as string), 9, '0') || '.'",
+    "' -----BEGIN RSA PRIVATE KEY-----\nabc' || cast(doc_id as string) || '\n-----END RSA PRIVATE KEY----- tail'",
+    "' eyJabcdefgh.eyJabcdefgh.sig' || lpad(cast(doc_id as string), 9, '0') || ' x'",
+    "' see https://user' || cast(doc_id as string) || ':hunter22@host.example/path'",
+    "' password = \"longsecret' || cast(doc_id as string) || '\" here'",
+)
+_SECRETS = "select doc_id, text || case doc_id % 10 " + " ".join(f"when {i} then {p}" for i, p in enumerate(_PLANTED)) + " else '' end as text from documents"
+_SECRETS = _SECRETS.replace("\n", "' || chr(10) || '")
+#: The rules as DuckDB patterns, in order; of keys with a dash the longer kind comes second there, too.
+_DUCK_RULES = (
+    r"'\b(?:AKIA|ASIA)[0-9A-Z]{16}\b'", r"'\bgh[posur]_[A-Za-z0-9]{16,}\b'", r"'\bxox[abposr]-[A-Za-z0-9-]{10,}\b'", r"'\bsk-[A-Za-z0-9_-]{20,}\b'",
+    r"'\bAIza[0-9A-Za-z_-]{35}\b'", r"'-----BEGIN[A-Z ]*PRIVATE KEY-----[\s\S]*?-----END[A-Z ]*PRIVATE KEY-----'",
+    r"'\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b'", r"'\b((?i:[a-z][a-z0-9+.-]*)://)[^\s/:@]+:[^\s/@]+@'",
+    r"""'\b((?i:api[_-]?key|secret|password|passwd|token|access[_-]?key|private[_-]?key|client[_-]?secret)\s*[:=]\s*["'']?)([^\s''";,]{8,})'""",
+)
+_DUCK_MASKS = ("aws-access-key", "github-token", "slack-token", "openai-key", "google-api-key", "private-key-block", "jwt", "url-credentials", "assigned-secret")
+
+
+def _masked(x: str) -> str:
+    for name, pattern in zip(_DUCK_MASKS, _DUCK_RULES, strict=True):
+        put = {"url-credentials": r"\1[REDACTED:url-credentials]@", "assigned-secret": r"\1[REDACTED:assigned-secret]"}.get(name, f"[REDACTED:{name}]")
+        x = f"regexp_replace({x}, {pattern}, '{put}', 'g')"
+    return x
 
 
-@query("redact_text", rf"""select doc_id, regexp_replace(text, {_SECRET}, '\1[REDACTED:assigned-secret]', 'g') as text from documents where regexp_matches(text, {_SECRET})""")
+def _secrets(spark, d):
+    return spark.sql(_SECRETS.replace("from documents", "from {t}"), t=docs(spark, d))
+
+
+@query("redact_text", f"select doc_id, {_masked('text')} as text from ({_SECRETS}) x")
 def redact_text(spark, d):
-    return docs(spark, d).select("doc_id", redact(F.col("text")).alias("text")).where(F.col("text").contains("[REDACTED:"))
+    return _secrets(spark, d).select("doc_id", redact(F.col("text")).alias("text"))
 
 
 _RULES_SQL = r"""select rule, cast(sum(n) as bigint) as n from (
@@ -115,9 +147,10 @@ def redaction_counts_query(spark, d):
     return found.groupBy("rule").agg(F.sum("n").alias("n"))
 
 
-@query("looks_redacted", "select doc_id, true as clean from documents")
+@query("looks_redacted", f"select doc_id, {' and '.join(f'not regexp_matches(text, {p})' for p in _DUCK_RULES)} as before, true as after from ({_SECRETS}) x where text is not null")
 def looks_redacted_query(spark, d):
-    return docs(spark, d).select("doc_id", looks_redacted(redact(F.col("text"))).alias("clean"))
+    t = _secrets(spark, d).where("text is not null")
+    return t.select("doc_id", looks_redacted(F.col("text")).alias("before"), looks_redacted(redact(F.col("text"))).alias("after"))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -197,14 +230,18 @@ def rrf_fusion(spark, d):
     "fusion_report",
     oracle(
         _ALL, *SEARCH, branches(),
-        """select q.query_id, b.branch, count(r.id) as n from query q cross join (values ('bm25'), ('recency'), ('entity'), ('graph')) b(branch)
-        left join ranked r on r.query_id = q.query_id and r.branch = b.branch group by 1, 2""",
+        f"""select query_id, branch, n, case when branch in ('semantic', 'graph') then 'unavailable' when n = 0 then 'degraded' else 'ok' end as status,
+        case branch when 'semantic' then 'No embedding provider: the query has no vector.' when 'graph' then '{retrieval.DISABLED}'
+         else case when n = 0 then case branch when 'entity' then '{retrieval.REASONS["entity"]}' else '{retrieval.EMPTY}' end end end as reason
+        from (select q.query_id, b.branch, count(r.id) as n from query q cross join (values ('bm25'), ('semantic'), ('recency'), ('entity'), ('graph')) b(branch)
+        left join ranked4 r on r.query_id = q.query_id and r.branch = b.branch group by 1, 2) x""",
     ),
 )
 def fusion_report(spark, d):
-    q = view(spark, d, "query")
-    found = retrieval.branches_of(tables(spark, d), q, OPTIONS)
-    return retrieval.fusion_report(found, q, ("bm25", "recency", "entity", "graph")).select("query_id", "branch", "n")
+    q, t = view(spark, d, "query"), tables(spark, d)
+    o = retrieval.Options(limit=10, now=NOW, disable=frozenset({"graph"}))
+    names = ("bm25", "semantic", "recency", "entity", "graph")
+    return retrieval.fusion_report(retrieval.branches_of(t, q, o), q, names, retrieval.health(t, q, o))
 
 
 def _page(limit: int, offset: int) -> str:
@@ -267,9 +304,35 @@ def why_symbol(spark, d):
     return retrieval.why(t, name, o, by_path=False, anchor_only=True).select("id", F.col("position").cast("long").alias("position"))
 
 
-@query("why_search")
+_ABOUT_PATH = "(file_path = 'src3/doc_3.md' or file_path like '%/src3/doc_3.md' or starts_with(source_ref, 'src3/doc_3.md#') or contains(source_ref, '/src3/doc_3.md'))"
+_WHY = oracle(
+    _ALL.replace(" query", ""), "query as (select 0 as query_id, 'src3 doc 3 md' as q)", *SEARCH, branches(10, ("semantic", "episodic", "procedural")), _page(10, 0),
+    f"lead as (select id, 0 as tier, row_number() over (order by {_RANK}, importance desc, id) as r from memory where superseded_at is null and {_ABOUT_PATH})",
+    "both_ as (select * from lead union all select id, 1, position from cut where id not in (select id from lead))",
+    "select cast(row_number() over (order by tier, r) as bigint) as position, tier, b.id, m.layer, count(*) over () as total from both_ b join memory m on m.id = b.id order by 1 limit 10",
+)
+
+
+@query("why_search", _WHY)
 def why_search(spark, d):
-    return retrieval.why(tables(spark, d), "src3/doc_3.md", OPTIONS, by_path=True).select("position", "tier", "id", "layer")
+    found = retrieval.why(tables(spark, d), "src3/doc_3.md", OPTIONS, by_path=True)
+    return found.select(F.col("position").cast("long").alias("position"), "tier", "id", "layer", "total")
+
+
+_WHY_SYMBOL = oracle(
+    _ALL.replace(" query", ""), "query as (select 0 as query_id, (select min(name) from symbol) as q)", *SEARCH, branches(10, ("semantic", "episodic", "procedural")), _page(10, 0),
+    "found as (select distinct m.id, layer, importance from query f join symbol y on y.name = f.q join about b on b.symbol_id = y.id join memory m on m.id = b.memory_id where superseded_at is null)",
+    f"lead as (select id, 0 as tier, row_number() over (order by {_RANK}, importance desc, id) as r from found)",
+    "both_ as (select * from lead union all select id, 1, position from cut where id not in (select id from lead))",
+    "select cast(row_number() over (order by tier, r) as bigint) as position, tier, id, count(*) over () as total from both_ order by 1 limit 10",
+)
+
+
+@query("why_symbol_search", _WHY_SYMBOL)
+def why_symbol_search(spark, d):
+    t = tables(spark, d)
+    found = retrieval.why(t, t.symbol.agg(F.min("name")).first()[0], OPTIONS, by_path=False)
+    return found.select(F.col("position").cast("long").alias("position"), "tier", "id", "total")
 
 
 @query("constraints_topn", oracle("memory", "select id, title, importance from memory where superseded_at is null and layer = 'semantic' order by importance desc, created_at desc, id limit 10"))
@@ -306,11 +369,11 @@ for _depth in (1, 2, 4):
     query(f"neighbors_depth{_depth}", _bfs(_depth))(_neighbors(_depth))
 
 
-@query("connected_components", oracle("edge", "ways as (select src, dst from edge where type <> 'RESOLVES' union select dst, src from edge where type <> 'RESOLVES')",
+@query("connected_components", oracle("edge", "ways as (select src, dst from edge union select dst, src from edge)",
     "reach(id, root) as (select src, src from ways union select w.dst, r.root from reach r join ways w on w.src = r.id)",
     "select id, min(root) as component from reach group by id"))
 def connected_components(spark, d):
-    return graph.components(view(spark, d, "edge").where("type <> 'RESOLVES'").select("src", "dst"))
+    return graph.components(view(spark, d, "edge").select("src", "dst"))
 
 
 @query("clusters_local_moving")
@@ -347,9 +410,18 @@ def conflicts_suspected(spark, d):
 _LINKED = "linked as (select src as id from edge union select dst from edge union select memory_id from about)"
 
 
-@query("orphans", oracle("memory edge symbol about", _LIVE, _LINKED, "select id, layer from alive where layer <> 'artifact' and id not in (select id from linked)"))
+#: Every memory once more, under an id that nothing links to.
+_TWICE = "twice as (select * from memory union all select * replace ('free_' || id as id) from memory)"
+
+
+def _twice(spark, d):
+    m = view(spark, d, "memory")
+    return m.unionByName(m.withColumn("id", F.concat(F.lit("free_"), "id")))
+
+
+@query("orphans", oracle("memory edge symbol about", _TWICE, _LINKED, "select id, layer from twice where superseded_at is null and layer <> 'artifact' and id not in (select id from linked)"))
 def orphans(spark, d):
-    return graph.orphans(view(spark, d, "memory"), view(spark, d, "edge"), view(spark, d, "about"))
+    return graph.orphans(_twice(spark, d), view(spark, d, "edge"), view(spark, d, "about"))
 
 
 @query("map_symbols", oracle("memory symbol calls about", _LIVE,
@@ -433,33 +505,49 @@ def enclosing_declaration(spark, d):
     return code.enclosing(_sites(spark, d), view(spark, d, "symbol"))
 
 
-_RESOLVED = f"""cand as (select site_id, s.src, s.file_path, y.id as dst, y.file_path as df,
-  regexp_matches(y.kind, '(?i)function|method|constructor|def|macro|command|predicate|init') as fits from sites s left join symbol y on y.name = s.name),
-kept as (select * from (select *, max(fits::int) over (partition by site_id) as a from cand) x where a = 0 or a is null or fits),
-n as (select site_id, max(src) as src, count(*) filter (df = file_path) as nf, min(case when df = file_path then dst end) as f, count(dst) as nu, min(dst) as u from kept group by site_id),
-resolved as (select site_id as call_id, case when nf = 1 then f when nu = 1 then u end as dst, case when nf = 1 then 'file' when nu = 1 then 'unique' end as confidence,
-  case when nf = 1 or nu = 1 then null when nu = 0 then 'external' else 'ambiguous' end as reason, src from n)"""
-
+#: Call sites with receivers, types, imports and containers, for every rule of the cascade; the same text for both engines.
+_CASCADE = {
+    "rsym": """select 'Symbol:' || file_path || ':Own' || cast(doc_id % 7 as string) || '.m' || cast(doc_id % 97 as string) as id, 'm' || cast(doc_id % 97 as string) as name,
+      file_path, kind, 'Own' || cast(doc_id % 7 as string) as owner, doc_id from symbol""",
+    "sites": """select doc_id as call_id, id as src, file_path, 'm' || cast(doc_id * 7 % 101 as string) as name, doc_id % 9 = 0 as construction,
+      case when doc_id % 5 = 1 then 'Own' || cast((doc_id + 1) % 7 as string) end as receiver, case when doc_id % 5 = 0 then 'Own' || cast(doc_id % 7 as string) end as receiver_type from rsym""",
+    "links": """select a.file_path as from_path, b.file_path as path from rsym a join rsym b on b.doc_id % 97 = a.doc_id * 7 % 101 and b.doc_id % 10 = a.doc_id % 10 where a.doc_id % 5 = 2""",
+    "boxes": "select distinct file_path as path, 'c' || cast(doc_id % 211 as string) as container from rsym",
+    "modules": "select file_path as from_path, 'c' || cast(doc_id * 3 % 211 as string) as module from rsym where doc_id % 5 = 3",
+}
+_RESOLVED = (*[f"{n} as ({q})" for n, q in _CASCADE.items()], """cand as (select s.*, y.id as dst, y.file_path as df, y.owner,
+  regexp_matches(y.kind, case when construction then '(?i)class|record|struct|interface|enum|type|trait|object|contract|module' else '(?i)function|method|constructor|def|macro|command|predicate|init' end) as fits
+  from sites s left join rsym y on y.name = s.name),
+kept as (select * from (select *, max(fits::int) over (partition by call_id) as a from cand) x where a = 0 or a is null or fits),
+sight as (select distinct v.path as f, b.path as df from (select path, container from boxes union select from_path, module from modules) v join boxes b on b.container = v.container),
+flags as (select *, [owner = receiver_type, df = file_path, owner = receiver, (file_path, df) in (select from_path, path from links), (file_path, df) in (select f, df from sight), dst is not null] as ok from kept),
+n as (select call_id, max(src) as src,
+  """ + ", ".join(f"count(*) filter (dst is not null and ok[{i}]) as n{i}, min(case when dst is not null and ok[{i}] then dst end) as d{i}" for i in range(1, 7)) + """ from flags group by call_id),
+resolved as (select call_id, src, """ + "case " + " ".join(f"when n{i} = 1 then d{i}" for i in range(1, 7)) + " end as dst, case "
+  + " ".join(f"when n{i} = 1 then '{c}'" for i, c in enumerate(("type", "file", "receiver", "import", "import", "unique"), 1))
+  + " end as confidence, case when " + " or ".join(f"n{i} = 1" for i in range(1, 7)) + """ then null when n6 = 0 then 'external' else 'ambiguous' end as reason from n)""")
 
 def _resolved(spark, d):
-    c = _sites(spark, d).select(
-        F.col("site_id").alias("call_id"), "src", "file_path", "name", F.lit(None).cast("string").alias("receiver"),
-        F.lit(None).cast("string").alias("receiver_type"), F.lit(False).alias("construction"),
-    )
-    return code.resolve_calls(c, view(spark, d, "symbol"))
+    t = {"symbol": view(spark, d, "symbol")}
+    for name, text in _CASCADE.items():
+        for known in ("symbol", "rsym"):
+            text = text.replace(f"from {known}", f"from {{{known}}}").replace(f"join {known}", f"join {{{known}}}")
+        t[name] = spark.sql(text, **{k: v for k, v in t.items() if f"{{{k}}}" in text})
+    imported = stored(t["links"], "links")
+    return code.resolve_calls(t["sites"], t["rsym"].drop("owner"), imported, code.visible_containers(t["boxes"], t["modules"]), t["boxes"])
 
 
-@query("call_resolution", oracle("symbol calls", _SITES, _RESOLVED, "select call_id, dst, confidence, reason from resolved where dst is null or dst <> src"))
+@query("call_resolution", oracle("symbol", *_RESOLVED, "select call_id, dst, confidence, reason from resolved where dst is null or dst <> src"))
 def call_resolution(spark, d):
     return _resolved(spark, d).select("call_id", "dst", "confidence", "reason")
 
 
-@query("relation_report", oracle("symbol calls", _SITES, _RESOLVED, "select coalesce(confidence, reason) as outcome, count(*) as n from resolved where dst is null or dst <> src group by 1"))
+@query("relation_report", oracle("symbol", *_RESOLVED, "select coalesce(confidence, reason) as outcome, count(*) as n from resolved where dst is null or dst <> src group by 1"))
 def relation_report(spark, d):
     return code.relation_report(_resolved(spark, d))
 
 
-@query("reach_percent", oracle("symbol calls", _SITES, _RESOLVED, "select round(100.0::double * count(dst) / (count(dst) + count(*) filter (reason = 'ambiguous')), 6) as reach from resolved where dst is null or dst <> src"))
+@query("reach_percent", oracle("symbol", *_RESOLVED, "select round(100.0::double * count(dst) / (count(dst) + count(*) filter (reason = 'ambiguous')), 6) as reach from resolved where dst is null or dst <> src"))
 def reach_percent(spark, d):
     return code.reach_percent(_resolved(spark, d)).select(r6("reach").alias("reach"))
 
@@ -503,11 +591,20 @@ def dense_files(spark, d):
     return evaluation.dense_files(chunking.window_chunks(files), files, 5, 1000).select(F.col("path").alias("doc_id"), "chunks")
 
 
-@query("decision_candidates", r"""select doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 160) as excerpt from (select doc_id, 'We chose this. It was used instead of ' || left(regexp_replace(text, '[.!?\n]', ' ', 'g'), 20) as text from documents where doc_id % 5 = 0) x
- where false union all select doc_id, left(trim(regexp_replace('It was used instead of ' || left(regexp_replace(text, '[^A-Za-z]', ' ', 'g'), 20), '\s+', ' ', 'g')), 160) from documents""")
+#: Whole texts: a third with a decision in one sentence before them, a third with one told in two.
+_DECIDED = """select doc_id, case doc_id % 3 when 0 then 'We chose rows of ' || lang || ' instead of ' || source || '. ' || text
+ when 1 then 'It was decided in ' || source || '.' || chr(10) || chr(10) || 'Polling was dropped! ' || text else text end as text from documents"""
+_CHOSE = r"'(?i)(?:^|[^a-z0-9_])(?:chose|chosen|choosing|decided|decision|deliberate|deliberately|intentionally|settled on|went with|on purpose)(?:$|[^a-z0-9_])|quyet dinh|chot|co y|chu y'"
+_REJECTED = r"'(?i)(?:^|[^a-z0-9_])(?:instead of|rather than|as opposed to|in preference to|dropped|rejected|avoided|abandoned|ruled out|would have)(?:$|[^a-z0-9_])|thay vi|thay cho|da bo|loai bo|khong dung|dang le'"
+
+
+@query("decision_candidates", rf"""select doc_id, left(trim(regexp_replace(coalesce(one, other), '\s+', ' ', 'g')), 160) as excerpt from (
+ select doc_id, list_filter(s, lambda x: regexp_matches(x, {_CHOSE}) and regexp_matches(x, {_REJECTED}))[1] as one, list_filter(s, lambda x: regexp_matches(x, {_REJECTED}))[1] as other
+ from (select doc_id, string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n\n+') as s from ({_DECIDED}) x
+  where regexp_matches(text, {_CHOSE}) and regexp_matches(text, {_REJECTED})) y) z where coalesce(one, other) is not null""")
 def decision_candidates(spark, d):
-    body = F.concat(F.lit("We chose this. It was used instead of "), F.left(F.regexp_replace("text", "[^A-Za-z]", " "), F.lit(20)))
-    return chunking.decision_excerpts(docs(spark, d).select("doc_id", body.alias("folded")), "doc_id")
+    told = spark.sql(_DECIDED.replace("from documents", "from {t}").replace("chr(", "char("), t=docs(spark, d))
+    return chunking.decision_excerpts(told.withColumnRenamed("text", "folded"), "doc_id")
 
 
 @query("question_harvest", r"""select distinct on (lower(left(q, 60))) q from (select left(regexp_replace(trim(text), '\s+', ' ', 'g'), 200) as q, conv_id, turn from conversations
@@ -530,13 +627,12 @@ def node_ids(spark, d):
     return view(spark, d, "memory").select("id", sc.node_id(F.col("layer"), F.col("source_ref"), F.col("body")).alias("node_id"))
 
 
-_PRUNE = f"select id, layer, created_at, 2 as weight from memory where layer = 'episodic' and created_at < {NOW - 300 * DAY} and id not in (select id from linked)"
+_PRUNE = f"select id, layer, created_at, 2 as weight from twice where layer = 'episodic' and created_at < {NOW - 300 * DAY} and id not in (select id from linked)"
 
 
-@query("prunable", oracle("memory edge symbol about", "linked as (select src as id from edge where type = 'RESOLVES' union select dst from edge where type = 'RESOLVES' union select memory_id from about where false)", _PRUNE))
+@query("prunable", oracle("memory edge symbol about", _TWICE, _LINKED, _PRUNE))
 def prunable(spark, d):
-    e, a = view(spark, d, "edge").where("type = 'RESOLVES'"), view(spark, d, "about").where(F.lit(False))
-    return mutations.prunable(view(spark, d, "memory"), e, a, NOW - 300 * DAY)
+    return mutations.prunable(_twice(spark, d), view(spark, d, "edge"), view(spark, d, "about"), NOW - 300 * DAY)
 
 
 @query("stale_artifacts", oracle("memory", "select id from memory where layer = 'artifact' and superseded_at is null and length(body) >= 500"))

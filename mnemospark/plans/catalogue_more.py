@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scalars as sc
-from mnemospark.functions.text import term_rows
+from mnemospark.functions.text import fold, term_rows
 from mnemospark.operators import code, evaluation, graph, index, mutations, retrieval
 from mnemospark.plans.catalogue import _ALL, _LIVE, OPTIONS, _page, docs, query, r6, tables
 from mnemospark.plans.oracle import POSTINGS, SEARCH, _fold, branches, decay, oracle, terms, top
 from mnemospark.plans.views import NOW, view
+from mnemospark.shipping import ship
 from mnemospark.sources import files as src
 from mnemospark.storage import stored
 
@@ -100,10 +102,15 @@ def skip_report(spark, d):
     return src.skip_report(_policy(spark, d)).select("reason", "n")
 
 
-@query("ignore_rules", "select doc_id, (doc_id % 20 = 3 and doc_id % 10 <> 3) or source = 'src4' as ignored from documents")
+_RULES = ["# rules", "", "src4/", "doc_?7.md", "src5/**", "!src5/doc_*5.md", "/src6/doc_6*.md", "*.tmp", "!doc_67.md"]
+
+
+@query("ignore_rules", """select doc_id, case when n = 'doc_67.md' then false when doc_id % 11 = 0 then true when source = 'src6' and starts_with(n, 'doc_6') and ends_with(n, '.md') then true
+ when source = 'src5' and ends_with(n, '5.md') then false when source = 'src5' then true when length(n) = 9 and ends_with(n, '7.md') then true else source = 'src4' end as ignored
+ from (select doc_id, source, 'doc_' || doc_id || case when doc_id % 11 = 0 then '.tmp' else '.md' end as n from documents) x""")
 def ignore_rules(spark, d):
-    path = F.concat("source", F.lit("/doc_"), "doc_id", F.lit(".md"))
-    return docs(spark, d).select("doc_id", src.ignored(path, ["# rules", "src4/", "*.tmp", "!src5/**"]).alias("ignored"))
+    path = F.concat("source", F.lit("/doc_"), "doc_id", F.when(F.col("doc_id") % 11 == 0, ".tmp").otherwise(".md"))
+    return docs(spark, d).select("doc_id", src.ignored(path, _RULES).alias("ignored"))
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -149,16 +156,24 @@ def quoted_labels(spark, d):
     return view(spark, d, "memory").select("id", sc.quoted_label(F.col("title")).alias("label"))
 
 
-@query("container_prefixes", "select source, doc_id, 'a.b.' || source || '.' || doc_id || '|a.b.' || source || '|a.b|a' as prefixes from documents")
+#: Names of one to five dotted parts.
+_DOTTED = "array_to_string(list_slice(['p' || lang, source, 'x' || (doc_id % 3), 'y', 'd' || doc_id], 1, doc_id % 5 + 1), '.')"
+
+
+def _dotted(spark, d):
+    parts = F.array(F.concat(F.lit("p"), "lang"), "source", F.concat(F.lit("x"), (F.col("doc_id") % 3).cast("string")), F.lit("y"), F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    return docs(spark, d).select("doc_id", F.array_join(F.slice(parts, F.lit(1), (F.col("doc_id") % 5 + 1).cast("int")), ".").alias("name"))
+
+
+@query("container_prefixes", f"""select doc_id, array_to_string(list_transform(range(n, greatest(n - 4, 0), -1), lambda k: array_to_string(p[1:k], '.')), '|') as prefixes
+ from (select doc_id, string_split(name, '.') as p, len(string_split(name, '.')) as n from (select doc_id, {_DOTTED} as name from documents) x) y""")
 def container_prefixes(spark, d):
-    name = F.concat(F.lit("a.b."), "source", F.lit("."), F.col("doc_id").cast("string"))
-    return docs(spark, d).select("source", "doc_id", F.array_join(sc.container_prefixes(name), "|").alias("prefixes"))
+    return _dotted(spark, d).select("doc_id", F.array_join(sc.container_prefixes(F.col("name")), "|").alias("prefixes"))
 
 
-@query("owner_names", oracle("symbol", "select id, 'Outer.Inner' as owner, '' as none from symbol"))
+@query("owner_names", f"select doc_id, case when contains(name, '.') then left(name, length(name) - instr(reverse(name), '.')) else '' end as owner from (select doc_id, {_DOTTED} as name from documents) x")
 def owner_names(spark, d):
-    s = view(spark, d, "symbol")
-    return s.select("id", sc.parent_name(F.concat(F.lit("Outer.Inner."), "name")).alias("owner"), sc.parent_name(F.col("name")).alias("none"))
+    return _dotted(spark, d).select("doc_id", sc.parent_name(F.col("name")).alias("owner"))
 
 
 @query("wilson_interval", oracle("memory", """g as (select layer, count(*)::double as n, count(superseded_at)::double as k, 1.959963984540054::double as z from memory group by layer)""",
@@ -206,9 +221,9 @@ def replace_relations(spark, d):
     return mutations.replace_relations(s, changed.withColumn("kind", F.lit("fresh")), changed).select("id", "file_path", "kind")
 
 
-@query("journal_replay", oracle("memory", """select 'mem_' || left(sha256(layer || ' ' || source_ref || ' ' || trim(regexp_replace(body, '[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13))), 24) as id, layer from memory where doc_id % 7 = 0"""))
+@query("journal_replay", oracle("memory", """select 'mem_' || left(sha256(layer || ' ' || source_ref || ' ' || trim(regexp_replace(body, '[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13))), 24) as id, layer from memory"""))
 def journal_replay(spark, d):
-    m = view(spark, d, "memory").where("doc_id % 7 = 0").withColumn("kind", F.lit("node"))
+    m = view(spark, d, "memory").withColumn("kind", F.lit("node"))
     return mutations.journal_nodes(m.union(m)).select("id", "layer")  # queued twice, written once
 
 
@@ -254,11 +269,11 @@ def unique_basenames(spark, d):
     return f.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1").drop("n")
 
 
-@query("summary_candidates", oracle("edge", """select src, count(distinct dst) as covers from (select src, dst from edge where type = 'DERIVED_FROM' union select src, src from edge where type = 'DERIVED_FROM') x group by src having count(distinct dst) >= 2"""))
+@query("summary_candidates", oracle("edge", """select near, count(distinct id) as covers from (select src as near, dst as id from edge union select dst, src from edge) x group by near having count(distinct id) >= 2"""))
 def summary_candidates(spark, d):
-    e = view(spark, d, "edge").where("type = 'DERIVED_FROM'")
-    both = e.select("src", "dst").union(e.select("src", F.col("src").alias("dst")))
-    return both.groupBy("src").agg(F.countDistinct("dst").alias("covers")).where("covers >= 2")
+    e = view(spark, d, "edge")
+    both = e.select(F.col("src").alias("near"), F.col("dst").alias("id")).union(e.select("dst", "src"))
+    return both.groupBy("near").agg(F.countDistinct("id").alias("covers")).where("covers >= 2")
 
 
 @query("cluster_invariants")
@@ -313,7 +328,13 @@ def evaluation_judged(spark, d):
     return evaluation.judge(hits, asked)
 
 
-@query("folded_words", oracle("", _MARKED, f"select count(distinct {_fold('word')}) as n from marked where regexp_matches(word, '^[a-z]+$')"))
+@query("folded_words", oracle("", _MARKED, f"select word, {_fold('word')} as folded from marked"))
 def folded_words(spark, d):
-    words = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")).where(F.col("word").rlike("^[a-z]+$"))
-    return words.agg(F.countDistinct("word").alias("n"))
+    words = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")).distinct()
+    ship(spark)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fold(w) for w in b.column(0).to_pylist()])], ["word", "folded"])
+
+    return words.mapInArrow(run, "word string, folded string")
