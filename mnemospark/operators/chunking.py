@@ -28,19 +28,38 @@ RELATION = "path string, kind string, name string, receiver string, receiver_typ
 
 def window_chunks(df: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
     """Overlapping windows as columns only.  A window ends at a newline when one
-    stands at or behind the next window's start, so no text falls between two."""
+    stands at or behind the next window's start, so no text falls between two.
+
+    A text is first cut into blocks of one step, in one pass, so a long text costs
+    in proportion to its length; windows and line numbers come from the blocks.
+    """
+    lines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     n = F.length(text)
-    last = F.greatest(F.lit(0), F.ceil((n - SIZE) / F.lit(STEP))).cast("int")
-    at = df.where(n > 0).select(F.col(path).alias("path"), F.col(text).alias("content"), F.explode(F.sequence(F.lit(0), last)).alias("ordinal"))
-    offset = F.col("ordinal") * STEP
-    window = F.substring("content", offset + 1, F.lit(SIZE))
-    full = offset + SIZE < F.length("content")
-    tail = F.substring(window, STEP + 1, F.lit(OVERLAP))
+    cut = df.where(n > 0).select(
+        F.col(path).alias("path"),
+        n.alias("n"),
+        F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{STEP}}}"), F.lit(0)).alias("blocks"),
+    )
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("at"))
+    run = F.aggregate(
+        F.transform("blocks", lines), start, lambda a, x: F.struct((a["line"] + x).alias("line"), F.array_append(a["at"], a["line"]).alias("at")), lambda a: a["at"]
+    )
+    last = F.greatest(F.lit(0), F.ceil((F.col("n") - SIZE) / F.lit(STEP))).cast("int")
+    window = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct(
+            i.alias("ordinal"),
+            F.concat(F.get("blocks", i), F.coalesce(F.left(F.get("blocks", i + 1), F.lit(OVERLAP)), F.lit(""))).alias("window"),
+            F.get("starts", i).alias("start_line"),
+        ),
+    )
+    at = cut.withColumn("starts", run).select("path", "n", F.inline(window))
+    tail = F.substring("window", STEP + 1, F.lit(OVERLAP))
     newline = F.length(tail) - F.instr(F.reverse(tail), "\n")
-    body = F.when(full & (F.instr(tail, "\n") > 0), F.left(window, F.lit(STEP) + newline)).otherwise(window)
-    lines = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) + 1).cast("int")
-    out = at.select("path", "ordinal", body.alias("text"), lines(F.left("content", offset)).alias("start_line"), F.lit("CHARACTER").alias("mode"))
-    return out.where(F.col("text").rlike(r"\S")).withColumn("end_line", (F.col("start_line") + lines(F.col("text")) - 1).cast("int"))
+    full = F.col("ordinal") * STEP + SIZE < F.col("n")
+    body = F.when(full & (F.instr(tail, "\n") > 0), F.left("window", F.lit(STEP) + newline)).otherwise(F.col("window"))
+    out = at.select("path", "ordinal", body.alias("text"), "start_line", F.lit("CHARACTER").alias("mode"))
+    return out.where(F.col("text").rlike(r"\S")).withColumn("end_line", (F.col("start_line") + lines(F.col("text"))).cast("int"))
 
 
 @dataclass

@@ -147,10 +147,15 @@ def suspected_conflicts(memory: DataFrame, edge: DataFrame, least: float = 0.6)
 
     Titles meet only on their rarest terms: a pair of the wanted similarity must
     share one of the first n - ceil(least * n) + 1 terms in order of frequency, so
-    common words join nothing.
+    common words join nothing.  Titles of equal terms meet as one; only pairs that
+    are reported are spelled out by member.
     """
     titles = live(memory, ("semantic",)).select("id", "title")
-    terms = stored(term_rows(titles, "id", "title").select("id", "term"), "title_terms")
+    own = term_rows(titles, "id", "title").groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    own = stored(own.withColumn("kind", F.sha2(F.array_join("terms", "\n"), 256)), "title_terms")
+    member = own.select("kind", "id")
+    terms = own.groupBy("kind").agg(F.first("terms").alias("terms")).select(F.col("kind").alias("id"), F.explode("terms").alias("term"))
+    terms = stored(terms, "kinds")
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "term"))
     ranked = terms.join(df, "term").withColumn("k", place).withColumn("n", F.count("*").over(Window.partitionBy("id")))
@@ -160,7 +165,11 @@ def suspected_conflicts(memory: DataFrame, edge: DataFrame, least: float = 0.6)
     pairs = a.join(b, "term").where("a < b").select("a", "b").distinct()
     shared = F.size(F.array_intersect("ta", "tb"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("terms").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("terms").alias("tb")), "b")
-    scored = both.withColumn("similarity", shared / (F.size("ta") + F.size("tb") - shared)).where(F.col("similarity") >= least)
+    alike = both.withColumn("similarity", shared / (F.size("ta") + F.size("tb") - shared)).where(F.col("similarity") >= least)
+    alike = alike.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "similarity")
+    alike = alike.unionByName(member.groupBy("kind").count().where("count > 1").select(F.col("kind").alias("ka"), F.col("kind").alias("kb"), F.lit(1.0).alias("similarity")))
+    spelled = alike.join(member.select(F.col("kind").alias("ka"), F.col("id").alias("x")), "ka").join(member.select(F.col("kind").alias("kb"), F.col("id").alias("y")), "kb")
+    scored = spelled.where("ka <> kb or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     known = edge.where("type in ('CONTRADICTS', 'SUPERSEDES')").select(pair_key(F.col("src"), F.col("dst")).alias("pair")).distinct()
     return scored.withColumn("pair", pair_key(F.col("a"), F.col("b"))).join(known, "pair", "left_anti").select("a", "b", "similarity")
 
