@@ -227,6 +227,8 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, larger: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else e
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # as a new column: the join then deals out both sides itself, so a hot node can be split
+        least = least.select(F.col("u").bitwiseXOR(F.lit(0)).alias("u"), "m")
         joined = both.join(least, "u")
         moved = joined.where("v > u" if larger else "v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not larger:
