@@ -8,13 +8,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mnemospark.engine import MemoryEngine
-from mnemospark.functions.formatting import tree, within_bytes
+from mnemospark.functions.formatting import mermaid, tree, within_bytes
 from mnemospark.sources.files import git_changes
 from mnemospark.sources.journal import read_questions
+from mnemospark.sources.registry import Registry
 
 OUTPUT_BYTES = 24_000
 
@@ -41,16 +44,23 @@ def parser() -> argparse.ArgumentParser:
     add("index", "query")
     add("why", "target", limit=int, anchor_only=bool)
     add("get", "id")
-    add("graph", "id", depth=int, direction=str)
+    add("graph", "id", depth=int, direction=str, mermaid=bool)
     add("related", "id")
-    for name in ("constraints", "conflicts", "clusters", "doctor", "capabilities", "merge", "init"):
+    for name in ("constraints", "conflicts", "clusters", "doctor", "capabilities", "merge", "init", "stats", "size", "migrate"):
         add(name)
+    add("vacuum", keep=int)
+    add("imports", prefix=str)
+    add("register", "name", "path", registry=str, commit=str)
+    add("list", registry=str)
+    add("forget", "path", registry=str)
+    add("session", "title", summary=str)
+    add("coverage", "root", mode=str, base=str)
     add("map", prefix=str, text=bool)
     add("changes", "root", mode=str, base=str)
     add("write", "layer", "title", "body", "source_ref", importance=float)
     add("link", "src", "type", "dst")
     add("summarize", "title", "body", members=str)
-    add("ingest", "folder", force=bool)
+    add("ingest", "folder", force=bool, named=str)
     add("embed", force=bool)
     add("prune", days=float, apply=bool)
     add("eval", "questions")
@@ -72,6 +82,28 @@ def run(engine: MemoryEngine, a: argparse.Namespace) -> dict | str:
         if not found:
             raise LookupError(f"no node {a.id}")
         return {"node": found[0], "edges": rows(edges)}
+    if a.command == "graph" and a.mermaid:
+        edges = engine.table("edge").where((F.col("src") == a.id) | (F.col("dst") == a.id)).select("src", "type", "dst").limit(200)
+        return mermaid([tuple(r) for r in edges.collect()])
+    if a.command in ("register", "list", "forget"):
+        known = Registry(a.registry or f"{Path.home()}/.mnemospark/registry.json")
+        if a.command == "register":
+            known.register(a.name, a.path, engine.root, a.commit or "")
+        elif a.command == "forget" and not known.forget(a.path):
+            raise LookupError(f"no project at {a.path}")
+        return {"projects": rows(known.listed(engine.spark))}
+    if a.command == "session":
+        node = engine.open_session(a.title)
+        engine.close_session(a.summary or "")
+        return {"session": node}
+    if a.command == "coverage":
+        return {"coverage": rows(engine.coverage(git_changes(a.root, a.mode or "working", a.base or "")))}
+    if a.command == "imports":
+        return {"imports": rows(engine.imports(a.prefix or ""))}
+    if a.command == "vacuum":
+        return {"folders": engine.vacuum(a.keep or 2)}
+    if a.command == "migrate":
+        return {"migrated": engine.migrate()}
     if a.command == "graph":
         return {"neighbors": rows(engine.neighbors(a.id, a.depth or 2, direction=a.direction or "both").orderBy("hops", "id"))}
     if a.command == "conflicts":
@@ -90,13 +122,14 @@ def run(engine: MemoryEngine, a: argparse.Namespace) -> dict | str:
     if a.command == "summarize":
         return {"id": engine.summarize((a.members or "").split(","), a.title, a.body)}
     if a.command == "ingest":
-        return {k: rows(v) if isinstance(v, DataFrame) else v for k, v in engine.ingest(a.folder, a.force).items()}
+        return {k: rows(v) if isinstance(v, DataFrame) else v for k, v in engine.ingest(a.folder, a.force, a.named).items()}
     if a.command == "embed":
         return {"embedded": engine.embed(a.force)}
     if a.command == "prune":
         return {"pruned": rows(engine.prune(a.days or 0, dry_run=not a.apply))}
     if a.command == "eval":
-        return {"configurations": rows(engine.evaluate(read_questions(engine.spark, a.questions)))}
+        asked = read_questions(engine.spark, a.questions)
+        return {"configurations": rows(engine.evaluate(asked)), "missed": rows(engine.missed(asked))}
     if a.command == "init":
         return {"version": engine.init()}
     if a.command == "merge":

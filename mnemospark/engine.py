@@ -24,7 +24,7 @@ from mnemospark.functions.embedding import HashEmbedder, Provider, embed_column
 from mnemospark.functions.redaction import redact
 from mnemospark.operators import chunking, code, evaluation, graph, index, mutations, retrieval
 from mnemospark.operators.retrieval import Options, Tables
-from mnemospark.sources.files import read_files, skip_report
+from mnemospark.sources.files import folder_bytes, read_files, read_named, skip_report
 from mnemospark.sources.journal import append_journal, read_journal
 from mnemospark.storage import delete, stored
 from mnemospark.streaming.journal import drain
@@ -47,6 +47,9 @@ TABLES = {
     "file": "path string, stamp string, container string",
 }
 
+#: Layout of the tables; a store of another one is migrated.
+LAYOUT = "2"
+
 
 class MemoryEngine:
     """All operations of the engine on one store folder."""
@@ -126,7 +129,7 @@ class MemoryEngine:
             self._open[2].update(changed)
 
     def _write(self, n: int, folders: dict[str, str], changed: dict[str, DataFrame]) -> None:
-        now = dict(folders)
+        now = dict(folders) | {"_layout": LAYOUT}
         for name, df in changed.items():
             target = self.spark.createDataFrame([], TABLES[name]).schema
             shaped = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target])
@@ -148,6 +151,22 @@ class MemoryEngine:
             self.commit({name: self.table(name) for name in TABLES if name != "totals"})
         return self.version
 
+    def size(self) -> DataFrame:
+        """(files, bytes) of the store's folder."""
+        return folder_bytes(self.spark, self.root)
+
+    def migrate(self) -> bool:
+        """Bring a store of an older layout up to this one; whether there was anything to do.
+        What is derived is made again: the index from the memories, code tables by the
+        next ingest, which reads all files as none is known any more."""
+        n, folders = self._manifest()
+        if not n or folders.get("_layout") == LAYOUT:
+            return False
+        memory, derived = self.table("memory"), ("symbol", "about", "calls", "inherits", "imports", "pending", "file")
+        fresh = {name: self.spark.createDataFrame([], TABLES[name]) for name in derived}
+        self.commit({"memory": memory, "postings": index.build_postings(memory), **fresh})
+        return True
+
     def vacuum(self, keep: int = 2) -> int:
         """Delete the manifests before the last ones and the folders that none names any
         more; how many folders went.  No write may be under way."""
@@ -175,6 +194,9 @@ class MemoryEngine:
 
     # ------------------------------------------------------------ reads
 
+    def _call_edges(self) -> DataFrame:
+        return self.table("calls").select("src", "dst", "name", "line", "confidence")
+
     def _embedded(self, queries: DataFrame) -> DataFrame:
         return queries.join(embed_column(queries, "query_id", "q", self.embedder).drop("dims"), "query_id")
 
@@ -237,18 +259,32 @@ class MemoryEngine:
         return graph.cluster_report(graph.clusters(e, m), m, e)
 
     def map(self, prefix: str = "") -> DataFrame:
-        return graph.symbol_map(*[self.table(n) for n in ("symbol", "calls", "about", "memory")], prefix)
+        return graph.symbol_map(self.table("symbol"), self._call_edges(), self.table("about"), self.table("memory"), prefix, self.table("inherits"))
+
+    def imports(self, prefix: str = "") -> DataFrame:
+        return graph.import_map(self.table("imports"), prefix)
 
     def changes(self, paths: Iterable[str]) -> DataFrame:
         files = self.spark.createDataFrame([(p,) for p in paths], "file_path string")
-        return graph.changes(*[self.table(n) for n in ("memory", "edge", "symbol", "calls", "about")], files)
+        return graph.changes(self.table("memory"), self.table("edge"), self.table("symbol"), self._call_edges(), self.table("about"), files)
 
     def doctor(self) -> DataFrame:
-        return evaluation.doctor(*[self.table(n) for n in ("memory", "edge", "about", "vector")])
+        more = {n: self.table(n) for n in ("postings", "symbol", "calls", "pending")}
+        return evaluation.doctor(*[self.table(n) for n in ("memory", "edge", "about", "vector")], more, (self.embedder.model, self.embedder.provider))
+
+    def stats(self) -> DataFrame:
+        kinds = [self.table(n) for n in ("edge", "about", "calls", "inherits", "imports")]
+        return evaluation.stats(self.table("memory"), kinds, self.table("vector"))
+
+    def coverage(self, paths: Iterable[str]) -> DataFrame:
+        """Which changed files have anything recorded, and how much of it is contested."""
+        files = self.spark.createDataFrame([(p,) for p in paths], "file_path string")
+        return graph.coverage(self.changes([r.file_path for r in files.collect()]), files)
 
     def evaluate(self, questions: DataFrame) -> DataFrame:
-        """Recall of five configurations: all branches, and each of four left out."""
-        asked = questions.where("ask is not null").select(F.xxhash64("id").alias("query_id"), F.col("ask").alias("q"), "expect", "reject")
+        """Recall of five configurations: all branches, and each of four left out.  A
+        question that is put in two ways (ask, also) is asked twice."""
+        asked = evaluation.phrasings(questions)
         q = self._embedded(asked.select("query_id", "q"))
         out = None
         for without in ("", "bm25", "semantic", "entity", "graph"):
@@ -258,6 +294,12 @@ class MemoryEngine:
             out = row if out is None else out.unionByName(row)
         return out
 
+    def missed(self, questions: DataFrame) -> DataFrame:
+        """(id, q, got) of what all branches together don't answer."""
+        asked = evaluation.phrasings(questions)
+        hits = retrieval.search(self.tables(), self._embedded(asked.select("query_id", "q")), self._options(limit=5))
+        return evaluation.missed(hits, asked).join(asked.select("query_id", "id", "q"), "query_id").select("id", "q", "got")
+
     # ------------------------------------------------------------ writes
 
     def _indexed(self, memory: DataFrame, changed: DataFrame) -> dict[str, DataFrame]:
@@ -266,11 +308,15 @@ class MemoryEngine:
         fresh = memory.join(ids, "id", "left_semi")
         text = fresh.select("id", F.concat_ws("\n", "title", "body").alias("text"))
         vectors = embed_column(text, "id", "text", self.embedder)
+        ref = r"#L([0-9]+)-L([0-9]+)$"
+        line = lambda i: F.regexp_extract("source_ref", ref, i).try_cast("long")
+        chunks = fresh.where("layer = 'artifact'").select(F.col("id").alias("memory_id"), "file_path", line(1).alias("first"), line(2).alias("last"))
+        anchors = code.span_anchors(fresh.where("layer <> 'artifact'"), self.table("symbol")).unionByName(code.chunk_anchors(chunks, self.table("symbol")))
         return {
             "memory": memory,
             "postings": mutations.flush_postings(self.table("postings").join(ids, "id", "left_anti"), index.build_postings(fresh)),
             "vector": self.table("vector").join(ids, "id", "left_anti").unionByName(vectors),
-            "about": mutations.insert_absent(self.table("about"), code.span_anchors(fresh, self.table("symbol")), ["memory_id", "symbol_id"]),
+            "about": mutations.insert_absent(self.table("about"), anchors, ["memory_id", "symbol_id"]),
         }
 
     def write(self, rows: Iterable[tuple[str, str, str, str, float]]) -> DataFrame:
@@ -385,13 +431,16 @@ class MemoryEngine:
 
     # ------------------------------------------------------------ ingest
 
-    def ingest(self, folder: str, force: bool = False) -> dict[str, DataFrame | int]:
-        """Read a repository: chunks, declarations and relations of changed files; vanished ones reclaimed."""
-        found = read_files(self.spark, folder)
+    def ingest(self, folder: str, force: bool = False, named: str | None = None) -> dict[str, DataFrame | int]:
+        """Read a repository: chunks, declarations and relations of changed files; vanished ones reclaimed.
+
+        named: read just this file, whatever the walk's policy says of it.
+        """
+        found = read_named(self.spark, folder, named) if named else read_files(self.spark, folder)
         files = found.where("reason is null")
         known = self.table("file")
         changed = files if force else files.join(known.select("path", "stamp"), ["path", "stamp"], "left_anti")
-        vanished = known.join(files.select("path"), "path", "left_anti")
+        vanished = known.limit(0) if named else known.join(files.select("path"), "path", "left_anti")
         n = changed.count()
         out: dict[str, DataFrame | int] = {"files": n, "skipped": skip_report(found), "vanished": vanished.count()}
         if not n and not out["vanished"]:

@@ -107,6 +107,20 @@ def node_id(layer: Column, source_ref: Column, body: Column) -> Column:
     return F.concat(F.lit("mem_"), F.left(F.sha2(joined, 256), F.lit(24)))
 
 
+def content_hash(content: Column) -> Column:
+    return F.sha2(content, 256)
+
+
+def short_hash(content: Column, length: int = 16) -> Column:
+    return F.left(content_hash(content), F.lit(length))
+
+
+def clean_identifier(text: Column) -> Column:
+    """One name of a written one: without generics and qualifiers; null if that is none."""
+    last = F.element_at(F.split(F.regexp_replace(F.trim(text), r"(?s)<.*$", ""), "[.:]"), -1)
+    return F.when(last.rlike(r"\A[A-Za-z_$][A-Za-z0-9_$-]{0,126}[?!]?\z"), last)
+
+
 def quoted_label(text: Column, width: int = 60) -> Column:
     """Text that is safe inside a diagram label."""
     return F.left(F.trim(F.regexp_replace(F.regexp_replace(text, r"""[\[\]{}()"'`<>|]""", ""), r"\s+", " ")), F.lit(width))

@@ -159,14 +159,93 @@ def declarations(path: str, source: str) -> list[tuple[str, str, int, int]]:
         return [(n, k, a + before, b + before) for n, k, a, b in declarations("x.ts", script)]
     if ending not in BRACED:
         return []
+    return _braced(_bare(source))
+
+
+#: Words before a parenthesis that call nothing.
+NO_CALL = frozenset(
+    "if for foreach while switch catch return new throw function func fun fn def sizeof typeof await in of do else match when using lock super this "
+    "constructor synchronized assert delete void instanceof yield elif and or not import require".split()
+)
+_QUOTED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+_TYPES = frozenset("class interface struct enum trait record object".split())
+_METHOD = re.compile(
+    r"^[ \t]+(?:(?:public|private|protected|internal|static|final|abstract|async|override|readonly|virtual|suspend|open|get|set)\s+)*"
+    r"(?:[A-Za-z_$][\w$<>\[\],.?]*\s+)?([A-Za-z_$#][\w$]*)\s*(?:<[^>\n(]*>)?\(([^;{}()]*)\)\s*(?::\s*[^{};=\n]+|throws\s+[\w., ]+)?\s*\{",
+    re.M,
+)
+_OF_TYPE = re.compile(r"^func\s*\(\s*(?:\w+\s+)?\*?([A-Za-z_]\w*)[^)\n]*\)\s*([A-Za-z_]\w*)\s*\(", re.M)
+
+
+def _bare(source: str) -> str:
+    """The source with comments and strings blanked, at their places and lines."""
+    return _QUOTED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+
+
+def _braced(source: str) -> list[tuple[str, str, int, int]]:
+    """Declarations of a source with braces: types and functions, and methods by their type."""
     out: dict[str, tuple[str, str, int, int]] = {}
+
+    def line(at: int) -> int:
+        return source.count("\n", 0, at) + 1
+
     for m in _BRACED.finditer(source):
-        first = source.count("\n", 0, m.start(2)) + 1
-        kind = f"{m[1]}_declaration"
-        out.setdefault(m[2], (m[2], kind, first, first + source.count("\n", m.start(2), _block_end(source, m.end()))))
+        out.setdefault(m[2], (m[2], f"{m[1]}_declaration", line(m.start(2)), line(_block_end(source, m.end()))))
+    for m in re.finditer(r"^type\s+([A-Za-z_]\w*)\s+(struct|interface)\b", source, re.M):
+        out.setdefault(m[1], (m[1], f"{m[2]}_declaration", line(m.start(1)), line(_block_end(source, m.end()))))
+    types = [x for x in out.values() if x[1].partition("_")[0] in _TYPES]
+    for m in _OF_TYPE.finditer(source):
+        name = f"{m[1]}.{m[2]}"
+        out.setdefault(name, (name, "method_declaration", line(m.start(2)), line(_block_end(source, m.end()))))
+    for m in _METHOD.finditer(source):
+        at = line(m.start(1))
+        around = [x for x in types if x[2] < at <= x[3]]
+        if m[1] not in NO_CALL and around:
+            owner = min(around, key=lambda x: x[3] - x[2])[0]
+            name = f"{owner}.{m[1]}"
+            out.setdefault(name, (name, "method_declaration", at, line(_block_end(source, m.end() - 1))))
     return list(out.values())
 
 
+_CALL = re.compile(r"(?:\b(new)\s+)?(?:([A-Za-z_$][\w$]*)\s*(?:\?\.|\.|::|->)\s*)?(?<![\w$])([A-Za-z_$][\w$]*)\s*(?:<[\w$, .\[\]]*>)?\(")
+_DECLARES = re.compile(r"(?:\b(?:function|func|fun|fn|def|class)\b\s*\*?|\bfunc\s*\([^)\n]*\))\s*$")
+_HERITAGE = re.compile(r"\b(?:class|interface|record|struct|trait|object)\s+([A-Za-z_$][\w$]*)(?:<[^>{\n]*>)?(?:\([^)\n]*\))?\s*((?::|extends\b|implements\b|with\b)[^{;\n]*)")
+_BINDINGS = (
+    re.compile(r"\b(?:const|let|var|val|auto)\s+\$?([A-Za-z_]\w*)\s*(?::\s*[\w<>\[\]. ]+)?=\s*(?:new\s+|&)?([A-Z]\w*)\s*(?:<[^>\n]*>)?[({]"),
+    re.compile(r"\b([A-Za-z_]\w*)\s*:=\s*&?([A-Z]\w*)\s*[{(]"),
+    re.compile(r"\b([a-z_]\w*)\s*\??:\s*([A-Z]\w*)\b"),
+    re.compile(r"\b(?P<type>[A-Z]\w*)(?:<[^>\n]*>)?\s+(?P<name>[a-z_]\w*)\s*(?=[=;,)])"),
+    re.compile(r"[(,]\s*(?P<name>[a-z_]\w*)\s+\*?(?P<type>[A-Z]\w*)\s*(?=[,)])"),
+)
+
+
+def _braced_relations(source: str) -> list[tuple[str, str, str | None, str | None, bool, int]]:
+    """Calls and heritage of a source with braces, by pattern."""
+    bare = _bare(source)
+    own = {n.rpartition(".")[2] for n, k, _, _ in _braced(bare) if k == "method_declaration"}
+    headers = {m.start(1) for m in _METHOD.finditer(bare)}
+    types: dict[str, set[str]] = {}
+    for pattern in _BINDINGS:
+        for m in pattern.finditer(bare):
+            name, kind = (m["name"], m["type"]) if "name" in pattern.groupindex else (m[1], m[2])
+            types.setdefault(name, set()).add(kind)
+    out: list[tuple[str, str, str | None, str | None, bool, int]] = []
+    for m in _CALL.finditer(bare):
+        name, receiver = m[3], m[2] if m[2] not in ("this", "self", "super") else None
+        if name in NO_CALL or _DECLARES.search(bare, max(0, m.start() - 80), m.start()) or m.start(3) in headers and name in own:
+            continue
+        known = types.get(receiver or "", set())
+        kind = next(iter(known)) if len(known) == 1 else None
+        out.append(("call", name, receiver, kind, bool(m[1]), bare.count("\n", 0, m.start(3)) + 1))
+    for m in _HERITAGE.finditer(bare):
+        line = bare.count("\n", 0, m.start(1)) + 1
+        for part in re.split(r",|\bextends\b|\bimplements\b|\bwith\b|:", re.sub(r"<[^<>]*>|\([^()]*\)", "", m[2])):
+            base = re.match(r"\s*(?:\w+\.)*([A-Za-z_$][\w$]*)", part)
+            if base and base[1] not in ("public", "private", "protected", "where"):
+                out.append(("inherits", base[1], m[1], None, False, line))
+    return out
+
+
 #: How declarations look in languages whose blocks end with a word.
 _ENDED = re.compile(r"^([ \t]*)(?:local\s+)?(class|module|defmodule|defp|def|function)\s+([A-Za-z_][\w.:!?]*)", re.M)
 ENDED = frozenset("rb rake lua ex exs".split())
@@ -238,9 +317,17 @@ def _block_end(source: str, at: int) -> int:
 
 
 def relations(path: str, source: str) -> list[tuple[str, str, str | None, str | None, bool, int]]:
-    """(kind, name, receiver, receiver type, construction, line): calls, imports and heritage of Python."""
-    if path.rpartition(".")[2].lower() not in READERS:
-        return [("import", m, None, None, False, line) for m, line in imports_of(path, source)]
+    """(kind, name, receiver, receiver type, construction, line): calls, imports and heritage,
+    exact for Python and by pattern for languages with braces; of others, imports only."""
+    ending = path.rpartition(".")[2].lower()
+    if ending not in READERS:
+        found = [("import", m, None, None, False, line) for m, line in imports_of(path, source)]
+        if ending == "vue":
+            script, before = _script_of(source)
+            found += [(*r[:5], r[5] + before) for r in _braced_relations(script)]
+        elif ending in BRACED:
+            found += _braced_relations(source)
+        return sorted(found, key=lambda r: (r[5], r[0], r[1]))
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):

@@ -33,6 +33,16 @@ def span_anchors(memory: DataFrame, symbol: DataFrame) -> DataFrame:
     return near.where("start_line <= e and end_line >= s").select("memory_id", "symbol_id").distinct()
 
 
+def chunk_anchors(chunks: DataFrame, symbol: DataFrame) -> DataFrame:
+    """(memory_id, symbol_id): declarations that begin inside a chunk's lines.
+
+    chunks: memory_id, file_path, first, last; a declaration that goes on in the next
+    chunk belongs to the one that it begins in.
+    """
+    s = symbol.select("file_path", F.col("id").alias("symbol_id"), "start_line")
+    return chunks.join(s, "file_path").where("start_line between first and last").select("memory_id", "symbol_id").distinct()
+
+
 def enclosing(sites: DataFrame, symbol: DataFrame) -> DataFrame:
     """(site_id, symbol_id): the smallest declaration around each line of a file."""
     s = symbol.select("file_path", F.col("id").alias("symbol_id"), "start_line", "end_line")

@@ -25,17 +25,44 @@ def judge(hits: DataFrame, questions: DataFrame, most: int = 5) -> DataFrame:
     return both.groupBy("query_id").agg(any_of("expect").alias("hit"), any_of("reject").alias("rejected"))
 
 
-def stats(memory: DataFrame, edge: DataFrame) -> DataFrame:
-    return memory.groupBy("layer").agg(F.count("*").alias("n")).union(edge.agg(F.count("*").alias("n")).select(F.lit("edges"), "n"))
+def missed(hits: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, got): questions without a hit, and the first references they got."""
+    lost = judge(hits, questions).where("hit = 0").select("query_id")
+    got = hits.where(F.col("position") <= most).groupBy("query_id")
+    got = got.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "source_ref"))), lambda x: x["source_ref"]).alias("got"))
+    return lost.join(got, "query_id", "left").select("query_id", F.coalesce("got", F.array().cast("array<string>")).alias("got"))
+
+
+def phrasings(questions: DataFrame) -> DataFrame:
+    """One row for each way a question is put: (query_id, id, q, expect, reject)."""
+    also = F.col("also") if "also" in questions.columns else F.lit(None).cast("string")
+    put = questions.select("id", "expect", "reject", F.explode(F.array("ask", also)).alias("q")).where("q is not null")
+    return put.select(F.xxhash64("id", "q").alias("query_id"), "id", "q", "expect", "reject")
+
+
+def stats(memory: DataFrame, relations: list[DataFrame], vector: DataFrame) -> DataFrame:
+    """(layer, n): memories by layer, edges of all kinds, and memories with a vector."""
+    out = memory.groupBy("layer").agg(F.count("*").alias("n"))
+    ends = [r.select(F.lit(1).alias("one")) for r in relations]
+    every = ends[0]
+    for e in ends[1:]:
+        every = every.unionByName(e)
+    out = out.union(every.agg(F.count("*").alias("n")).select(F.lit("edges"), "n"))
+    embedded = memory.join(vector.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("n"))
+    return out.union(embedded.select(F.lit("embedded"), "n"))
 
 
 def vector_spaces(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("model", F.size("embedding").cast("long").alias("dims"), "provider").agg(F.count("*").alias("n"))
 
 
-def doctor(memory: DataFrame, edge: DataFrame, about: DataFrame, vector: DataFrame) -> DataFrame:
-    """(name, n, status): one row a check."""
-    alive = live(memory)
+def doctor(memory: DataFrame, edge: DataFrame, about: DataFrame, vector: DataFrame, more: dict[str, DataFrame] | None = None, space: tuple[str, str] | None = None) -> DataFrame:
+    """(name, n, status): one row a check.
+
+    more: postings, symbol, calls, pending and journal, as far as there are any; space:
+    the model and provider in use.
+    """
+    alive, more = live(memory), more or {}
     counts = {
         "nodes": alive.agg(F.count("*").alias("n")),
         "edges": edge.agg(F.count("*").alias("n")),
@@ -44,7 +71,19 @@ def doctor(memory: DataFrame, edge: DataFrame, about: DataFrame, vector: DataFra
         "orphans": orphans(memory, edge, about).agg(F.count("*").alias("n")),
         "anchors": alive.where("coalesce(file_path, '') = ''").agg(F.count("*").alias("n")),
     }
+    if space is not None:
+        other = (F.col("model") != space[0]) | (F.col("provider") != space[1])
+        counts["model drift"] = vector.where(other).agg(F.count("*").alias("n"))
+    if "postings" in more:
+        text = memory.where(F.concat_ws("", "title", "body").rlike("[A-Za-z0-9]")).select("id")
+        counts["keyword index"] = text.join(more["postings"].select("id").distinct(), "id", "left_anti").agg(F.count("*").alias("n"))
+    for name in ("symbol", "calls", "pending", "journal"):
+        if name in more:
+            counts[{"symbol": "code reader", "calls": "code graph", "pending": "unresolved calls"}.get(name, name)] = more[name].agg(F.count("*").alias("n"))
     status = {
+        "model drift": F.when(F.col("n") == 0, "ok").otherwise("warn"),
+        "keyword index": F.when(F.col("n") == 0, "ok").otherwise("fail"),
+        "journal": F.when(F.col("n") == 0, "ok").otherwise("warn"),
         "nodes": F.when(F.col("n") > 0, "ok").otherwise("warn"),
         "spaces": F.when(F.col("n") <= 1, "ok").otherwise("warn"),
         "orphans": F.when(F.col("n") == 0, "ok").otherwise("warn"),

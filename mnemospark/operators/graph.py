@@ -180,8 +180,9 @@ def orphans(memory: DataFrame, edge: DataFrame, about: DataFrame) -> DataFrame:
     return live(memory).where("layer <> 'artifact'").join(ends, "id", "left_anti").select("id", "layer")
 
 
-def symbol_map(symbol: DataFrame, calls: DataFrame, about: DataFrame, memory: DataFrame, prefix: str = "") -> DataFrame:
-    """Files and symbols under a prefix with what they call, who calls them and their memories."""
+def symbol_map(symbol: DataFrame, calls: DataFrame, about: DataFrame, memory: DataFrame, prefix: str = "", inherits: DataFrame | None = None) -> DataFrame:
+    """Files and symbols under a prefix with what they call, who calls them, what they
+    inherit and their memories."""
     inside = symbol.where(F.col("file_path").startswith(prefix))
     names = symbol.select("id", "name")
     to = calls.join(names.withColumnRenamed("id", "dst").withColumnRenamed("name", "n"), "dst").groupBy(F.col("src").alias("id"))
@@ -190,10 +191,17 @@ def symbol_map(symbol: DataFrame, calls: DataFrame, about: DataFrame, memory: Da
     out = inside.join(to.agg(F.collect_set("n").alias("calls")), "id", "left")
     out = out.join(by.agg(F.collect_set("n").alias("called_by")), "id", "left")
     out = out.join(mem.agg(F.collect_set("memory_id").alias("memories")), "id", "left")
+    lists = ["calls", "called_by", "memories"]
+    if inherits is not None:
+        base = inherits.join(names.withColumnRenamed("id", "dst").withColumnRenamed("name", "n"), "dst").groupBy(F.col("src").alias("id"))
+        out, lists = out.join(base.agg(F.collect_set("n").alias("inherits")), "id", "left"), [*lists, "inherits"]
     empty = F.array().cast("array<string>")
-    return out.select(
-        "file_path", "id", "name", "kind", *[F.array_sort(F.coalesce(c, empty)).alias(c) for c in ("calls", "called_by", "memories")]
-    )
+    return out.select("file_path", "id", "name", "kind", *[F.array_sort(F.coalesce(c, empty)).alias(c) for c in lists])
+
+
+def import_map(imports: DataFrame, prefix: str = "") -> DataFrame:
+    """(src_path, dst_path, module): imports with either end under a prefix."""
+    return imports.where(F.col("src_path").startswith(prefix) | F.col("dst_path").startswith(prefix)).select("src_path", "dst_path", "module").distinct()
 
 
 def map_counts(symbol: DataFrame, calls: DataFrame, prefix: str) -> DataFrame:
@@ -235,6 +243,23 @@ def changes(memory: DataFrame, edge: DataFrame, symbol: DataFrame, calls: DataFr
     return out.select("file_path", "via", "k", "id", "layer", "omitted", F.coalesce("contested", F.lit(False)).alias("contested"))
 
 
+def coverage(changed: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_path, covered, contested): whether anything is recorded about each changed
+    file (rows of ``changes``), and how many anchored memories shown for it are contested."""
+    anchored = (F.col("via") == "anchored") & F.col("contested")
+    per = changed.groupBy("file_path").agg(F.count_if(anchored).alias("contested"))
+    out = files.select("file_path").distinct().join(per.withColumn("covered", F.lit(True)), "file_path", "left")
+    return out.select("file_path", F.coalesce("covered", F.lit(False)).alias("covered"), F.coalesce("contested", F.lit(0)).alias("contested"))
+
+
+def viewer_omitted(memory: DataFrame, symbol: DataFrame, shown: DataFrame) -> DataFrame:
+    """(kind, omitted): what a viewer's budget left out, by kind."""
+    m = live(memory).select("id", F.when(F.col("layer") == "artifact", "chunks").otherwise("recorded memories").alias("kind"))
+    every = m.unionByName(symbol.select("id", F.lit("declarations").alias("kind")))
+    left = every.join(shown.select("id", F.lit(1).alias("seen")), "id", "left")
+    return left.groupBy("kind").agg(F.count_if(F.col("seen").isNull()).alias("omitted"))
+
+
 def viewer_nodes(memory: DataFrame, symbol: DataFrame, calls: DataFrame, about: DataFrame, budget: int = 3000) -> DataFrame:
     """Nodes of the viewer under a budget: judged memories, then symbols by degree, then artifacts."""
     ends = calls.select(F.col("src").alias("id")).union(calls.select("dst")).union(about.select("symbol_id"))

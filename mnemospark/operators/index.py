@@ -18,6 +18,22 @@ def build_postings(memory: DataFrame) -> DataFrame:
     return term_rows(memory.select("id", F.concat_ws("\n", "title", "body").alias("text")), "id", "text")
 
 
+def encode_postings(postings: DataFrame) -> DataFrame:
+    """(term, encoded): a term's postings as id:tf:length, joined by spaces, for export.
+    A common term makes a long value: the engine itself keeps pair rows."""
+    one = F.concat_ws(":", "id", F.col("tf").cast("string"), F.col("doc_len").cast("string"))
+    return postings.groupBy("term").agg(F.array_join(F.array_sort(F.collect_list(one)), " ").alias("encoded"))
+
+
+def decode_postings(encoded: DataFrame) -> DataFrame:
+    """The rows again; parts without an id, a positive tf and a length are left out."""
+    part = encoded.select("term", F.explode(F.split("encoded", " ")).alias("part"))
+    found = part.select("term", F.regexp_extract("part", r"^(.+):([^:]*):([^:]*)$", 1).alias("id"), *[
+        F.regexp_extract("part", r"^(.+):([^:]*):([^:]*)$", i).try_cast("long").alias(c) for i, c in ((2, "tf"), (3, "doc_len"))
+    ])
+    return found.where("id <> '' and tf > 0 and doc_len is not null").select("id", "term", "tf", "doc_len")
+
+
 def doc_lengths(postings: DataFrame) -> DataFrame:
     return postings.groupBy("id").agg(F.first("doc_len").alias("doc_len"))
 

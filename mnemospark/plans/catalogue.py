@@ -436,6 +436,23 @@ def map_symbols(spark, d):
     return found.select("file_path", "id", "name", "kind", *[F.array_join(c, ",").alias(c) for c in ("calls", "called_by", "memories")])
 
 
+_INHERITS = "select a.id as src, b.id as dst from symbol a join symbol b on b.doc_id = a.doc_id * 3 + 1"
+
+
+@query("map_inherits", oracle("symbol", f"inherits as ({_INHERITS})", "select s.id, coalesce((select string_agg(distinct y.name, ',' order by y.name) from inherits i join symbol y on y.id = i.dst where i.src = s.id), '') as inherits from symbol s where s.file_path like 'src%'"))
+def map_inherits(spark, d):
+    s = view(spark, d, "symbol")
+    inherits = spark.sql(_INHERITS.replace("from symbol", "from {s}").replace("join symbol", "join {s}"), s=s)
+    found = graph.symbol_map(s, view(spark, d, "calls"), view(spark, d, "about"), view(spark, d, "memory"), "src", inherits)
+    return found.select("id", F.array_join("inherits", ",").alias("inherits"))
+
+
+@query("map_imports", "select distinct source as src_path, 'src' || (doc_id % 20) as dst_path, lang as module from documents where starts_with(source, 'src1') or (doc_id % 20) // 10 = 1 or doc_id % 20 = 1")
+def map_imports(spark, d):
+    rows = docs(spark, d).select(F.col("source").alias("src_path"), F.concat(F.lit("src"), F.col("doc_id") % 20).alias("dst_path"), F.col("lang").alias("module"))
+    return graph.import_map(rows, "src1")
+
+
 @query("crossing_prefix", oracle("symbol calls", """select (select count(distinct file_path) from symbol where file_path like 'src1%') as files,
     (select count(distinct id) from symbol where file_path like 'src1%') as symbols,
     count(*) filter (a.file_path like 'src1%' or b.file_path like 'src1%') as calls, count(*) filter ((a.file_path like 'src1%') <> (b.file_path like 'src1%')) as crossing
@@ -473,6 +490,37 @@ def changes(spark, d):
     return graph.changes(*v, _changed(spark, d)).select("file_path", "via", F.col("k").cast("long").alias("k"), "id", "contested")
 
 
+_CHANGED_CTES = (_LIVE, _DECLARED, _IMPACT,
+    "touched as (select src as id from declared union select dst from declared)",
+    f"own as (select * from (select *, max((layer <> 'artifact')::int) over (partition by file_path) as better from alive where {_FILES}) x where layer <> 'artifact' or better = 0)",
+    f"own_k as (select *, row_number() over (partition by file_path order by {_RANK}, importance desc, id) as k from own)",
+    "via as (select distinct i.file_path, a.id from impact i join about b on b.symbol_id = i.caller join alive a on a.id = b.memory_id where a.layer <> 'artifact')")
+
+
+@query("changes_coverage", oracle("memory edge symbol calls about", *_CHANGED_CTES,
+    f"files as (select distinct file_path from symbol where doc_id % 10 = 0 union select 'new/' || file_path from symbol where doc_id % 10 = 0)",
+    """select f.file_path, f.file_path in (select file_path from own_k union select file_path from via) as covered,
+    (select count(*) from own_k o where o.file_path = f.file_path and k <= 5 and id in (select id from touched)) as contested from files f"""))
+def changes_coverage(spark, d):
+    v = [view(spark, d, n) for n in ("memory", "edge", "symbol", "calls", "about")]
+    files = _changed(spark, d)
+    files = files.unionByName(files.select(F.concat(F.lit("new/"), "file_path").alias("file_path")))
+    return graph.coverage(graph.changes(*v, files), files)
+
+
+@query("contested_count", oracle("memory edge symbol calls about", *_CHANGED_CTES, "select count(*) as contested from own_k where k <= 5 and id in (select id from touched)"))
+def contested_count(spark, d):
+    return changes_coverage(spark, d).agg(F.sum("contested").alias("contested"))
+
+
+@query("viewer_omitted", oracle("memory symbol calls about", _LIVE, "deg as (select id, count(*) as n from (select src as id from calls union all select dst from calls union all select symbol_id from about) e group by id)",
+    """every as (select s.id, 'symbol' as kind, 1 as tier, coalesce(n, 0)::double as w, 'declarations' as label from symbol s left join deg on deg.id = s.id
+    union all select id, 'memory', case when layer = 'artifact' then 2 else 0 end, importance, case when layer = 'artifact' then 'chunks' else 'recorded memories' end from alive)""",
+    "select label as kind, count(*) filter (k > 1500) as omitted from (select *, row_number() over (order by tier, w desc, id) as k from every) x group by label"))
+def viewer_omitted(spark, d):
+    return graph.viewer_omitted(view(spark, d, "memory"), view(spark, d, "symbol"), viewer_nodes(spark, d))
+
+
 @query("viewer_nodes", oracle("memory symbol calls about", _LIVE, "deg as (select id, count(*) as n from (select src as id from calls union all select dst from calls union all select symbol_id from about) e group by id)",
     """every as (select s.id, 'symbol' as kind, 1 as tier, coalesce(n, 0)::double as w from symbol s left join deg on deg.id = s.id
     union all select id, 'memory', case when layer = 'artifact' then 2 else 0 end, importance from alive)""",
@@ -499,6 +547,15 @@ def _sites(spark, d):
     return view(spark, d, "calls").join(own, "src").select(F.concat("src", F.lit(">"), "dst").alias("site_id"), "file_path", "line", "name", "src")
 
 
+@query("chunk_declarations", oracle("memory symbol", """chunks as (select id, file_path, unnest([1, 11, 21, 31]) as first from memory where layer = 'artifact'),
+    s as (select id, file_path, doc_id % 50 as start_line from symbol)""",
+    "select distinct c.id as memory_id, s.id as symbol_id from chunks c join s on s.file_path = c.file_path and s.start_line between first and first + 9"))
+def chunk_declarations(spark, d):
+    m = view(spark, d, "memory").where("layer = 'artifact'")
+    chunks = m.select(F.col("id").alias("memory_id"), "file_path", F.explode(F.array(*map(F.lit, (1, 11, 21, 31)))).alias("first")).withColumn("last", F.col("first") + 9)
+    return code.chunk_anchors(chunks, view(spark, d, "symbol").withColumn("start_line", F.col("doc_id") % 50))
+
+
 @query("enclosing_declaration", oracle("symbol calls", _SITES, """select site_id, id as symbol_id from (select site_id, y.id,
     row_number() over (partition by site_id order by end_line - start_line, start_line, y.id) as k from sites join symbol y on y.file_path = sites.file_path and line between start_line and end_line) x where k = 1"""))
 def enclosing_declaration(spark, d):
@@ -702,9 +759,11 @@ def eval_recall(spark, d):
     return evaluation.recall(judged).select("n", "hits", r6("low").alias("low"), r6("high").alias("high"))
 
 
-@query("layer_stats", oracle("memory edge", "select layer, count(*) as n from memory group by layer union all select 'edges', count(*) from edge"))
+@query("layer_stats", oracle("memory edge symbol calls about vector", """select layer, count(*) as n from memory group by layer
+    union all select 'edges', (select count(*) from edge) + (select count(*) from about) + (select count(*) from calls)
+    union all select 'embedded', count(*) from memory where id in (select id from vector)"""))
 def layer_stats(spark, d):
-    return evaluation.stats(view(spark, d, "memory"), view(spark, d, "edge"))
+    return evaluation.stats(view(spark, d, "memory"), [view(spark, d, n) for n in ("edge", "about", "calls")], view(spark, d, "vector"))
 
 
 @query("vector_spaces", oracle("vector", "select model, cast(len(embedding) as bigint) as dims, provider, count(*) as n from vector group by 1, 2, 3"))

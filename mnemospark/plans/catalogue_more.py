@@ -249,6 +249,38 @@ def memories_of_symbols(spark, d):
     return s.join(mine, "symbol_id", "left").groupBy("symbol_id").agg(F.count("memory_id").alias("memories"))
 
 
+@query("posting_codec", oracle("memory", POSTINGS, "select term, string_agg(id || ':' || tf || ':' || doc_len, ' ' order by id || ':' || tf || ':' || doc_len) as encoded, count(*) as decoded from postings group by term"))
+def posting_codec(spark, d):
+    """Encoded postings, and how many rows come back from them."""
+    coded = stored(index.encode_postings(index.build_postings(view(spark, d, "memory"))), "encoded")
+    return coded.join(index.decode_postings(coded).groupBy("term").agg(F.count("*").alias("decoded")), "term")
+
+
+@query("content_hashes", "select doc_id, sha256(text) as hash, left(sha256(text), 16) as short from documents")
+def content_hashes(spark, d):
+    return docs(spark, d).select("doc_id", sc.content_hash(F.col("text")).alias("hash"), sc.short_hash(F.col("text")).alias("short"))
+
+
+_WRITTEN = """select doc_id, case doc_id % 6 when 0 then ' a.b::' || lang || '?' when 1 then source || '<T, U>' when 2 then 'x.' || doc_id when 3 then '$' || source || '-by-id'
+ when 4 then left(text, 20) else source || '.' || lang || '!' end as written from documents"""
+
+
+@query("clean_identifiers", f"""select doc_id, case when regexp_full_match(last, '[A-Za-z_$][A-Za-z0-9_$-]{{0,126}}[?!]?') then last end as name
+ from (select doc_id, string_split_regex(regexp_replace(trim(written), '(?s)<.*$', ''), '[.:]')[-1] as last from ({_WRITTEN}) x) y""")
+def clean_identifiers(spark, d):
+    return spark.sql(_WRITTEN.replace("from documents", "from {t}"), t=docs(spark, d)).select("doc_id", sc.clean_identifier(F.col("written")).alias("name"))
+
+
+@query("missed_questions", oracle(_ALL, *SEARCH, branches(), _page(10, 0), "refs as (select c.query_id, c.position, m.source_ref as r from cut c join memory m on m.id = c.id)",
+    "lost as (select q.query_id from query q left join refs on refs.query_id = q.query_id and refs.position <= 5 group by q.query_id having coalesce(max(contains(r, 'src1/')::int), 0) = 0)",
+    "select l.query_id, coalesce(string_agg(r, '|' order by position) filter (position <= 3), '') as got from lost l left join refs on refs.query_id = l.query_id group by 1"))
+def missed_questions(spark, d):
+    q = view(spark, d, "query")
+    hits = retrieval.search(tables(spark, d), q, retrieval.Options(limit=10, now=NOW))
+    asked = q.select("query_id", F.array(F.lit("src1/")).alias("expect"), F.array().cast("array<string>").alias("reject"))
+    return evaluation.missed(hits, asked).select("query_id", F.array_join("got", "|").alias("got"))
+
+
 @query("receiver_types", oracle("symbol", "select file_path, name, min(kind) as type from (select split_part(file_path, '/', 1) as file_path, left(name, 2) as name, kind from symbol) x group by 1, 2 having count(distinct kind) = 1"))
 def receiver_types(spark, d):
     b = view(spark, d, "symbol").select(F.split_part("file_path", F.lit("/"), F.lit(1)).alias("file_path"), F.left("name", F.lit(2)).alias("name"), F.col("kind").alias("type"))

@@ -140,6 +140,33 @@ def read_files(spark: SparkSession, root: str, most: int = MOST_BYTES) -> DataFr
     )
 
 
+def read_named(spark: SparkSession, root: str, name: str, most: int = MOST_BYTES) -> DataFrame:
+    """The same row for one file that is named outright, under the root or the working
+    folder: the walk's policy doesn't hold for it, but it must be text."""
+    base = Path(root.removeprefix("file://"))
+    for path in (base / name, Path(name)):
+        if path.is_file():
+            break
+    else:
+        raise FileNotFoundError(f"no file {name}")
+    inside = path.resolve().is_relative_to(base.resolve())
+    shown = str(path.resolve().relative_to(base.resolve()) if inside else path).replace(os.sep, "/")
+    raw = path.read_bytes() if path.stat().st_size <= most else path.open("rb").read(SNIFFED)
+    row = spark.createDataFrame([(shown, raw, path.stat().st_size)], "path string, raw binary, length long")
+    head = F.hex(F.substring("raw", 1, F.lit(SNIFFED)))
+    reason = F.when(head.rlike("^(?:..)*?00"), "not text").when(F.col("length") > most, "too large")
+    return row.withColumn("reason", reason).select(
+        "path", "length", "reason", F.when(F.col("reason").isNull(), F.decode("raw", "UTF-8")).alias("content"),
+        F.concat(F.lit(f"{CHUNKER_VERSION}:"), F.sha2("raw", 256)).alias("stamp"),
+    )
+
+
+def folder_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(files, bytes) of a folder and all below it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    return found.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def skip_report(files: DataFrame) -> DataFrame:
     out = files.where("reason is not null").groupBy("reason")
     return out.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))

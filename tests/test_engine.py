@@ -201,6 +201,41 @@ def test_ingest_in_steps_equals_ingest_at_once(spark, tmp_path):
     assert state(once) == state(steps)
 
 
+def test_a_named_file_is_read_whatever_the_policy(spark, tmp_path):
+    root = tmp_path / "repo"
+    repo_of(root, {"a.py": "def one():\n    return 1\n", "node_modules/x.py": "def two():\n    return one()\n", "x.bin": "a\0b"})
+    engine = MemoryEngine(spark, f"file://{tmp_path}/store", now=NOW)
+    engine.ingest(str(root))
+    engine.ingest(str(root), named="node_modules/x.py")
+    assert {r.name for r in engine.table("symbol").collect()} == {"one", "two"} and engine.table("calls").count() == 1
+    assert engine.ingest(str(root), named="x.bin")["files"] == 0
+    with pytest.raises(FileNotFoundError):
+        engine.ingest(str(root), named="none.py")
+    assert engine.size().first().bytes > 0 and {r.layer: r.n for r in engine.stats().collect()}["edges"] >= 3
+    got = {r.file_path: r.covered for r in engine.coverage(["a.py", "zzz.py"]).collect()}
+    assert got == {"a.py": True, "zzz.py": False}
+    assert {r.name: r.status for r in engine.doctor().collect()}["keyword index"] == "ok"
+
+
+def test_an_older_layout_is_migrated(engine, monkeypatch):
+    import mnemospark.engine as module
+
+    assert not engine.migrate()
+    before = {(r.id, r.term) for r in engine.table("postings").collect()}
+    monkeypatch.setattr(module, "LAYOUT", "3")
+    assert engine.migrate() and not engine.migrate()
+    assert {(r.id, r.term) for r in engine.table("postings").collect()} == before and engine.table("memory").count() == 4
+
+
+def test_questions_put_in_two_ways(engine, spark):
+    rows = [("1", "declined card", "retry card", ["src/pay.py"], ["docs/ops.md"]), ("2", "zebra", None, ["nowhere"], None)]
+    questions = spark.createDataFrame(rows, "id string, ask string, also string, expect array<string>, reject array<string>")
+    got = {r.configuration: (r.n, r.hits) for r in engine.evaluate(questions).collect()}
+    assert got["all"] == (3, 2)
+    lost = engine.missed(questions).collect()
+    assert [(r.id, r.q) for r in lost] == [("2", "zebra")]
+
+
 def test_versions_share_tables_and_the_second_writer_fails(engine):
     from py4j.protocol import Py4JJavaError
 
@@ -248,7 +283,65 @@ def test_other_languages_have_imports_and_containers():
 
 def test_braced_languages_have_declarations():
     found = chunking.declarations("x.ts", "export class Order {\n  get() {}\n}\nfunction pay(a) {\n  return a\n}\n")
-    assert [(n, s, e) for n, _, s, e in found] == [("Order", 1, 3), ("pay", 4, 6)]
+    assert [(n, s, e) for n, _, s, e in found] == [("Order", 1, 3), ("pay", 4, 6), ("Order.get", 2, 2)]
+
+
+TYPESCRIPT = """import { Base } from './base'
+// helper(1) in a comment
+export class Payment extends Base implements Payable, Logged {
+  constructor(private store: Store) {}
+  async retry(card: Card): Promise<void> {
+    const p = new Payment("x()")
+    if (card.valid()) { helper(card) }
+    return p.settle(this.store)
+  }
+}
+function helper(card: Card) {
+  return card
+}
+"""
+JAVA = """package shop.pay;
+import shop.core.Ledger;
+public class Order extends Base implements Payable {
+    private Ledger ledger;
+    public void pay(Card card) throws IOException {
+        Ledger book = new Ledger();
+        book.enter(card);
+        audit();
+    }
+}
+"""
+GO = """package main
+type Order struct {
+	id int
+}
+func (o *Order) Pay(book Ledger) error {
+	l := &Ledger{}
+	l.Enter(o.id)
+	return audit(book)
+}
+func audit(book Ledger) error {
+	return nil
+}
+"""
+
+
+def test_calls_and_heritage_of_languages_with_braces():
+    def of(name, source):
+        rows = chunking.relations(name, source)
+        return {(n, r, t, c) for k, n, r, t, c, _ in rows if k == "call"}, {(n, r) for k, n, r, *_ in rows if k == "inherits"}
+
+    calls, bases = of("a.ts", TYPESCRIPT)
+    assert bases == {("Base", "Payment"), ("Payable", "Payment"), ("Logged", "Payment")}
+    assert calls == {("Payment", None, None, True), ("valid", "card", "Card", False), ("helper", None, None, False), ("settle", "p", "Payment", False)}
+    assert {n for n, *_ in chunking.declarations("a.ts", TYPESCRIPT)} == {"Payment", "helper", "Payment.retry"}
+    calls, bases = of("Order.java", JAVA)
+    assert bases == {("Base", "Order"), ("Payable", "Order")}
+    assert calls == {("Ledger", None, None, True), ("enter", "book", "Ledger", False), ("audit", None, None, False)}
+    assert {n for n, *_ in chunking.declarations("Order.java", JAVA)} == {"Order", "Order.pay"}
+    calls, _ = of("main.go", GO)
+    assert calls == {("Enter", "l", "Ledger", False), ("audit", None, None, False)}
+    assert {n for n, *_ in chunking.declarations("main.go", GO)} == {"Order", "Order.Pay", "audit"}
 
 
 def test_sessions_and_related(engine):
@@ -270,6 +363,10 @@ def test_command_line(engine, spark, capsys):
     assert main([engine.root, "link", "a", "NOTHING", "b"], spark) == 1
     assert main([engine.root, "fly"], spark) == 2
     assert main([engine.root, "doctor"], spark) == 0
+    book = f"{engine.root.removeprefix('file://')}/registry.json"
+    assert main([engine.root, "register", "one", "/nowhere", "--registry", book], spark) == 0
+    assert main([engine.root, "list", "--registry", book], spark) == 0 and "/nowhere" in capsys.readouterr().out
+    assert main([engine.root, "forget", "/elsewhere", "--registry", book], spark) == 1
 
 
 def test_registry(spark, tmp_path):
