@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from mnemospark.llm.common import prepare, table
+from mnemospark.llm.common import discard, prepare, stored, table
 
 WINDOW = 10
 #: Words of documents that one FM-index covers (a longer document is one shard).
@@ -242,10 +242,17 @@ def find_spans(
             "items": F.array().cast("array<string>"),
         }
     )
+    before = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
         df = _search(df, phrases, text, cut and k == blocks - 1)
+        if k < blocks - 1:  # one block's phrases at a time, here and on the executors
+            df = stored(df, "searched")
+            phrases.destroy()
+            if before is not None:
+                discard(before)
+            before = df
     return df
 
 

@@ -6,7 +6,7 @@ import random
 
 import corpus_pipeline
 from mnemospark.llm import mixing, quality_rules, substrings
-from tests.llm.test_operators import brute_components, brute_hits, brute_removed, brute_sets
+from tests.llm.test_operators import SCHEMA, brute_components, brute_hits, brute_removed, brute_sets, odd_rows
 
 
 def corpus():
@@ -46,3 +46,17 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert got[23]["size"] == 80 and got[24]["size"] == 70
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.STAGES[-1][1] is mixing.mix_stage
     assert substrings.THRESHOLD == 20
+
+
+def test_pipeline_of_odd_and_of_no_documents(spark, tmp_path):
+    for name, rows in (("odd", odd_rows()), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, None), (None, "x"), (2, "")] if rows else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        got = corpus_pipeline.run(spark, folder).collect()
+        ids = [r.doc_id for r in got]
+        assert set(ids) <= {r[0] for r in rows} and (rows or not ids) and not {1, 2, 3} & set(ids)
