@@ -60,7 +60,7 @@ def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
 
 
 def matches(postings: DataFrame, terms: DataFrame, totals: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, overlap, terms): every document that shares a term.
+    """(query_id, id, score, overlap): every document that shares a term.
 
     totals: the one row of ``index_stats`` as stored with the postings; without it, it
     is summed up for this batch.
@@ -73,10 +73,18 @@ def matches(postings: DataFrame, terms: DataFrame, totals: DataFrame | None = No
     return (
         hit.withColumn("s", score)
         .groupBy("query_id", "id")
-        .agg(F.sum("s").alias("score"), F.count("*").alias("overlap"), F.array_sort(F.collect_set("term")).alias("terms"))
+        .agg(F.sum("s").alias("score"), F.count("*").alias("overlap"))
     )
 
 
+def matched_terms(hits: DataFrame, postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, id, terms): the query terms that each hit shares, of the hits of a page
+    only (all that match would be far more rows than anyone reads)."""
+    here = postings.join(small(hits.select("id").distinct()), "id", "left_semi").join(small(terms), "term")
+    shared = here.join(hits.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi")
+    return shared.groupBy("query_id", "id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+
 def top(df: DataFrame, most: int, *order, by: str = "query_id") -> DataFrame:
     """The first rows of each query with their 1-based rank; Spark cuts each
     partition to the limit before the shuffle."""

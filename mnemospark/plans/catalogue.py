@@ -163,6 +163,14 @@ def bm25_topk(spark, d):
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), r6("score").alias("score"))
 
 
+@query("matched_terms", oracle("memory query", *SEARCH, f"best as (select query_id, id from {top('matched', 20, 'round(score, 9) desc, id')} x)",
+    "select b.query_id, b.id, string_agg(q.term, ' ' order by q.term) as terms from best b join qterm q on q.query_id = b.query_id join postings p on p.id = b.id and p.term = q.term group by 1, 2"))
+def matched_terms(spark, d):
+    t, q = stored(index.build_postings(view(spark, d, "memory")), "postings"), index.query_terms(view(spark, d, "query"))
+    found = index.matched_terms(index.bm25(index.matches(t, q), 20), t, q)
+    return found.select("query_id", "id", F.array_join("terms", " ").alias("terms"))
+
+
 @query("term_overlap", oracle("memory query", *SEARCH, f"select query_id, id, rank, overlap from {top('matched', 60, 'overlap desc, id')} x"))
 def term_overlap(spark, d):
     t = stored(index.build_postings(view(spark, d, "memory")), "postings")
