@@ -389,10 +389,23 @@ def clusters_query(spark, d):
     return graph.clusters(view(spark, d, "edge"), view(spark, d, "memory"))
 
 
-@query("cluster_report")
+#: Clusters by source, and an author that every third memory of a source is derived from.
+_GIVEN = "select id, min(id) over (partition by split_part(file_path, '/', 1)) as cluster, count(*) over (partition by split_part(file_path, '/', 1)) as n from memory"
+_AUTHORS = "select 'sum_' || split_part(file_path, '/', 1) as src, id as dst, 'DERIVED_FROM' as type from memory where doc_id % 3 = 0"
+
+
+@query("cluster_report", oracle("memory", f"labels as ({_GIVEN})", f"authors as ({_AUTHORS})", "m as (select l.cluster, l.n, memory.* from labels l join memory on memory.id = l.id)",
+    f"reps as (select cluster, string_agg(id, ',' order by rank) as r from {top('m', 5, 'importance desc, created_at desc, id', 'cluster, id', 'cluster')} x group by cluster)",
+    "t_text as (select id, title as text from memory)", terms("t_terms", "t_text"),
+    "df as (select cluster, term, count(distinct t.id) as df from t_terms t join labels l on l.id = t.id where length(term) > 3 group by 1, 2 having count(distinct t.id) > 1)",
+    f"words as (select cluster, string_agg(term, ',' order by rank) as w from {top('df', 6, 'df desc, term', 'cluster, term', 'cluster')} x group by cluster)",
+    "au as (select cluster, src, count(distinct dst) as c from authors a join labels l on l.id = a.dst group by 1, 2 having count(distinct dst) >= 2)",
+    "select l.cluster, l.n, r as representatives, coalesce(w, '') as terms, (select src from au where au.cluster = l.cluster order by c desc, src desc limit 1) as summary from (select distinct cluster, n from labels) l left join reps using (cluster) left join words using (cluster)"))
 def cluster_report(spark, d):
-    m, e = view(spark, d, "memory"), view(spark, d, "edge")
-    return graph.cluster_report(stored(graph.clusters(e, m), "clusters"), m, e)
+    m = view(spark, d, "memory")
+    labels, authors = (spark.sql(q.replace("from memory", "from {m}"), m=m) for q in (_GIVEN, _AUTHORS))
+    found = graph.cluster_report(labels, m, authors)
+    return found.select("cluster", "n", F.array_join("representatives", ",").alias("representatives"), F.array_join(F.coalesce("terms", F.array()), ",").alias("terms"), "summary")
 
 
 _LIVE = "alive as (select * from memory where superseded_at is null)"
@@ -794,10 +807,19 @@ def budget_prefix(spark, d):
     return evaluation.within_budget(m.withColumn("rank", rank), "grp", sc.token_cost(F.col("title")), 200).select("grp", "id", "running")
 
 
-@query("hash_embedding")
+def _slot(i: int) -> str:
+    part, sign = f"substr(h, {1 + 8 * i}, 8)", f"substr(h, {17 + 2 * i}, 2)"
+    return f"select id, ('0x' || {part})::bigint % 384 as slot, case when ('0x' || {sign})::bigint % 2 = 1 then -w else w end as v from hashed"
+
+
+@query("hash_embedding", oracle("", "e_text as (select doc_id as id, text from documents)", terms("e_terms", "e_text"),
+    "hashed as (select id, sha1(term) as h, 1 + ln(count(*)) as w from e_terms group by id, term)",
+    f"e_vec as (select id, slot, sum(v) as v from ({_slot(0)} union all {_slot(1)}) x group by id, slot)",
+    "select id as doc_id, slot, round(v / n, 3) as value from e_vec join (select id, sqrt(sum(v * v)) as n from e_vec group by id) y using (id) where round(v / n, 3) <> 0"))
 def hash_embedding(spark, d):
-    found = embed_column(docs(spark, d), "doc_id", "text", HashEmbedder(64))
-    return found.select("doc_id", "dims", "model", F.round(F.sqrt(sc.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
+    found = embed_column(docs(spark, d), "doc_id", "text", HashEmbedder())
+    slots = found.select("doc_id", F.posexplode("embedding").alias("slot", "v"))
+    return slots.select("doc_id", F.col("slot").cast("long").alias("slot"), F.round(F.col("v").cast("double"), 3).alias("value")).where("value <> 0")
 
 
 @query("title_for", oracle("memory", "select id, split_part(file_path, '/', 1) || ' / ' || split_part(file_path, '/', 2) || ' (1/3)' as title from memory"))
