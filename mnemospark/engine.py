@@ -486,12 +486,20 @@ class MemoryEngine:
         # chunks that their file no longer gives go, or are superseded where something is linked to them
         ids = nodes.withColumns({"title": redact(F.col("title")), "body": redact(F.col("body"))}).select(sc.node_id(F.col("layer"), F.col("source_ref"), F.col("body")).alias("id"))
         old = retrieval.live(self.table("memory"), ("artifact",)).join(touched, "file_path", "left_semi").join(ids, "id", "left_anti").select("id")
+        old = stored(old, "old")
         # (of a vanished file, its declarations still count as such links)
         lost = self.table("symbol").join(vanished.select(F.col("path").alias("file_path")), "file_path", "left_semi")
         links = about.unionByName(self.table("about").join(lost.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi"))
         kept, postings, refused = mutations.delete_nodes(self.table("memory"), self.table("postings"), old, self.table("edge"), links)
+        refused = stored(refused, "refused")
         memory = stored(mutations.supersede(kept, refused, self.now), "memory")
         columns = [f.split()[0] for f in TABLES["calls"].split(", ")]
+        kinds = dict(map(tuple, relations.groupBy("kind").count().collect()))
+        out |= {
+            "symbols": symbols.count(), "call_sites": kinds.get("call", 0), "bases": kinds.get("inherits", 0), "imports": imported.count(),
+            "calls_resolved": fresh.count(), "bases_resolved": based.count(), "calls_open": left.count(), "calls_reopened": opened.count(),
+            "chunks": nodes.count(), "chunks_superseded": refused.count(), "chunks_deleted": old.count() - refused.count(),
+        }
         with self.transaction():
             self.commit({"memory": memory, "postings": postings, "symbol": stored(symbol, "symbol"), "about": about, "file": state, "imports": imports,
                          "calls": calls.select(*columns).unionByName(fresh.select(*columns)), "pending": untried.unionByName(left), "inherits": inherits})

@@ -77,9 +77,9 @@ def visible_reasoning(spark, d):
 
 _SKIP = """select path, case when regexp_matches(path, '(^|/)(node_modules|vendor|dist)/') then 'skipped folder'
  when regexp_matches(path, '[.](svg|csv)$') then 'only when named' when regexp_matches(path, '[.](png|pdf)$') then 'binary'
- when regexp_matches(path, '[.](lock|log)$') then 'secret or bookkeeping' when n > 5000 then 'too large' end as reason
+ when regexp_matches(path, '[.](lock|log)$') then 'secret or bookkeeping' when doc_id % 13 = 0 then 'not text' when n > 5000 then 'too large' end as reason
 from (select source || (case doc_id % 5 when 0 then '/vendor' when 1 then '/dist' else '' end) || '/doc_' || doc_id ||
- (case doc_id % 7 when 0 then '.md' when 1 then '.svg' when 2 then '.png' when 3 then '.lock' when 4 then '.csv' else '.py' end) as path, octet_length(encode(text)) as n from documents) f"""
+ (case doc_id % 7 when 0 then '.md' when 1 then '.svg' when 2 then '.png' when 3 then '.lock' when 4 then '.csv' else '.py' end) as path, octet_length(encode(text)) + (doc_id % 13 = 0)::int as n, doc_id from documents) f"""
 
 
 def _policy(spark, d):
@@ -87,7 +87,9 @@ def _policy(spark, d):
     ending = F.lit(".py")
     for k, e in enumerate((".md", ".svg", ".png", ".lock", ".csv")):
         ending = F.when(F.col("doc_id") % 7 == k, e).otherwise(ending)
-    rows = docs(spark, d).select(F.concat("source", folder, F.lit("/doc_"), "doc_id", ending).alias("path"), F.encode("text", "UTF-8").alias("raw"))
+    text = F.encode("text", "UTF-8")  # of every 13th, with a zero byte inside
+    raw = F.when(F.col("doc_id") % 13 == 0, F.concat(F.substring(text, 1, F.lit(7)), F.lit(b"\0"), F.substring(text, 8, F.lit(1 << 30)))).otherwise(text)
+    rows = docs(spark, d).select(F.concat("source", folder, F.lit("/doc_"), "doc_id", ending).alias("path"), raw.alias("raw"))
     size = F.octet_length("raw")
     return rows.select("path", size.alias("length"), src.skip_reason(F.col("path"), size, F.col("raw"), [], 5000).alias("reason"))
 
@@ -125,6 +127,24 @@ def folded_terms(spark, d):
     return term_rows(words.withColumn("text", F.col("id")), "id", "text").select("id", "term", "tf")
 
 
+_UNSPACED = "select doc_id as id, translate(cast(doc_id as string), '0123456789', '記憶層設計決定支付失') as text from documents"
+
+
+@query("unspaced_terms", f"""select id, term, count(*) as tf from (select id, substr(text, i, 2) as term from (select id, text, unnest(range(1, greatest(length(text), 2))) as i from ({_UNSPACED}) x) y) z group by 1, 2""")
+def unspaced_terms(spark, d):
+    rows = spark.sql(_UNSPACED.replace("from documents", "from {t}"), t=docs(spark, d))
+    return term_rows(rows, "id", "text").select("id", "term", "tf")
+
+
+@query("container_imports", oracle("symbol", """f as (select distinct file_path as path, 'pkg.c' || (doc_id % 601) as container from symbol), i as (select file_path as from_path, 'pkg.c' || (doc_id * 3 % 601) || '.Type' || (doc_id % 2) as module from symbol)""",
+    "select from_path, module, min(path) as path from i join f on starts_with(module, container || '.') group by 1, 2 having count(distinct path) = 1"))
+def container_imports(spark, d):
+    s = view(spark, d, "symbol")
+    files = s.select(F.col("file_path").alias("path"), F.concat(F.lit("pkg.c"), F.col("doc_id") % 601).alias("container")).distinct()
+    module = F.concat(F.lit("pkg.c"), F.col("doc_id") * 3 % 601, F.lit(".Type"), F.col("doc_id") % 2)
+    return code.resolve_imports(s.select(F.col("file_path").alias("from_path"), module.alias("module")), files)
+
+
 @query("recency_scores", oracle("memory", f"select id, round(0.5::double * (case when importance = 0 then 1 else importance end) * ({decay()}), 6) as score from memory"))
 def recency_scores(spark, d):
     m = view(spark, d, "memory")

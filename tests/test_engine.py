@@ -135,7 +135,8 @@ def test_ingest_is_incremental_and_resolves_calls(spark, tmp_path):
     assert why["package-lock.json"] == "secret or bookkeeping" and why["blob.txt"] == "not text" and why[".hidden/x.md"] == "dot folder"
     assert why["a.skip"] == "ignored"
     engine = MemoryEngine(spark, f"file://{tmp_path}/store", now=NOW)
-    assert engine.ingest(str(root))["files"] >= 4
+    report = engine.ingest(str(root))
+    assert report["files"] >= 4 and report["symbols"] >= 4 and report["calls_resolved"] >= 2 and report["chunks"] > 3 and report["chunks_deleted"] == 0
     calls = {(r.src.rpartition(":")[2], r.name, r.confidence) for r in engine.table("calls").collect()}
     assert ("Payment.retry", "helper", "unique") in calls and ("local", "retry", "type") in calls
     assert {r.name for r in engine.table("symbol").collect()} >= {"Payment", "retry", "local", "helper"}
