@@ -54,6 +54,8 @@ DEALS = 8
 #: The least bar, and up to how many clean texts it holds in full; the kernel from which two
 #: landmarks are of one family.
 LEAST_BAR, FEW, KIN = 0.3, 1_000, 0.35
+#: How far above what clean texts reach a bar is, at least.
+HEADROOM = 0.1
 #: Rounds of refitting with the clean units of the largest margins, and how many join each time.
 HARD_ROUNDS, HARD = 3, 1_500
 DECAY, SPAN = 0.6, 6
@@ -296,10 +298,10 @@ class ToxicityModel:
 def family_bars(tops: list[dict[int, float]], marks: int) -> np.ndarray:
     """For each family the largest margin of these clean texts, or the least bar, which
     comes down as more of them show that there is none."""
-    bars = np.full(marks, LEAST_BAR * min(1.0, FEW / max(1, len(tops))))
+    bars = np.full(marks, max(HEADROOM, LEAST_BAR * min(1.0, FEW / max(1, len(tops)))))
     for top in tops:
         for k, m in top.items():
-            bars[k] = max(bars[k], m + 0.01)
+            bars[k] = max(bars[k], m + HEADROOM)
     return bars
 
 
