@@ -31,7 +31,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -225,6 +225,14 @@ def _pieces(values: np.ndarray, edges: np.ndarray, width: int = 1) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
 
 
+class Numbers(dict):
+    """word -> its number, in the order in which words come up."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _contexts(training: DataFrame, classes: dict[bytes, int], text: str) -> DataFrame:
     """(word, beside) of every word outside the core: beside holds for each occurrence
     the class of the word before, and that of the word behind plus CLASSES."""
@@ -232,7 +240,7 @@ def _contexts(training: DataFrame, classes: dict[bytes, int], text: str) -> Data
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         known = shared.value
-        names: dict[bytes, int] = {}
+        names = Numbers()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows() -> dict:
@@ -245,15 +253,16 @@ def _contexts(training: DataFrame, classes: dict[bytes, int], text: str) -> Data
 
         for found in _chunks(batches, text, CHUNK // 16):
             klass = np.fromiter(map(known.get, found, repeat(OPEN)), np.uint8, len(found))
-            at = np.flatnonzero(klass == OPEN)
+            tail = klass == OPEN
+            at = np.flatnonzero(tail)
             if not len(at):
                 continue
             klass[at] = RARE
-            number = np.fromiter((names.setdefault(found[i], len(names)) for i in at.tolist()), np.int32, len(at))
+            number = np.fromiter(map(names.__getitem__, compress(found, tail.tolist())), np.int32, len(at))
             held.append((number, np.stack([klass[at - 1], klass[at + 1] + np.uint8(CLASSES)], 1)))
             if len(names) > VOCABULARY or sum(len(x) for x, _ in held) > 8 * CHUNK:
                 yield rows()
-                names, held = {}, []
+                names, held = Numbers(), []
         if held:
             yield rows()
 
