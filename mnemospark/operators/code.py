@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from mnemospark.functions.scalars import container_prefixes, parent_name
+from mnemospark.storage import stored
 
 #: Endings tried for an imported path, in this order.
 IMPORT_ENDINGS = (
@@ -112,54 +113,83 @@ def receiver_types(bindings: DataFrame) -> DataFrame:
     return bindings.groupBy("file_path", "name").agg(F.countDistinct("type").alias("n"), F.min("type").alias("type")).where("n = 1").drop("n")
 
 
-def resolve_calls(calls: DataFrame, symbol: DataFrame, imported: DataFrame | None = None, visible: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+def _summed(by: GroupedData) -> DataFrame:
+    """What is known of a set of candidates: its least and greatest, and how often one is declared."""
+    return by.agg(F.min("dst").alias("lo"), F.max("dst").alias("hi"), F.max("n").alias("n"))
+
+
+def _merged(by: GroupedData) -> DataFrame:
+    """Sets put together; they may overlap, since no candidate counts twice."""
+    return by.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"))
+
+
+def _alone(sets: DataFrame, keys: tuple[str, ...], rule: str) -> DataFrame:
+    """The only candidate of each set that has just one."""
+    return sets.where("lo = hi and n = 1").select(*keys, F.col("lo").alias(f"d_{rule}"))
+
+
+def _through(spots: DataFrame, by_file: DataFrame, uses: DataFrame, packs: DataFrame | None) -> DataFrame:
+    """Candidates in the packs (or files) that a spot's file uses, summed up by pack before the spots meet them."""
+    by_pack = by_file.withColumnRenamed("dst_file", "pack")
+    if packs is not None:
+        packed = by_file.join(packs.select("pack", F.col("path").alias("dst_file")), "dst_file")
+        by_pack = _merged(packed.groupBy("name", "construction", "pack"))
+    met = spots.join(uses.select("file_path", "pack").distinct(), "file_path").join(by_pack, ["name", "construction", "pack"])
+    return _merged(met.groupBy("file_path", "name", "construction"))
+
+
+def resolve_calls(
+    calls: DataFrame, symbol: DataFrame, imported: DataFrame | None = None, visible: DataFrame | None = None,
+    files: DataFrame | None = None, packs: DataFrame | None = None,
+) -> DataFrame:
     """(call_id, dst, confidence, reason) of each call site.
 
     calls: call_id, src, file_path, name, receiver, receiver_type, construction.
-    One pass counts, for each call and rule, the candidates that the rule admits;
-    the first rule that admits exactly one decides.  Recursion makes no edge.
+    imported: from_path and path, or, where files are imported many at a time, from_path
+    and pack, with the files of each pack in packs (pack, path).
+    The first rule that admits exactly one candidate decides.  Candidates are summed up
+    by what the rule compares before the calls meet them: no call is joined to all
+    declarations of its name.  Recursion makes no edge.
     """
     s = symbol.select(
-        F.col("id").alias("dst"), "name", F.col("file_path").alias("dst_file"), "kind",
+        F.col("id").alias("dst"), "name", F.col("file_path").alias("dst_file"),
+        F.coalesce(F.col("kind").rlike(CALLABLE_KIND), F.lit(False)).alias("can_call"), F.coalesce(F.col("kind").rlike(TYPE_KIND), F.lit(False)).alias("can_make"),
         parent_name(F.substring("id", F.length("file_path") + 9, F.length("id"))).alias("owner"),
-    )
-    c = calls.join(s, "name", "left")
-    kind = F.when(F.col("construction"), F.col("kind").rlike(TYPE_KIND)).otherwise(F.col("kind").rlike(CALLABLE_KIND))
-    per = Window.partitionBy("call_id")
-    c = c.withColumn("fits", F.coalesce(kind, F.lit(False))).withColumn("any", F.max(F.col("fits").cast("int")).over(per))
-    c = c.where((F.col("any") == 0) | F.col("fits"))
+    ).where("dst is not null and name is not null")
+    # where no declaration of a name is of the wanted kind, all of them are candidates
+    some = s.groupBy("name").agg(F.max("can_call").alias("any_call"), F.max("can_make").alias("any_make"))
+    ways = F.array(
+        F.struct(F.lit(False).alias("construction"), (F.col("can_call") | ~F.col("any_call")).alias("fits")),
+        F.struct(F.lit(True).alias("construction"), (F.col("can_make") | ~F.col("any_make")).alias("fits")),
+    )
+    each = s.join(some, "name").select("name", "dst", "dst_file", "owner", F.inline(ways)).where("fits")
+    each = stored(each.groupBy("name", "construction", "dst_file", "owner", "dst").agg(F.count("*").alias("n")), "candidates")
+    spot = ("file_path", "name", "construction")
+    by_file = _summed(each.groupBy("name", "construction", "dst_file"))
+    by_owner = _alone(_summed(each.groupBy("name", "construction", "owner")), ("name", "construction", "owner"), "owner")
+    by_name = _summed(each.groupBy("name", "construction")).select("name", "construction", F.expr("if(lo = hi and n = 1, lo, null)").alias("d_unique"), F.lit(True).alias("known"))
+    c = calls.withColumn("construction", F.coalesce("construction", F.lit(False)))
+    spots = c.select(*spot).distinct()
+    beside = {"file": by_file.withColumnRenamed("dst_file", "file_path")}
     if imported is not None:
-        link = imported.select(F.col("from_path").alias("file_path"), F.col("path").alias("dst_file"), F.lit(True).alias("by_path")).distinct()
-        c = c.join(link, ["file_path", "dst_file"], "left")
-    else:
-        c = c.withColumn("by_path", F.lit(False))
+        beside["import"] = _through(spots, by_file, imported.select(F.col("from_path").alias("file_path"), F.col("path" if packs is None else "pack").alias("pack")), packs)
     if visible is not None and files is not None:
-        seen = visible.join(files.select(F.col("path").alias("dst_file"), "container"), "container")
-        seen = seen.select(F.col("path").alias("file_path"), "dst_file", F.lit(True).alias("in_sight")).distinct()
-        c = c.join(seen, ["file_path", "dst_file"], "left")
-    else:
-        c = c.withColumn("in_sight", F.lit(False))
-    admits = {
-        "type": F.col("owner") == F.col("receiver_type"),
-        "file": F.col("dst_file") == F.col("file_path"),
-        "receiver": F.col("owner") == F.col("receiver"),
-        "import": F.col("by_path"),
-        "namespace": F.col("in_sight"),
-        "unique": F.lit(True),
-    }
-    sums = []
-    for rule in RULES:
-        ok = F.col("dst").isNotNull() & F.coalesce(admits[rule], F.lit(False))
-        sums += [F.count_if(ok).alias(f"n_{rule}"), F.min(F.when(ok, F.col("dst"))).alias(f"d_{rule}")]
-    g = c.groupBy("call_id").agg(F.first("src").alias("src"), *sums)
+        boxes = files.select(F.col("container").alias("pack"), "path")
+        beside["namespace"] = _through(spots, by_file, visible.select(F.col("path").alias("file_path"), F.col("container").alias("pack")), boxes)
+    for rule, sets in beside.items():
+        c = c.join(_alone(sets, spot, rule), list(spot), "left")
+    for rule, given in (("type", "receiver_type"), ("receiver", "receiver")):
+        c = c.join(by_owner.withColumnsRenamed({"owner": given, "d_owner": f"d_{rule}"}), ["name", "construction", given], "left")
+    c = c.join(by_name, ["name", "construction"], "left")
     decided = F.coalesce(
         *[
-            F.when(F.col(f"n_{r}") == 1, F.struct(F.col(f"d_{r}").alias("dst"), F.lit("import" if r == "namespace" else r).alias("confidence")))
+            F.when(F.col(f"d_{r}").isNotNull(), F.struct(F.col(f"d_{r}").alias("dst"), F.lit("import" if r == "namespace" else r).alias("confidence")))
             for r in RULES
+            if f"d_{r}" in c.columns
         ]
     )
-    out = g.withColumn("d", decided)
-    reason = F.when(F.col("d").isNotNull(), None).when(F.col("n_unique") == 0, "external").otherwise("ambiguous")
+    out = c.withColumn("d", decided)
+    reason = F.when(F.col("d").isNotNull(), None).when(F.col("known").isNull(), "external").otherwise("ambiguous")
     return out.select("call_id", "src", F.col("d.dst").alias("dst"), F.col("d.confidence").alias("confidence"), reason.alias("reason")).where(
         "dst is null or dst <> src"
     )
