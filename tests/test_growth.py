@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 
-from mnemospark.operators import code
+import numpy as np
+
+from mnemospark.operators import code, retrieval
 
 
 def most_rows(df):
@@ -57,3 +59,32 @@ def test_overlapping_packs_and_repeated_declarations(spark):
     want = [(1, "Symbol:a:m", "import", None), (2, None, None, "ambiguous"), (3, None, None, "ambiguous"), (4, None, None, "external"), (5, None, None, "external")]
     for found in (code.resolve_calls(calls, symbol, uses, packs=packs), code.resolve_calls(calls, symbol, links)):
         assert sorted(map(tuple, found.select("call_id", "dst", "confidence", "reason").orderBy("call_id").collect())) == want
+
+
+def test_nearest_makes_no_pair_rows_and_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TASK_QUERIES", 30)  # several groups of queries and parts of vectors
+    monkeypatch.setattr(retrieval, "PART_VECTORS", 100)
+    put = np.random.default_rng(5)
+    base = put.normal(size=(40, 8)).astype("float32")
+    rows = [(f"v{k:04d}", (base[k % 40] if k % 3 else put.normal(size=8).astype("float32")).tolist(), "m" if k % 10 else "n", "p") for k in range(600)]
+    rows += [("zero", [0.0] * 8, "m", "p"), ("none", None, "m", "p"), ("wide", [1.0] * 9, "m", "p"), ("lost", [1.0] * 8, None, "p")]
+    v = spark.createDataFrame(rows, "id string, embedding array<float>, model string, provider string")
+    q = v.where("id like '%5' or id in ('zero', 'none', 'wide', 'lost')").withColumnRenamed("id", "query_id")
+    found, most = most_rows(retrieval.nearest(v, q, 7))
+    assert most < v.count() * q.count() / 5
+    want = []
+    for a, x, m, p in (r for r in rows if r[0].endswith("5") or not r[0].startswith("v")):
+        sims = []
+        for b, y, n, _ in rows:
+            if m is None or n != m:
+                continue
+            if x is None or y is None or len(x) != len(y):
+                sims.append((1, 0, b, None))
+                continue
+            x64, y64 = np.float64(x), np.float64(y)
+            below = np.sqrt(x64 @ x64) * np.sqrt(y64 @ y64)
+            sim = 0.0 if below == 0 else float(x64 @ y64 / below)
+            sims.append((0, -round(sim, 9), b, sim))
+        want += [(a, b, k, None if s is None else round(s, 8)) for k, (*_, b, s) in enumerate(sorted(sims, key=lambda r: r[:3])[:7], 1)]
+    got = [(r.query_id, r.id, r["rank"], None if r.sim is None else round(r.sim, 8)) for r in found]
+    assert sorted(got, key=lambda r: (r[0], r[2])) == sorted(want, key=lambda r: (r[0], r[2]))
