@@ -83,21 +83,22 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     bare = F.transform("bases", lambda b: F.array(b, F.regexp_replace(b, r"\.(js|mjs|cjs|jsx)$", "")))
     w = w.where(F.col("w").rlike("[/.]")).withColumn("bases", F.array_distinct(F.flatten(bare)))
     tries = w.select("from_path", "module", F.posexplode("bases").alias("i", "base"))
-    endings = F.array(*map(F.lit, IMPORT_ENDINGS))
-    by_path = tries.select(
-        "from_path", "module", "i", F.posexplode(F.transform(endings, lambda e: F.concat("base", e))).alias("j", "path")
-    ).join(files.select("path").distinct(), "path")
+    # a file knows the few endings that it has, so no import is spelled out with all of them
+    ends = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(e).alias("e")) for j, e in enumerate(IMPORT_ENDINGS)])
+    cuts = F.transform(F.filter(ends, lambda x: F.endswith("path", x["e"])), lambda x: F.struct(x["j"].alias("j"), F.left("path", F.length("path") - F.length(x["e"])).alias("base")))
+    by_path = tries.join(files.select("path").distinct().select("path", F.inline(cuts)), "base")
     names = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name")).groupBy("name")
     names = names.agg(F.min("path").alias("path"), F.count("*").alias("n")).where("n = 1").drop("n")
     by_name = tries.select("from_path", "module", "i", F.lit(len(IMPORT_ENDINGS)).alias("j"), F.element_at(F.split("base", "/"), -1).alias("name"))
     by_name = by_name.where("name <> ''").join(names, "name").select("path", "from_path", "module", "i", "j")
     found = by_path.select("path", "from_path", "module", "i", "j").unionByName(by_name)
-    direct = found.groupBy("from_path", "module").agg(F.min_by("path", F.struct("i", "j")).alias("path"))
+    direct = stored(found.groupBy("from_path", "module").agg(F.min_by("path", F.struct("i", "j")).alias("path")), "direct")
     rest = base.join(direct, ["from_path", "module"], "left_anti")
     dotted = F.array_join(F.filter(F.split(F.replace("clean", F.lit("\\"), F.lit(".")), r"\."), lambda x: x != ""), ".")
     prefixes = rest.select("from_path", "module", F.explode(container_prefixes(dotted)).alias("container"))
-    boxed = prefixes.join(files.select("path", "container"), "container").groupBy("from_path", "module")
-    boxed = boxed.agg(F.countDistinct("path").alias("n"), F.min("path").alias("path")).where("n = 1").drop("n")
+    # the files of a container are summed up before the imports meet it
+    boxes = files.groupBy("container").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
+    boxed = prefixes.join(boxes, "container").groupBy("from_path", "module").agg(F.min("lo").alias("path"), F.max("hi").alias("hi")).where("path = hi")
     return direct.unionByName(boxed.select("from_path", "module", "path"))
 
 

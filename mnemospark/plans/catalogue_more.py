@@ -139,7 +139,7 @@ def unspaced_terms(spark, d):
 @query("container_imports", oracle("symbol", """f as (select distinct file_path as path, 'pkg.c' || (doc_id % 601) as container from symbol), i as (select file_path as from_path, 'pkg.c' || (doc_id * 3 % 601) || '.Type' || (doc_id % 2) as module from symbol)""",
     "select from_path, module, min(path) as path from i join f on starts_with(module, container || '.') group by 1, 2 having count(distinct path) = 1"))
 def container_imports(spark, d):
-    s = view(spark, d, "symbol")
+    s = stored(view(spark, d, "symbol"), "symbol")
     files = s.select(F.col("file_path").alias("path"), F.concat(F.lit("pkg.c"), F.col("doc_id") % 601).alias("container")).distinct()
     module = F.concat(F.lit("pkg.c"), F.col("doc_id") * 3 % 601, F.lit(".Type"), F.col("doc_id") % 2)
     return code.resolve_imports(s.select(F.col("file_path").alias("from_path"), module.alias("module")), files)

@@ -88,3 +88,17 @@ def test_nearest_makes_no_pair_rows_and_equals_brute_force(spark, monkeypatch):
         want += [(a, b, k, None if s is None else round(s, 8)) for k, (*_, b, s) in enumerate(sorted(sims, key=lambda r: r[:3])[:7], 1)]
     got = [(r.query_id, r.id, r["rank"], None if r.sim is None else round(r.sim, 8)) for r in found]
     assert sorted(got, key=lambda r: (r[0], r[2])) == sorted(want, key=lambda r: (r[0], r[2]))
+
+
+def test_imports_meet_containers_and_endings_summed_up(spark):
+    n = 600  # of one container but for the last file
+    files = spark.range(n).selectExpr("concat('src/f', id, '.py') as path", f"if(id = {n - 1}, 'q.one', 'p.all') as container")
+    imports = spark.range(n).selectExpr("concat('src/g', id) as from_path", "case id % 4 when 0 then 'p.all.T' when 1 then 'q.one.T' when 2 then concat('./f', id) else concat('src/f', id, '.py') end as module")
+    rows, most = most_rows(code.resolve_imports(imports, files))
+    assert most <= 5 * n
+    want = [(f"src/g{k}", f"./f{k}" if k % 4 == 2 else f"src/f{k}.py", f"src/f{k}.py") for k in range(n) if k % 4 > 1]
+    want += [(f"src/g{k}", "q.one.T", f"src/f{n - 1}.py") for k in range(n) if k % 4 == 1]
+    assert sorted(map(tuple, rows)) == sorted(want)
+    one = spark.createDataFrame([("a/x", "./b"), ("a/x", "./c.js"), ("a/x", "d/e")], "from_path string, module string")
+    here = spark.createDataFrame([("a/b.py", None), ("a/b.ts", None), ("a/b", None), ("a/c.ts", None), ("d/e/index.ts", None)], "path string, container string")
+    assert sorted(r.path for r in code.resolve_imports(one, here).collect()) == ["a/b", "a/c.ts", "d/e/index.ts"]
