@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from mnemospark.operators import code, retrieval
+from mnemospark.operators import code, index, retrieval
+from mnemospark.storage import stored
 
 
 def most_rows(df):
@@ -102,3 +103,18 @@ def test_imports_meet_containers_and_endings_summed_up(spark):
     one = spark.createDataFrame([("a/x", "./b"), ("a/x", "./c.js"), ("a/x", "d/e")], "from_path string, module string")
     here = spark.createDataFrame([("a/b.py", None), ("a/b.ts", None), ("a/b", None), ("a/c.ts", None), ("d/e/index.ts", None)], "path string, container string")
     assert sorted(r.path for r in code.resolve_imports(one, here).collect()) == ["a/b", "a/c.ts", "d/e/index.ts"]
+
+
+def test_keyword_scores_keep_pairs_inside_tasks(spark):
+    put = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in put.integers(0, 30, 12)) for _ in range(400)]
+    memory = spark.createDataFrame([(f"d{k:03d}", "t", texts[k % 350]) for k in range(400)], "id string, title string, body string")
+    asked = spark.createDataFrame([(k, " ".join(f"w{j}" for j in put.integers(0, 30, 6))) for k in range(60)] + [(99, "nothing")], "query_id long, q string")
+    postings, terms = stored(index.build_postings(memory), "postings"), index.query_terms(asked)
+    every, best = index.matches(postings, terms), index.matches(postings, terms, most=9)
+    rows, most = most_rows(best)
+    assert most < every.count() / 2
+    cut = lambda df, f: sorted((r.query_id, r["rank"], r.id, round(r.score, 7), r.overlap) for r in f(df, 9).collect())
+    assert cut(best, index.bm25) == cut(every, index.bm25)
+    assert cut(best, index.overlap) == cut(every, index.overlap)
+    assert not index.matches(postings, terms.limit(0), most=9).collect()
