@@ -333,7 +333,7 @@ def cluster_invariants(spark, d):
     """Clusters that reach over a component's border: there must be none."""
     m, e = view(spark, d, "memory"), view(spark, d, "edge")
     c = graph.components(e.select("src", "dst"))
-    return graph.clusters(e, m).join(c, "id").groupBy("cluster").agg(F.countDistinct("component").alias("components")).where("components > 1")
+    return graph.clusters(e, m).join(c.hint("merge"), "id").groupBy("cluster").agg(F.countDistinct("component").alias("components")).where("components > 1")
 
 
 @query("top_representatives", oracle("memory", _LIVE, f"select source, id, rank from {top('(select *, split_part(file_path, chr(47), 1) as source from alive) z', 5, 'importance desc, created_at desc, id', '*', 'source')} x"))

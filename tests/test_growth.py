@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from mnemospark.operators import code, index, retrieval
+from mnemospark.operators import code, graph, index, retrieval
 from mnemospark.storage import stored
 
 
@@ -118,3 +118,12 @@ def test_keyword_scores_keep_pairs_inside_tasks(spark):
     assert cut(best, index.bm25) == cut(every, index.bm25)
     assert cut(best, index.overlap) == cut(every, index.overlap)
     assert not index.matches(postings, terms.limit(0), most=9).collect()
+
+
+def test_clusters_do_not_hang_on_the_order_of_rows(spark):
+    # a grid: many moves of equal gain
+    edge = spark.range(64).selectExpr("id as k", "explode(array(1, 8)) as step").where("k + step < 64 and (step = 8 or k % 8 < 7)")
+    edge = edge.selectExpr("concat('n', k) as src", "concat('n', k + step) as dst", "1.0D as weight")
+    memory = spark.range(64).selectExpr("concat('n', id) as id", "cast(null as long) as superseded_at", "'semantic' as layer")
+    put = lambda n, by: sorted(map(tuple, graph.clusters(edge.repartition(n).sortWithinPartitions(by), memory, rounds=2).collect()))
+    assert put(1, "src") == put(3, "dst")
