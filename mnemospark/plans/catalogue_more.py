@@ -296,7 +296,7 @@ def clean_identifiers(spark, d):
     "select l.query_id, coalesce(string_agg(r, '|' order by position) filter (position <= 3), '') as got from lost l left join refs on refs.query_id = l.query_id group by 1"))
 def missed_questions(spark, d):
     q = view(spark, d, "query")
-    hits = retrieval.search(tables(spark, d), q, retrieval.Options(limit=10, now=NOW))
+    hits = stored(retrieval.search(tables(spark, d), q, retrieval.Options(limit=10, now=NOW)).select("query_id", "position", "source_ref"), "hits")
     asked = q.select("query_id", F.array(F.lit("src1/")).alias("expect"), F.array().cast("array<string>").alias("reject"))
     return evaluation.missed(hits, asked).select("query_id", F.array_join("got", "|").alias("got"))
 

@@ -74,3 +74,27 @@ def test_scalars(spark):
 def test_hash_embedding_is_normalised():
     one, none = HashEmbedder(64).embed(["retry the declined card", ""])
     assert sum(x * x for x in one) == pytest.approx(1) and set(none) == {0.0}
+
+
+def test_the_short_way_of_most_words_equals_the_rules_letter_by_letter():
+    import random
+    import unicodedata
+    from collections import Counter
+
+    from mnemospark.functions import text
+
+    def fold(x):
+        bare = unicodedata.normalize("NFD", x.translate(str.maketrans(text.FOLDED_LETTERS)))
+        return unicodedata.normalize("NFC", "".join(c for c in bare if not unicodedata.category(c).startswith("M")))
+
+    put = random.Random(2)
+    letters = [chr(c) for c in range(0x30, 0x260)] + list("abcdefgsedingXYZ_19 ") * 30 + list("漢字カナ한국어𝐀ệ́")
+    known, seen = text.PartTerms(), text.NumberedTerms({"kept": 3, "thes": 4})
+    for _ in range(3000):
+        x = "".join(put.choice(letters) for _ in range(put.randint(0, 30)))
+        assert text.fold(x) == fold(x)
+        whole = text.tokenize(x)
+        assert text.term_counts(x, known) == (dict(Counter(whole)), len(whole))
+        for word in text._raw_words(x):
+            assert seen[word][0] == len(text.terms_of_word(word))
+    assert [seen[w] for w in ("Kept", "the", "theses", "thès", "THÈS")] == [(1, (3,)), (0, ()), (1, ()), (2, (4,)), (2, (4,))]

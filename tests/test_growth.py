@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from mnemospark.functions import vectors
 from mnemospark.operators import code, graph, index, retrieval
 from mnemospark.storage import stored
 
@@ -127,3 +128,29 @@ def test_clusters_do_not_hang_on_the_order_of_rows(spark):
     memory = spark.range(64).selectExpr("concat('n', id) as id", "cast(null as long) as superseded_at", "'semantic' as layer")
     put = lambda n, by: sorted(map(tuple, graph.clusters(edge.repartition(n).sortWithinPartitions(by), memory, rounds=2).collect()))
     assert put(1, "src") == put(3, "dst")
+
+
+def test_a_search_without_postings_makes_none_and_equals_one_with_them(spark, monkeypatch):
+    put = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in put.integers(0, 30, 12)) + " Straße getUser_names thèses" for _ in range(300)] + ["", " -- "]
+    memory = spark.createDataFrame([(f"d{k:03d}", "t" if k < 300 else "", x) for k, x in enumerate(texts)], "id string, title string, body string")
+    asked = spark.createDataFrame([(k, " ".join(f"w{j}" for j in put.integers(0, 30, 6)) + " user theses") for k in range(40)] + [(99, "nothing")], "query_id long, q string")
+    terms = stored(index.query_terms(asked), "terms")
+    want = index.matches(stored(index.build_postings(memory), "postings"), terms)
+    cut = lambda df, f: sorted((r.query_id, r["rank"], r.id, round(r.score, 7), r.overlap) for r in f(df, 9).collect())
+    wanted = [cut(want, f) for f in (index.bm25, index.overlap)]
+    monkeypatch.setattr(index, "build_postings", lambda memory: 1 / 0)
+    rows, most = most_rows(index.scan(memory, terms, 9))
+    assert most < want.count() / 2
+    assert [cut(spark.createDataFrame(rows), f) for f in (index.bm25, index.overlap)] == wanted
+
+
+def test_equal_documents_do_not_pile_up_behind_the_best():
+    key = np.full((3, 1000), 2, np.int64)
+    key[1, 500:] = 7
+    i, j = vectors._leading(key, key > 0, 5)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(r, c) for r, at in ((0, 0), (1, 500), (2, 0)) for c in range(at, at + 5)]
+    kept = vectors.Leaders(1, 2)
+    for names in (["m", "n"], ["k", "z"], ["y", "x"]):  # of equal keys the least ids stay, whatever their order
+        kept.merge(np.zeros(2, np.int64), np.full(2, 4, np.int64), np.array(names, object), np.ones(2))
+    assert kept.found.tolist() == ["k", "m"]
