@@ -154,3 +154,36 @@ def test_equal_documents_do_not_pile_up_behind_the_best():
     for names in (["m", "n"], ["k", "z"], ["y", "x"]):  # of equal keys the least ids stay, whatever their order
         kept.merge(np.zeros(2, np.int64), np.full(2, 4, np.int64), np.array(names, object), np.ones(2))
     assert kept.found.tolist() == ["k", "m"]
+
+
+def test_suspected_conflicts_are_judged_where_they_meet_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_MEMBERS", 7)  # large classes are dealt over tasks
+    put = np.random.default_rng(6)
+    titles = [" ".join(sorted({f"w{k}" for k in put.integers(0, 14, 6)})) for _ in range(120)] + ["many copies of this"] * 60
+    memory = spark.createDataFrame([(f"d{k:03d}", "semantic", x, None) for k, x in enumerate(titles)], "id string, layer string, title string, superseded_at long")
+    told = [(f"d{k:03d}", f"d{k + 1:03d}", "SUPERSEDES") for k in range(100, 170, 2)] + [(f"d{k + 1:03d}", f"d{k:03d}", "CONTRADICTS") for k in range(60)] + [("d150", "d151", "RESOLVES")]
+    edge = spark.createDataFrame(told, "src string, dst string, type string")
+    sets = [{w for w in x.split() if w != "of" and w != "this"} for x in titles]
+    known = {tuple(sorted(t[:2])) for t in told if t[2] != "RESOLVES"}
+    want = []
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            like = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if like >= 0.6 and (f"d{i:03d}", f"d{j:03d}") not in known:
+                want.append((f"d{i:03d}", f"d{j:03d}", round(like, 9)))
+    found = graph.suspected_conflicts(memory, edge)
+    assert sorted((r.a, r.b, round(r.similarity, 9)) for r in found.collect()) == want
+    exchanges = []
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        below = [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        if name == "ShuffleExchangeExec":
+            exchanges.append(plan.metrics().get("shuffleRecordsWritten").get().value())
+        for x in below:
+            walk(x)
+
+    walk(found._jdf.queryExecution().executedPlan())
+    assert max(exchanges, default=0) < len(want) / 2
