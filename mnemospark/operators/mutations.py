@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.scalars import EDGE_TYPES, layer_weight, node_id
+from mnemospark.operators.index import small
 from mnemospark.operators.retrieval import live
+from mnemospark.storage import stored as put
 
 
 def upsert_nodes(memory: DataFrame, incoming: DataFrame, now: int) -> DataFrame:
@@ -36,8 +38,10 @@ def upsert_nodes(memory: DataFrame, incoming: DataFrame, now: int) -> DataFrame:
 
 
 def flush_postings(postings: DataFrame, changed: DataFrame) -> DataFrame:
-    """Postings with the rows of the changed nodes replaced."""
-    return postings.join(changed.select("id").distinct(), "id", "left_anti").unionByName(changed)
+    """Postings with the rows of the changed nodes replaced; the ids of these are brought to
+    the postings, which are not shuffled, unless they are too many."""
+    ids = put(changed.select("id").distinct(), "changed")
+    return postings.join(small(ids), "id", "left_anti").unionByName(changed)
 
 
 def set_embeddings(memory: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:

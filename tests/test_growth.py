@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 
 from mnemospark.functions import vectors
-from mnemospark.operators import code, graph, index, retrieval
+from mnemospark.operators import code, graph, index, mutations, retrieval
 from mnemospark.storage import stored
 
 
@@ -187,3 +187,19 @@ def test_suspected_conflicts_are_judged_where_they_meet_and_not_shuffled(spark,
 
     walk(found._jdf.queryExecution().executedPlan())
     assert max(exchanges, default=0) < len(want) / 2
+
+
+def test_a_flush_does_not_shuffle_the_postings(spark):
+    postings = stored(spark.range(2000).selectExpr("concat('d', id % 100) as id", "concat('t', id) as term", "1L as tf", "20L as doc_len"), "postings")
+    changed = postings.where("id in ('d3', 'd70')").selectExpr("id", "term", "2L as tf", "doc_len")
+    out = mutations.flush_postings(postings, changed)
+    assert "SortMergeJoin" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Exchange hashpartitioning" not in plan
+    rows = out.collect()
+    assert len(rows) == 2000 and {r.id for r in rows if r.tf == 2} == {"d3", "d70"}
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        hinted = mutations.flush_postings(postings, changed)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in hinted and "SortMergeJoin" not in hinted
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
