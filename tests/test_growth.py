@@ -7,6 +7,8 @@ import numpy as np
 
 from mnemospark.functions import vectors
 from mnemospark.operators import code, graph, index, mutations, retrieval
+from mnemospark.plans import catalogue
+from mnemospark.plans.views import view
 from mnemospark.storage import stored
 
 
@@ -203,3 +205,24 @@ def test_a_flush_does_not_shuffle_the_postings(spark):
         assert "BroadcastHashJoin" in hinted and "SortMergeJoin" not in hinted
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_texts_are_not_shuffled_to_meet_their_labels(spark, tmp_path):
+    n = 300
+    documents = spark.range(n).selectExpr("id as doc_id", "concat('word', id % 7, ' other', id % 3) as text", "'src1' as source")
+    labels = spark.range(0, n, 3).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    for name, of in (("once", labels), ("twice", labels.union(labels.where("doc_id < 30")))):
+        documents.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        of.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    memory = view(spark, f"{tmp_path}/once", "memory")
+    assert "Join" not in plan(index._texts(memory))  # texts alone meet no labels
+    q = spark.createDataFrame([(1, "word3 other1"), (2, "word5")], "query_id long, q string")
+    found = retrieval.search(catalogue.tables(spark, f"{tmp_path}/once"), q, retrieval.Options(limit=4))
+    lines = plan(found).splitlines()
+    semi, outer = (next(k for k, x in enumerate(lines) if f"Join {kind}" in x) for kind in ("LeftSemi", "LeftOuter"))
+    assert outer < semi  # the winners are picked below the join with the labels
+    rows = found.collect()
+    assert len({(r.query_id, r.id) for r in rows}) == len(rows) > 4
+    assert memory.count() == n and memory.where("importance = 7").count() == n // 6
+    assert view(spark, f"{tmp_path}/twice", "memory").count() == n + 10  # a document labelled twice is two rows, as in SQL
