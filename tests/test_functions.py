@@ -98,3 +98,23 @@ def test_the_short_way_of_most_words_equals_the_rules_letter_by_letter():
         for word in text._raw_words(x):
             assert seen[word][0] == len(text.terms_of_word(word))
     assert [seen[w] for w in ("Kept", "the", "theses", "thès", "THÈS")] == [(1, (3,)), (0, ()), (1, ()), (2, (4,)), (2, (4,))]
+
+
+def test_chunks_of_bytes_count_as_words_do(monkeypatch):
+    import random
+    from collections import Counter
+
+    from mnemospark.functions import text
+
+    put = random.Random(5)
+    letters = [chr(c) for c in range(0x20, 0x260)] + list("abcdefgsedingXYZ_19 \n") * 30 + list("漢字カナ한국어𝐀ệ́“”—\u00a0\u0085\u2028")
+    words = ["kept", "the", "theses", "thès", "THÈS", "getUser_names", "ſs", "İx", "“kept”", "kept—the"]
+    wanted = {t: k for k, t in enumerate(["kept", "thes", "thès", "get", "user", "x", "a", "漢字", "字", *"bcde"])}
+    monkeypatch.setattr(text, "MEMORY_LIMIT", 50)
+    chunks = text.ChunkKinds(wanted)
+    for _ in range(2000):
+        x = "".join(put.choice(letters) for _ in range(put.randint(0, 40))) + " ".join(put.choices(words, k=3))
+        whole = text.tokenize(x)
+        assert chunks.counts(x.encode()) == ({wanted[t]: n for t, n in Counter(whole).items() if t in wanted}, len(whole))
+        assert len(chunks.old) < 50 + 44 and len(chunks.kinds) < 50 + 44
+    assert chunks.counts(None) == ({}, 0)
