@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 
 import numpy as np
+import pyarrow as pa
 
 from mnemospark.functions import vectors
 from mnemospark.operators import code, graph, index, mutations, retrieval
@@ -226,3 +229,17 @@ def test_texts_are_not_shuffled_to_meet_their_labels(spark, tmp_path):
     assert len({(r.query_id, r.id) for r in rows}) == len(rows) > 4
     assert memory.count() == n and memory.where("importance = 7").count() == n // 6
     assert view(spark, f"{tmp_path}/twice", "memory").count() == n + 10  # a document labelled twice is two rows, as in SQL
+
+
+def test_scoring_holds_a_small_block_of_pairs():
+    put = np.random.default_rng(1)
+    docs, n, words, per = 2500, 200, 300, 40
+    ts = pa.array([sorted(put.choice(words, 60, replace=False).tolist()) for _ in range(docs)], pa.list_(pa.int32()))
+    columns = [pa.nulls(docs, pa.int64()), pa.array([f"d{k:05d}" for k in range(docs)]), pa.array([60] * docs), ts, pa.array([[1] * 60] * docs)]
+    batch = pa.RecordBatch.from_arrays(columns, ["query_id", "id", "doc_len", "ts", "tfs"])
+    queries = np.concatenate([np.sort(put.choice(n, per, replace=False)) for _ in range(words)])
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in vectors.best_documents([batch], queries, np.arange(0, words * per + 1, per), np.ones(words), list(range(n)), 60.0, 180))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= n * 180 and peak < 40e6
